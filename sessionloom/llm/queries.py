@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import pii, secrets
+from sessionloom.llm import conversations, pii, secrets
 from sessionloom.sources.tables import table
 
 
@@ -16,6 +16,16 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redact(table(spark, folder, "transcript_lines"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.conversations(table(spark, folder, "transcript_lines")).drop("role")
+
+
+def p4_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """Likeliest parents of messages whose stated parent is in no line."""
+    copies = conversations.messages(table(spark, folder, "transcript_lines"), lexical=True)
+    return conversations.infer_links(copies).drop("score")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.found(table(spark, folder, "transcript_lines"))
 
@@ -24,5 +34,5 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.redact(table(spark, folder, "transcript_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p7_found, p7_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_inferred, p7_found, p7_redacted)}
 SQL: dict[str, str] = {}
