@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import conversations, pii, secrets
+from sessionloom.llm import conversations, leaks, mixing, pii, secrets, subjects
 from sessionloom.sources.tables import table
 
 
@@ -34,5 +34,33 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.redact(table(spark, folder, "transcript_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_inferred, p7_found, p7_redacted)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ranges of documents per output shard, at the default size."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in the selection."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.found(table(spark, folder, "documents"), table(spark, folder, "subject_examples"))
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of each subject in the corpus."""
+    return subjects.shares(table(spark, folder, "documents"), table(spark, folder, "subject_examples"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p3_found, p3_redacted, p4_found, p4_inferred, p7_found, p7_redacted, p8_found, p9_selection, p9_shares, p10_found, p10_shares,
+    )
+}
 SQL: dict[str, str] = {}
