@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.records import batch_of, parse, text_of
 from sessionloom.operators import drift, hierarchy, shred
+from sessionloom.plans import corpus, statements
 from sessionloom.sources.tables import table
 from sessionloom.streaming.once import surplus_lines
 
@@ -65,3 +66,5 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p5_found, p5_objects, p6_found)}
+QUERIES |= {name: (lambda spark, folder, s=statement: corpus.run(spark, folder, s)) for name, statement in statements.ALL.items()}
+SQL = {name: corpus.oracle(statement) for name, statement in statements.ALL.items()}
