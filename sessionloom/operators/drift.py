@@ -26,6 +26,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions.records import batch_of, blocks, json_type, parse
 from sessionloom.plans.runtime import stage
@@ -383,7 +384,7 @@ def unify(lines: DataFrame, baseline: DataFrame, renames: dict[str, str], *, raw
     fields = ddl
     for n in names:
         fields = fields.add(n, "string")
-    fields = fields.add("readable", "boolean").add("extras", "map<string,string>")
+    fields = fields.add("readable", "boolean").add("extras", T.MapType(T.StringType(), T.StringType()))
     text = lambda v: v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
 
     def run(batches):

@@ -6,7 +6,7 @@ state lives in versioned tables of the shared folder, bucketed by key hash:
 * ``hot/<v>``: the best copy per key whose last arrival is within the watermark;
 * ``cold/<v>``: bests that the watermark expired, appended per version, which a
   late arrival is looked up in;
-* ``out/<v>``: the surplus lines that batch ``v`` decided.
+* ``met/v=<v>``: the bests and the surplus lines that batch ``v`` decided.
 
 A batch reads version v-1 and writes version v of all three, then the marker
 ``done/<v>``; the stream's own checkpoint advances only after that.  A batch
@@ -136,14 +136,15 @@ def make_batch(store: str, watermark: str) -> Callable[[DataFrame, int], None]:
             "line_id", "session_id", "message_key", "tokens", F.col("last_seen").alias("seen_at"), (F.col("rank") == 1).alias("best"),
             (F.col("rank").__gt__(1) & (F.col("line_id") == F.col("keeper"))).alias("same"),
         ).where("not same").drop("same")
-        met.unionByName(losers).write.mode("overwrite").partitionBy("best").parquet(f"{store}/met/{version}")
+        met.unionByName(losers).write.mode("overwrite").partitionBy("best").parquet(f"{store}/met/v={version}")
         whole = "line_id bigint, session_id string, message_key string, tokens bigint, seen_at timestamp, best boolean"
-        done = spark.read.schema(whole).parquet(f"{store}/met/{version}")
+        done = spark.read.schema(whole).parquet(f"{store}/met/v={version}")
         bests = done.where("best").drop("best")
         newest = bests.agg(F.max("seen_at").alias("t")).first()["t"]
-        edge = F.lit(newest) - F.expr(f"interval {watermark}")
-        bests.where(F.col("seen_at") >= edge).write.mode("overwrite").parquet(f"{store}/hot/{version}")
-        bests.where((F.col("seen_at") < edge) | F.col("seen_at").isNull()).write.mode("overwrite").parquet(f"{store}/cold/{version}")
+        edge = F.lit(newest).cast("timestamp") - F.expr(f"interval {watermark}")
+        fresh = F.coalesce(F.col("seen_at") >= edge, F.lit(True))  # without a time a key never expires
+        bests.where(fresh).write.mode("overwrite").parquet(f"{store}/hot/{version}")
+        bests.where(~fresh).write.mode("overwrite").parquet(f"{store}/cold/{version}")
         if version:
             _remove(spark, f"{store}/hot/{version - 2}")
         spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{store}/done/{version}")
@@ -181,7 +182,7 @@ def surplus_lines(
         .start()
     )
     query.awaitTermination()
-    schema = "line_id bigint, best boolean"
+    schema = "line_id bigint, v int, best boolean"
     if not _exists(spark, f"{store}/met"):
         return spark.createDataFrame([], "line_id bigint")
-    return spark.read.schema(schema).parquet(f"{store}/met/*").where("not best").select("line_id").distinct()
+    return spark.read.schema(schema).parquet(f"{store}/met").where("not best").select("line_id").distinct()
