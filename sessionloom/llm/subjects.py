@@ -83,19 +83,27 @@ class Model:
             self._pure = {t: (int(best[i]), float(most[i] / total[i])) for t, i in self.vocabulary.items() if sure[i] and self.agree.get(t, 1.0) >= AGREE}
         return self._pure
 
-    def subject_of(self, sentence: str) -> int | None:
-        """The subject that the sentence treats."""
+    def speaking(self, sentence: str) -> list[str]:
+        """The sentence's terms that speak for one subject."""
         pure = self.pure()
-        weight: dict[int, float] = {}
-        for t in terms(sentence, self.frame):
-            found = pure.get(t)
-            if found:
-                weight[found[0]] = weight.get(found[0], 0.0) + found[1] * (2.0 if " " in t else 1.0)
-        if not weight:
+        return [t for t in terms(sentence, self.frame) if t in pure]
+
+    def told(self, speaking: list[str]) -> int | None:
+        """The subject that a sentence with these terms treats."""
+        if not speaking:
             return None
+        pure = self.pure()
+        weight: dict[int, float] = {}
+        for t in speaking:
+            k, share = pure[t]
+            weight[k] = weight.get(k, 0.0) + share * (2.0 if " " in t else 1.0)
         best = max(sorted(weight), key=weight.get)
         return best if weight[best] >= CLEAR * sum(weight.values()) else None
 
+    def subject_of(self, sentence: str) -> int | None:
+        """The subject that the sentence treats."""
+        return self.told(self.speaking(sentence))
+
     def treated(self, text: str) -> Counter:
         """Number of the text's sentences that treat each subject."""
         found = (self.subject_of(s) for s in sentences(text))
@@ -249,24 +257,22 @@ def _agreement(documents: DataFrame, model: Model) -> dict[str, float]:
             n: Counter = Counter()
             agree: dict[str, float] = defaultdict(float)
             for text in batch.column(0).to_pylist():
-                told = []
+                every = [0] * len(model.subjects)  # sentences by subject
+                holds: dict[str, list[int]] = {}  # subjects of the sentences with a term
                 for s in sentences(text or ""):
-                    mine = {t for t in terms(s, model.frame) if t in pure}
-                    k = model.subject_of(s) if mine else None
+                    mine = model.speaking(s)
+                    k = model.told(mine)
                     if k is not None:
-                        told.append((k, mine))
-                holds: dict[str, list[int]] = defaultdict(list)
-                for i, (_, mine) in enumerate(told):
-                    for t in mine:
-                        holds[t].append(i)
-                every = Counter(k for k, _ in told)
-                for t, at in holds.items():
-                    without = every.copy()
-                    without.subtract(told[i][0] for i in at)
-                    rest = sum(without.values())
+                        every[k] += 1
+                        for t in mine:
+                            holds.setdefault(t, []).append(k)
+                count = sum(every)
+                for t, kinds in holds.items():
+                    rest = count - len(kinds)
                     if rest:
+                        own = pure[t][0]
                         n[t] += 1
-                        agree[t] += without[pure[t][0]] / rest
+                        agree[t] += (every[own] - kinds.count(own)) / rest
             yield batch_of(schema, [(t, c, agree[t]) for t, c in n.items()])
 
     found = documents.mapInArrow(run, "term string, n bigint, x double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
