@@ -109,7 +109,9 @@ def make_batch(store: str, watermark: str) -> Callable[[DataFrame, int], None]:
         if _exists(spark, f"{store}/done/{version}"):
             return
         copies = lines.select(F.col("line_id").cast("bigint"), F.col("seen_at").cast("timestamp"), "raw")
-        copies = copies.mapInArrow(_local, COPIES_DDL)
+        # read three times below, so parsed once
+        copies.mapInArrow(_local, COPIES_DDL).write.mode("overwrite").parquet(f"{store}/copies")
+        copies = spark.read.schema(COPIES_DDL).parquet(f"{store}/copies")
         held = None
         if version and _exists(spark, f"{store}/hot/{version - 1}"):
             columns = "session_id", "message_key", "tokens", "line_id", "seen_at"
