@@ -55,7 +55,7 @@ CREDENTIALS = (
     ("json-web-token", r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"),
     ("bearer-token", r"(?i:bearer)\s+[A-Za-z0-9._~+/-]{16,}=*"),
     ("openai-key", r"\bsk-[A-Za-z0-9]{32,}"),
-    ("url-password", r"(?<=://)[^\s/:@]+:[^\s/@]+(?=@)"),
+    ("url-password", r"(?<=://)(?!<REDACTED:)[^\s/:@]*:[^\s/@]+(?=@)"),
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
 )
 

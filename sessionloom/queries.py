@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.records import batch_of, parse, text_of
-from sessionloom.operators import drift, hierarchy, shred
-from sessionloom.plans import corpus, statements
+from sessionloom.operators import drift, hierarchy, sanitize, shred
+from sessionloom.plans import corpus, oracles, statements
+from sessionloom.plans.runtime import stage
 from sessionloom.sources.tables import table
 from sessionloom.streaming.once import surplus_lines
 
@@ -21,7 +22,6 @@ def link_rows(lines: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out: dict[str, tuple] = {}
-            rest = []
             for line_id, near, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 record = parse(raw)
                 uuid = text_of(record.get("uuid")) if record is not None else None
@@ -29,7 +29,7 @@ def link_rows(lines: DataFrame) -> DataFrame:
                     held = out.get(uuid)
                     if held is None or held[2] > line_id:
                         out[uuid] = (uuid, text_of(record.get("parentUuid")), line_id, near)
-            yield batch_of(LINKS, [*out.values(), *rest])
+            yield batch_of(LINKS, list(out.values()))
 
     return lines.select(F.col("line_id").cast("bigint"), "file_name", "raw").mapInArrow(run, "id string, parent string, line_id bigint, near string")
 
@@ -65,6 +65,43 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return surplus_lines(spark, f"{folder}/transcript_lines.parquet")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p5_found, p5_objects, p6_found)}
+def jn07_call_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Delegation trees of subagents: root, depth and size of each subtree."""
+    manifests = table(spark, folder, "manifests").select(
+        F.col("agent_id").alias("id"), F.col("parent_agent_id").alias("parent"), F.col("session_id").alias("near")
+    )
+    once = manifests.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"), F.min("near").alias("near"))
+    solved = hierarchy.hierarchy(once, near=["near"])
+    return solved.select(F.col("id").alias("agent_id"), F.coalesce("root", F.lit("")).alias("root_id"), "depth")
+
+
+JN07 = """with recursive n as materialized (select agent_id, min(parent_agent_id) p from manifests where agent_id is not null group by agent_id),
+t as (select agent_id, agent_id root_id, 0 "depth" from n where p is null or p not in (select agent_id from n) union all select n.agent_id, t.root_id, t."depth"+1 from n join t on n.p=t.agent_id)
+select agent_id, root_id, "depth" from t union all select agent_id, '', -1 from n where agent_id not in (select agent_id from t)"""
+
+RULES = {
+    "version": 1,
+    "paths": [{"match": "/home/dev/", "replace": "/home/user/"}, {"match": "re:/srv/work/([a-z-]+)", "replace": "/srv/p/\\1"}],
+    "identifiers": [{"match": "re:QX-\\d+", "replace": "TICKET"}],
+    "options": {"uuid_seed": "seed"},
+}
+
+
+def san01_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Per file what rewriting every delivered line does (malformed lines are
+    counted here; ``sanitize`` would refuse the file)."""
+    lines = table(spark, folder, "transcript_lines").select("file_name", F.col("line_id").alias("line_no"), "raw")
+    return sanitize.audit(sanitize.rewrite(lines, sanitize.load_rules(RULES)))
+
+
+def san12_residual(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of the rules' matches after rewriting: no row."""
+    lines = table(spark, folder, "transcript_lines").select("file_name", F.col("line_id").alias("line_no"), "raw")
+    rules = sanitize.load_rules(RULES)
+    kept = stage(sanitize.rewrite(lines, rules).where("state = 'kept'").select("file_name", "line_no", "out"), "kept")
+    return sanitize.residual(kept, rules)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p5_found, p5_objects, p6_found, jn07_call_tree, san01_audit, san12_residual)}
 QUERIES |= {name: (lambda spark, folder, s=statement: corpus.run(spark, folder, s)) for name, statement in statements.ALL.items()}
-SQL = {name: corpus.oracle(statement) for name, statement in statements.ALL.items()}
+SQL = oracles.SQL | {"jn07_call_tree": JN07} | {name: corpus.oracle(statement) for name, statement in statements.ALL.items()}
