@@ -17,20 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: first letters of a variant's schema -> JSON type name
+_NAMES = {"VOID": "null", "STRI": "str", "BOOL": "bool", "BIGI": "int", "DECI": "float", "DOUB": "float", "FLOA": "float", "ARRA": "list", "OBJE": "dict"}
+
+
 def kind(value: Column) -> Column:
-    """JSON type name of a variant, ``absent`` where it is missing."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), "absent")
-        .when(F.is_variant_null(value), "null")
-        .when(shape == "STRING", "str")
-        .when(shape == "BOOLEAN", "bool")
-        .when(shape == "BIGINT", "int")
-        .when(shape.startswith("DECIMAL") & shape.endswith(",0)") & (F.regexp_extract(shape, r"\((\d+)", 1).cast("int") >= 19), "int")
-        .when(shape.startswith("ARRAY"), "list")
-        .when(shape.startswith("OBJECT"), "dict")
-        .otherwise("float")
-    )
+    """JSON type name of a variant, ``absent`` where it is missing.
+
+    The schema of a variant is dear for nested values, so it is derived once;
+    integers beyond 64 bits show as decimals without fraction.
+    """
+    shape = F.regexp_replace(F.schema_of_variant(value), r"^DECIMAL\((?:19|[23]\d),0\)$", "BIGINT")
+    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.substring(shape, 1, 4)), F.lit("absent"))
 
 
 def at(v: Column, path: str) -> Column:
@@ -39,7 +38,7 @@ def at(v: Column, path: str) -> Column:
 
 def text(v: Column, path: str) -> Column:
     """The value if it is text, else null."""
-    return F.when(kind(at(v, path)) == "str", F.try_variant_get(v, path, "string"))
+    return F.when(F.schema_of_variant(at(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
 
 
 def number(v: Column, path: str) -> Column:
@@ -48,7 +47,7 @@ def number(v: Column, path: str) -> Column:
 
 
 def true(v: Column, path: str) -> Column:
-    return F.coalesce(F.when(kind(at(v, path)) == "bool", F.try_variant_get(v, path, "boolean")), F.lit(False))
+    return F.coalesce(F.when(F.schema_of_variant(at(v, path)) == "BOOLEAN", F.try_variant_get(v, path, "boolean")), F.lit(False))
 
 
 #: promoted column -> (how, JSON path)
