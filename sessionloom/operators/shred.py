@@ -3,11 +3,13 @@
 Every object is canonicalised (sorted keys, children replaced by their hashes)
 and hashed bottom-up, so equal subtrees have equal identities wherever they
 occur.  ``bridge`` has a row per occurrence, with its parent's identity and its
-ordinal; ``objects`` stores each distinct object once.  The link from a result
-and its parts to the call is carried down while the bridge is built, so the
-found table needs no shuffle at all.
+ordinal: of the blocks and what they hold in lists named ``content``, or, with
+``whole``, of every object of the message, itself included.  ``objects`` stores
+each distinct object once.  The link from a result and its parts to the call is
+carried down while the bridge is built, so the found table needs no shuffle at all.
 
-Defined cases: unreadable lines and messages without blocks give no rows; a
+Defined cases: unreadable lines give no rows, nor do messages without blocks
+unless ``whole``, where their message and all below it count; a
 lone object counts as one block at position 0; an object without a type has a
 null ``node_type``; a result without a call id has a null ``ref_id``; repeated
 lines give rows of their own (their ``line_id`` differs) and share objects.
@@ -16,6 +18,7 @@ lines give rows of their own (their ``line_id`` differs) and share objects.
 from __future__ import annotations
 
 import json
+import sys
 
 import pyarrow as pa
 import xxhash
@@ -46,7 +49,20 @@ BRIDGE_DDL = (
 
 def identity(value) -> str:
     """128-bit hash of the canonical JSON text, objects replaced by their hashes."""
-    return xxhash.xxh3_128_hexdigest(json.dumps(_shallow(value), sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"))
+    return _hash(_canonical(_shallow(value)))
+
+
+def _canonical(flat) -> str:
+    return json.dumps(flat, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def _hash(text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _storable(text: str | None) -> str | None:
+    """Lone surrogates as JSON escapes: Arrow takes no others."""
+    return text if text is None or text.isascii() else text.encode("utf-8", "backslashreplace").decode()
 
 
 def _shallow(value):
@@ -73,7 +89,7 @@ def _occurrences(line_id, message, bodies: bool, out: list) -> None:
         me = identity(node)
         body = None
         if bodies:
-            body = json.dumps(_shallow(node), sort_keys=True, ensure_ascii=False)
+            body = _storable(_canonical(_shallow(node)))
         out.append((line_id, path, role, ordinal, me, parent, kind, own, call, body))
         inner = node.get("content")
         if isinstance(inner, list):
@@ -87,16 +103,56 @@ def _occurrences(line_id, message, bodies: bool, out: list) -> None:
             visit(block, str(i), i, top, None, "block")
 
 
-def bridge(lines: DataFrame, *, id_col="line_id", raw_col="raw", bodies=False) -> DataFrame:
-    """A row per block and nested part; ``bodies`` adds the canonical text."""
+def _below(role: str, kind: str | None, key: str) -> str:
+    """Role of the objects that an object holds under a key."""
+    if role == "message":
+        return {"content": "block", "usage": "usage"}.get(key, "other")
+    return "part" if key == "content" and (kind == "tool_result" or role == "part") else "other"
+
+
+def _all_occurrences(line_id, message, bodies: bool, out: list) -> None:
+    """Rows of every object of a message; paths are JSON pointers into it, an
+    ordinal is the place in its list or among its object's sorted keys."""
+
+    def visit(value, path: str, ordinal: int, call: str | None, role: str, held: list):
+        """The value with objects replaced by their hashes; ``held`` gets their rows."""
+        if isinstance(value, list):
+            return [visit(v, f"{path}/{i}", i, call, role, held) for i, v in enumerate(value)]
+        if not isinstance(value, dict):
+            return value
+        kind = text_of(field(value, "type", BLOCK_ALIASES))
+        own = text_of(value.get("id"))
+        if role == "block":
+            call = own if kind == "tool_use" else text_of(field(value, "tool_use_id", BLOCK_ALIASES)) if kind == "tool_result" else None
+        mine: list[list] = []
+        flat = {}
+        for n, k in enumerate(sorted(value)):
+            flat[k] = visit(value[k], path + "/" + k.replace("~", "~0").replace("/", "~1"), n, call, _below(role, kind, k), mine)
+        text = _canonical(flat)
+        me = _hash(text)
+        for row in mine:
+            row[5] = me
+        row = [line_id, _storable(path), role, ordinal, me, None, _storable(kind), _storable(own), _storable(call), _storable(text) if bodies else None]
+        out.append(row)
+        held.append(row)
+        return {"#": me}
+
+    visit(message, "", 0, None, "message", [])
+
+
+def bridge(lines: DataFrame, *, id_col="line_id", raw_col="raw", bodies=False, whole=False) -> DataFrame:
+    """A row per block and nested part, or per object of the message if ``whole``;
+    ``bodies`` adds the canonical text."""
+    occurrences = _all_occurrences if whole else _occurrences
 
     def run(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))  # as deep as the parser reads
         for batch in batches:
             out: list[tuple] = []
             for line_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 record = parse(raw)
                 if record is not None:
-                    _occurrences(line_id, record.get("message"), bodies, out)
+                    occurrences(line_id, record.get("message"), bodies, out)
             yield batch_of(BRIDGE, out)
 
     source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))
@@ -128,7 +184,7 @@ def usage_table(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFra
                 usage = message.get("usage") if isinstance(message, dict) else None
                 if isinstance(usage, dict):
                     for k, v in usage.items():
-                        out.append((line_id, text_of(message.get("id")), k, json.dumps(v)))
+                        out.append((line_id, _storable(text_of(message.get("id"))), _storable(k), json.dumps(v)))
             yield batch_of(schema, out)
 
     source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))

@@ -58,7 +58,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Each distinct object of all messages once."""
-    return shred.objects(shred.bridge(table(spark, folder, "transcript_lines"), bodies=True))
+    return shred.objects(shred.bridge(table(spark, folder, "transcript_lines"), bodies=True, whole=True))
+
+
+def p5_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """Each entry of the usage of every message."""
+    return shred.usage_table(table(spark, folder, "transcript_lines"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,6 +107,6 @@ def san12_residual(spark: SparkSession, folder: str) -> DataFrame:
     return sanitize.residual(kept, rules)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p5_found, p5_objects, p6_found, jn07_call_tree, san01_audit, san12_residual)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p5_found, p5_objects, p5_usage, p6_found, jn07_call_tree, san01_audit, san12_residual)}
 QUERIES |= {name: (lambda spark, folder, s=statement: corpus.run(spark, folder, s)) for name, statement in statements.ALL.items()}
 SQL = oracles.SQL | {"jn07_call_tree": JN07} | {name: corpus.oracle(statement) for name, statement in statements.ALL.items()}

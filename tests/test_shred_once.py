@@ -27,6 +27,33 @@ def test_equal_objects_are_stored_once(make_lines):
     assert sorted(r["occurrences"] for r in objects) == [1, 2]
 
 
+def test_every_object_of_a_message_is_stored(make_lines):
+    import json
+
+    deep = {"k": 1}
+    for _ in range(1500):
+        deep = {"d": deep}
+    usage = {"output_tokens": 3, "cache": {"a": 1}}
+    rows = [_line([CALL]), _line([CALL | {"id": "t2"}], message={"content": [CALL | {"id": "t2"}], "usage": usage}), _line("plain"), _line([{"a/b": "\ud800"}]), "{broken", {"message": 3}]
+    bridged = shred.bridge(make_lines(rows), bodies=True, whole=True)
+    objects = {r["object_id"]: r for r in shred.objects(bridged).collect()}
+    below = [r for r in objects.values() if r["node_type"] == "tool_use" or json.loads(r["body"]) == {"b": 1} or list(json.loads(r["body"])) == ["a"]]
+    assert len(below) == 5  # two calls, their input, its object, and usage.cache
+    found = {(r["line_id"], r["node_path"]): r for r in bridged.collect()}
+    assert len(found) == 4 + 6 + 1 + 2 and found[1, "/content/0/input/a"]["parent_object_id"] == found[2, "/content/0/input"]["object_id"]
+    assert found[2, "/usage/cache"]["ordinal"] == 0 and found[2, ""]["role"] == "message" and found[3, ""]["parent_object_id"] is None
+
+    def whole(value):
+        if isinstance(value, dict) and list(value) == ["#"]:
+            return whole(json.loads(objects[value["#"]]["body"]))
+        return {k: whole(v) for k, v in value.items()} if isinstance(value, dict) else [whole(v) for v in value] if isinstance(value, list) else value
+
+    for i in (1, 2, 3, 4):
+        assert whole(json.loads(found[i, ""]["body"])) == rows[i - 1]["message"]
+    assert shred.bridge(make_lines([_line(deep)]), bodies=True, whole=True).count() == 1502
+    assert [tuple(r) for r in shred.usage_table(make_lines(rows)).collect()] == [(2, None, "output_tokens", "3"), (2, None, "cache", '{"a": 1}')]
+
+
 def _copy(key, tokens, session="s", **more):
     usage = {} if tokens is None else {"usage": {"output_tokens": tokens}}
     return {"type": "assistant", "uuid": f"u-{key}", "sessionId": session, "message": {"id": key, **usage}} | more
