@@ -238,7 +238,7 @@ def label(texts: list[str], lexicon: Lexicon) -> list[list[tuple[int, int, str]]
         if nodes[i][0] == nodes[i + 1][0] and nodes[i][3] == nodes[i + 1][3] == "person_name" and nodes[i + 1][1] - nodes[i][2] < 40
     ]
     edges += crf.skip_edges(keys, p["skip"], unary)
-    chance = crf.marginals(unary, edges)
+    chance = crf.marginals(unary, edges, len(nodes))
     taken: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for i in sorted(range(len(nodes)), key=lambda i: (-round(chance[i], 2), nodes[i][1] - nodes[i][2], nodes[i][1])):
         t, a, b, kind = nodes[i]

@@ -24,6 +24,22 @@ def test_many_equal_mentions_take_linear_edges():
     assert len(crf.skip_edges(["k"] * 500, 1.0, unary)) == 500 and len(unary) == 501
 
 
+@pytest.mark.parametrize("n", [2, 6, 7, 8, 30])
+def test_one_model_for_any_number_of_equal_mentions(n):
+    odds = [[2.8, -0.8, -0.5][i * 7 % 3] for i in range(n)] + [0.4, -0.2]
+    chain = [(i, i + 1, 0.6) for i in range(0, n + 1, 2)]
+    pairs = [(a, b, 1.2) for b in range(n) for a in range(b)]
+    unary = list(odds)
+    edges = chain + crf.skip_edges(["k"] * n + [None, "other"], 1.2, unary)
+    assert crf.marginals(unary, edges, n + 2) == pytest.approx(crf.marginals(odds, chain + pairs), abs=1e-9)
+
+
+@pytest.mark.parametrize("uncued", [4, 5])
+def test_repeated_numbers_are_found_below_and_above_the_hub(uncued):
+    text = "SSN 932 20 4518. " * 2 + "then a long stretch of words with no hint whatsoever, and then 932 20 4518 " * uncued
+    assert [k for _, _, k in pii.label([text], LEX)[0]] == ["id_number"] * (2 + uncued)
+
+
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [
