@@ -1,11 +1,11 @@
 """Credentials embedded in source code and configuration: find and redact.
 
-Texts are cut into overlapping chunks; per Arrow batch a trigram index is built
-over the chunks, every detection regex is planned as a formula over required
-trigrams, postings are intersected, and only candidate chunks are verified.
+Per Arrow batch a trigram index is built over the texts, every detection regex
+is planned as a formula over required trigrams, postings are intersected, and
+only candidate texts are verified, each as a whole.
 
-Defined cases: unreadable lines and lines without text give no rows; a match in
-two overlapping chunks counts once; overlapping findings keep the first of
+Defined cases: unreadable lines and lines without text give no rows; a match
+may be of any length; overlapping findings keep the first of
 private key, known token, password, assigned token; equal credentials at
 several places count each time; a key block without an end reaches to the end
 of its text.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +25,6 @@ from sessionloom.functions.records import batch_of, parse
 from sessionloom.llm import trigrams
 from sessionloom.llm.texts import replace_at, texts_of
 
-CHUNK, OVERLAP = 16_384, 4_096
-
 _END = r"(?![A-Za-z0-9_\-])"
 _START = r"(?<![A-Za-z0-9_\-])"
 _VALUE = r"(?P<v>[A-Za-z0-9+/_.=\-]{16,})"
@@ -90,47 +89,89 @@ KNOWN = 11  #: the patterns up to here carry their own proof
 PLANS, GRAMS = trigrams.compiled(PATTERNS)
 
 
+_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_CLOSE = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?=-----BEGIN )")
+#: patterns that begin with a run of these before "://", and the run's first letter
+_RUNS = {r"[a-z][a-z0-9+.\-]*://": re.compile(r"[a-z0-9+.\-]"), r"[a-z]+://": re.compile(r"[a-z]")}
+
+
+def _key_blocks(text: str):
+    """What the private key pattern finds, in memory that a block's length doesn't raise."""
+    at = 0
+    while m := _BEGIN.search(text, at):
+        end = _CLOSE.search(text, m.end())
+        at = end.end() if end else len(text)
+        yield m.start(), at
+
+
+def _by_scheme(regex: re.Pattern, run: re.Pattern, text: str):
+    """finditer from each "://" backwards: a long run of letters is read once."""
+    done, mark = 0, text.find("://")
+    while mark >= 0:
+        first = mark
+        while first > done and run.match(text, first - 1):
+            first -= 1
+        while first < mark and not "a" <= text[first] <= "z":
+            first += 1
+        m = regex.match(text, first) if first < mark else None
+        if m:
+            yield m.span("v")
+            done = m.end()
+        else:
+            done = max(done, mark)
+        mark = text.find("://", max(mark + 1, done))
+
+
+def _by_line(regex: re.Pattern, text: str):
+    """finditer of a pattern within one line: where a match fails, those that
+    begin later on the line fail too."""
+    start = re.compile(r"(?:mysql|mysqldump|mariadb)[ \t]")
+    at = 0
+    while m := start.search(text, at):
+        if found := regex.match(text, m.start()):
+            yield found.span("v")
+            at = found.end()
+        else:
+            at = text.find("\n", m.end())
+            if at < 0:
+                return
+
+
+def _spans(which: int, text: str):
+    """Spans of the credential in each match of a pattern, in linear time."""
+    regex = PLANS[which][1]
+    if PLANS[which][0] == "private_key":
+        return _key_blocks(text)
+    for prefix, run in _RUNS.items():
+        if regex.pattern.startswith(prefix):
+            return _by_scheme(regex, run, text)
+    if regex.pattern.startswith("(?:mysql|"):
+        return _by_line(regex, text)
+    return (m.span("v") for m in regex.finditer(text))
+
+
 def verify(text: str, which: list[int]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the credentials that the given patterns find."""
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # sorted, none overlaps another
     for i in which:
-        kind, regex, _ = PLANS[i]
-        for m in regex.finditer(text):
-            a, b = m.span("v")
-            if any(x < b and a < y for x, y, _ in taken):
+        kind = PLANS[i][0]
+        for a, b in _spans(i, text):
+            k = bisect_left(taken, (b,))
+            if k and taken[k - 1][1] > a:
                 continue
             if _is_credential(kind, text[a:b], i < KNOWN):
-                taken.append((a, b, kind))
-    return sorted(taken)
+                taken.insert(k, (a, b, kind))
+    return taken
 
 
 def scan(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Credentials of each text, by index, postings and verification."""
-    chunks, owner = [], []
-    for i, t in enumerate(texts):
-        for at, chunk in trigrams.chunked(t, CHUNK, OVERLAP):
-            chunks.append(chunk)
-            owner.append((i, at))
-    found: list[dict] = [{} for _ in texts]
-    if not chunks:
-        return [[] for _ in texts]
-    index = trigrams.Index(chunks, GRAMS)
-    hits: dict[int, list[int]] = {}
+    index = trigrams.Index(texts, GRAMS)
+    hits: list[list[int]] = [[] for _ in texts]
     for p, (_, _, formula) in enumerate(PLANS):
         for c in index.candidates(formula).nonzero()[0].tolist():
-            hits.setdefault(c, []).append(p)
-    for c in sorted(hits):
-        i, at = owner[c]
-        for a, b, kind in verify(chunks[c], hits[c]):
-            a, b = a + at, b + at
-            clash = [k for k, (y, _) in found[i].items() if k < b and a < y]
-            if not clash:
-                found[i][a] = (b, kind)
-            elif len(clash) == 1 and found[i][clash[0]][1] == kind:  # the same finding cut by a chunk's end
-                k = clash[0]
-                y, _ = found[i].pop(k)
-                found[i][min(k, a)] = (max(y, b), kind)
-    return [sorted((a, b, k) for a, (b, k) in f.items()) for f in found]
+            hits[c].append(p)
+    return [verify(t, h) if h else [] for t, h in zip(texts, hits)]
 
 
 def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:

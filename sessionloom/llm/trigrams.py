@@ -146,14 +146,6 @@ class Index:
         return found
 
 
-def chunked(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
-    """(offset, chunk) windows of a text; each match shorter than the overlap
-    lies in one of them."""
-    if len(text) <= size:
-        return [(0, text)]
-    return [(i, text[i : i + size]) for i in range(0, len(text) - overlap, size - overlap)]
-
-
 def compiled(patterns: list[tuple[str, str]]):
     """[(kind, regex, formula)] and the sorted list of all their trigrams."""
     plans = [(kind, re.compile(p), required(p)) for kind, p in patterns]
