@@ -364,19 +364,51 @@ class Drift:
         return found.distinct()
 
 
+def _folded(obj: dict, back: dict[str, str]) -> dict:
+    """The object with renamed fields under their agreed names, in their places."""
+    if not any(k in back for k in obj):
+        return obj
+    held, out = set(obj), {}
+    for k, v in obj.items():
+        if k in back and back[k] not in held:
+            held.add(back[k])
+            k = back[k]
+        out[k] = v
+    return out
+
+
+def _fold_back(record: dict, back: dict[str, dict[str, str]]) -> dict:
+    """``_folded`` at every level; ``back`` has each level's renames."""
+    record = _folded(record, back.get("", {}))
+    message = record.get("message")
+    if not isinstance(message, dict):
+        return record
+    message = record["message"] = _folded(message, back.get("message", {}))
+    if isinstance(message.get("usage"), dict):
+        message["usage"] = _folded(message["usage"], back.get("message.usage", {}))
+    content, names = message.get("content"), back.get("message.content[]", {})
+    if isinstance(content, dict):
+        message["content"] = _folded(content, names)
+    elif isinstance(content, list):
+        message["content"] = [_folded(b, names) if isinstance(b, dict) else b for b in content]
+    return record
+
+
 def unify(lines: DataFrame, baseline: DataFrame, renames: dict[str, str], *, raw_col="raw") -> DataFrame:
     """All lines in one consistent table.
 
     One column per agreed path outside blocks (dots become ``__``), text for
-    scalars and JSON text for containers, with renamed fields folded back;
-    ``extras`` maps every unlisted path to its JSON text, so nothing is lost.
+    scalars and JSON text for containers, with renamed fields folded back, also
+    inside that text (message, its usage and its blocks); ``extras`` maps every unlisted path to its JSON text, so nothing is lost.
     Unreadable lines keep their row with ``readable`` false.  Input columns
     whose names clash with an output column are kept as ``in_<name>``.
     """
     agreed = Agreed(baseline.collect())
     paths = sorted(p for p in agreed.paths if "[]" not in p)
     names = [p.replace(".", "__") for p in paths]
-    back = {n: o for n, o in renames.items() if "[]" not in n}
+    back: dict[str, dict[str, str]] = defaultdict(dict)
+    for n, o in renames.items():
+        back[n.rpartition(".")[0]][n.rpartition(".")[2]] = o.rpartition(".")[2]
     carried = [c for c in lines.columns if c != raw_col]
     kept = [f"in_{c}" if c in {*names, "readable", "extras"} else c for c in carried]
     source = lines.select(*[F.col(c).alias(k) for c, k in zip(carried, kept)], F.col(raw_col).alias("__raw"))
@@ -394,11 +426,8 @@ def unify(lines: DataFrame, baseline: DataFrame, renames: dict[str, str], *, raw
             for raw in batch.column(batch.num_columns - 1).to_pylist():
                 record = parse(raw)
                 ok.append(record is not None)
-                own = _levels(record)[0] if record is not None else {}
+                own = _levels(_fold_back(record, back))[0] if record is not None else {}
                 rest = {}
-                for p in list(own):
-                    if p in back and back[p] not in own:
-                        own[back[p]] = own.pop(p)
                 for p, v in own.items():
                     if p not in agreed.paths:
                         rest[p] = json.dumps(v, ensure_ascii=False)

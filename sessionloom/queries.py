@@ -40,10 +40,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
-    """Every line in the consistent table, without the extras map."""
+    """Every line in the consistent table; extras as JSON text, sorted by path."""
     lines, baseline = table(spark, folder, "transcript_lines"), table(spark, folder, "schema_baseline")
     renames = drift.Drift(lines, baseline).learn_renames()
-    return drift.unify(lines, baseline, renames).drop("extras")
+    extras = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("extras"))))
+    return drift.unify(lines, baseline, renames).withColumn("extras", extras)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,6 +54,31 @@ def test_unify_keeps_everything(spark, make_lines):
     assert out[0]["extras"] == {"extra": '{"a": [1]}'} and out[0]["readable"] and not out[1]["readable"]
 
 
+def test_unified_query_keeps_added_fields_and_folds_blocks(spark, make_lines, tmp_path):
+    import json
+
+    from sessionloom import queries
+
+    rows = [_user(i) for i in range(12)]
+    for i in range(12):
+        block = {"kind": "text", "text": f"words {i}", "more": 1} if i % 2 else {"type": "text", "text": f"words {i}"}
+        rows.append(_user(i, zeta={"a": [i]}, message={"content": [block, "bare"], "speed": "fast", "usage": {"tier": 2}}))
+    make_lines([*rows, "{broken"]).write.parquet(str(tmp_path / "transcript_lines.parquet"))
+    _base(spark).write.parquet(str(tmp_path / "schema_baseline.parquet"))
+    out = queries.p1_unified(spark, str(tmp_path)).orderBy("line_id").collect()
+    extras = json.loads(out[13]["extras"])
+    assert list(extras) == sorted(extras) and {k: json.loads(v) for k, v in extras.items()} == {"message.speed": "fast", "message.usage": {"tier": 2}, "message.usage.tier": 2, "zeta": {"a": [1]}}
+    want = [{"type": "text", "text": "words 1", "more": 1}, "bare"]
+    assert json.loads(out[13]["message__content"]) == want and json.loads(out[13]["message"])["content"] == want
+    assert out[0]["extras"] == "{}" and not out[24]["readable"]
+
+
+def test_renamed_fields_fold_at_every_level():
+    back = {"": {"b": "a"}, "message": {"m2": "m"}, "message.usage": {"u2": "u"}, "message.content[]": {"kind": "type"}}
+    got = drift._fold_back({"b": 1, "message": {"m2": 1, "usage": {"u2": 1, "u": 2}, "content": {"kind": 1}}}, back)
+    assert got == {"a": 1, "message": {"m": 1, "usage": {"u2": 1, "u": 2}, "content": {"type": 1}}}
+
+
 def test_matching_is_of_maximum_weight():
     assert drift.match([[0.9, 0.8], [0.85, 0.0]]) == [1, 0]
     assert drift.match([[0.1, 0.5, 0.4]]) == [1]
