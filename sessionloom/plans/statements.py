@@ -151,6 +151,12 @@ CAPTURE: dict[str, Statement] = {
     "ag35_session_tallies": S("select session_id, count(*) n, count(*) filter (where type='system') system_lines, count(*) filter (where k_hook_count<>'absent') hook_lines from lines group by session_id"),
     "ag37_overhead": S(f"with {_FIRINGS} select session_id, pid, round(end_ms - start_ms - duration_ms, 1) + 0.0 overhead from firings where end_ms is not null and start_ms is not null and duration_ms is not null"),
     "jn14_overlaps": S(f"with {_FIRINGS} select session_id, pid, start_ms <= max(coalesce(end_ms, start_ms)) over (partition by session_id order by start_ms, pid rows between unbounded preceding and 1 preceding) is_overlap from firings where start_ms is not null"),
+    "jn14_firing_overlaps": S(
+        f"with {_FIRINGS} select session_id, pid, coalesce(start_ms <= max(coalesce(end_ms, start_ms)) over (partition by session_id order by start_ms, pid rows between unbounded preceding and 1 preceding), false) "
+        "or coalesce(lead(start_ms) over (partition by session_id order by start_ms, pid) <= coalesce(end_ms, start_ms), false) is_overlap from firings where start_ms is not null",
+        f"with {_FIRINGS}, p as (select a.session_id, a.pid a_pid, b.pid b_pid from firings a join firings b on a.session_id is not distinct from b.session_id and (a.start_ms < b.start_ms or a.start_ms = b.start_ms and a.pid < b.pid) and b.start_ms <= coalesce(a.end_ms, a.start_ms)) "
+        "select session_id, pid, exists (select 1 from p where p.session_id is not distinct from f.session_id and (a_pid=pid or b_pid=pid)) is_overlap from firings f where start_ms is not null",
+    ),
     "jn15_asof_back": S("select session_id, ts_ms, phase, pid, max(case when hook_event='PreToolUse' and phase='exit' then ts_ms end) over (partition by session_id order by ts_ms range between unbounded preceding and 1 preceding) before from (select session_id, cast(floor(ts_ms) as bigint) ts_ms, phase, pid, hook_event from dispatch)"),
     "jn16_tool_decisions": S(f"with {_FIRINGS} select b.id, b.name, f.route, f.decision from (select id, name, row_number() over (partition by id order by line_id, pos) rn from uses) b join firings f on b.id=f.tool_use_id where b.rn=1"),
     "jn17_asof_forward": S("select session_id, ts_ms, pid, min(case when phase='exit' then ts_ms end) over (partition by session_id, hook_event order by ts_ms range between 1 following and unbounded following) next from (select session_id, cast(floor(ts_ms) as bigint) ts_ms, phase, pid, hook_event from dispatch) where session_id is not null"),

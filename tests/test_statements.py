@@ -64,3 +64,33 @@ def test_empty_corpus(spark, make_lines, tmp_path):
 def test_worked_cost_example(spark):
     row = spark.sql("select round((2741*5.0D + 329*25.0D + 0*5.0D*0.1 + 0*5.0D*1.25 + 19227*5.0D*2)/1000000, 7) c").first()
     assert row["c"] == 0.2142
+
+
+WHOLE = ("jn14_firing_overlaps",)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_statement_equals_oracle(spark, name):
+    test_statement_equals_oracle(spark, name)
+
+
+def _checked(spark, folder, table, name):
+    """Rows of a statement, the same from the checking engine."""
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    df = corpus.run(spark, folder, statements.ALL[name])
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got, key=repr) == sorted(c.execute(f"select {', '.join(df.columns)} from ({queries.SQL[name]})").fetchall(), key=repr)
+    return got
+
+
+def test_both_firings_of_an_overlap_are_marked(spark, make_lines, tmp_path):
+    make_lines([]).write.parquet(str(tmp_path / "transcript_lines.parquet"))
+    fired = [("s", 1, 0, 10), ("s", 2, 10, 20), ("s", 3, 30, None), ("s", 4, 40, 90), ("s", 5, 50, 55), ("s", 6, 80, 85), ("t", 7, 0, 5)]
+    rows = [(s, p, float(at), phase) for s, p, a, b in fired for at, phase in ((a, "enter"), (b, "exit")) if at is not None]
+    df = spark.createDataFrame([(*r, None, None, None, None, None, None) for r in rows], "session_id string, pid bigint, ts_ms double, phase string, hook_event string, tool_use_id string, decision string, duration_ms double, tool string, route string")
+    df.write.parquet(str(tmp_path / "dispatch.parquet"))
+    got = {p: x for _, p, x in _checked(spark, str(tmp_path), "dispatch", "jn14_firing_overlaps")}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False}
