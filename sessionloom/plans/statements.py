@@ -54,6 +54,30 @@ def _markers(column: str) -> str:
     return ", ".join(f"count(*) filter (where contains({column}, '{m}')) as m{i}" for i, m in enumerate(PERSISTED))
 
 
+# AG-27: lines with a denial kind, the first result block of each, by kind
+_DENIALS = (
+    "with denied as (select line_id, case when k_denial='null' then '<null>' when k_denial='str' and ENUM then denial when k_denial='str' then concat('<non-enum len=', length(denial), '>') else '<other>' end kind, "
+    f"case when VOK then version end version, case when VOK then {_VKEY} end o from lines where k_denial<>'absent'), "
+    "blocks_of as (select line_id, count(*) over (partition by line_id) n, row_number() over (partition by line_id order by pos) rn, k_is_error, is_error, left(coalesce(case when k_inner='str' then inner_text when k_inner='list' then PARTS end, ''), 300) t "
+    "from results r where line_id in (select line_id from denied)), "
+    "firsts as (select d.line_id, d.kind, d.version, d.o, coalesce(b.n, 0) > 1 multi, case when b.n is null then '<no-tool-result>' when k_is_error='absent' then '<absent>' when k_is_error='null' then '<null>' when k_is_error='bool' then cast(is_error as TEXT) else '<other>' end error_label, "
+    "case when b.n is null then '<no-tool-result>' else MARK end marker from denied d left join (select * from blocks_of where rn=1) b on d.line_id=b.line_id), "
+    "errors as (select kind, HIST is_errors from (select kind, error_label label, count(*) n from firsts group by 1, 2) group by kind), marks as (select kind, HIST markers from (select kind, marker label, count(*) n from firsts group by 1, 2) group by kind) "
+    "select k.kind, k.denials, k.first_version, k.last_version, k.versions, e.is_errors, m.markers, k.multi_block_lines from (select kind, count(*) denials, min_by(version, o) first_version, max_by(version, o) last_version, "
+    "count(distinct version) versions, count(*) filter (where multi) multi_block_lines from firsts group by kind) k join errors e on k.kind=e.kind join marks m on k.kind=m.kind"
+)
+_CYCLE = (
+    "select coalesce(u.name,'<unnamed>') tool, count(*) results, count(*) filter (where shape='dict') env_dict, count(*) filter (where shape='null') env_null, count(*) filter (where shape='absent') env_absent, count(*) filter (where shape='non_dict') env_non_dict, "
+    "count(*) filter (where shape='ambiguous') env_ambiguous, count(*) filter (where shape='dict' and patch) structured_patch, count(*) filter (where shape='dict' and asked) prompt, count(*) filter (where shape='dict' and stats) tool_stats "
+    "from (select file_name, tool_use_id, patch, asked, stats, case when k_envelope in ('absent','null') then k_envelope when count(*) over (partition by line_id) > 1 then 'ambiguous' when k_envelope='dict' then 'dict' else 'non_dict' end shape "
+    "from (select line_id, file_name, tool_use_id, k_envelope, KEY(structuredPatch) patch, KEY(prompt) asked, KEY(toolStats) stats from results)) r join uses u on r.file_name=u.file_name and r.tool_use_id=u.id group by 1"
+)
+
+
+def _keyed(form: str) -> dict[str, str]:
+    return {f"KEY({k})": form.format(k=k) for k in ("structuredPatch", "prompt", "toolStats")}
+
+
 PROFILE: dict[str, Statement] = {
     "src04_line_classes": S("select class, count(*) n from classes group by class", "select \"class\", count(*) n from classes group by \"class\""),
     "src12_result_texts": S("select count(*) texts, sum(length(text)) chars, count(distinct line_id) lines_with from texts"),
@@ -78,6 +102,12 @@ PROFILE: dict[str, Statement] = {
     "ag23_markers": S(f"select count(*) n, {_markers('text')} from texts"),
     "ag24_tags": S("select tag, count(*) n from (select explode(regexp_extract_all(lower(text), '(<[^>\\\\n]{1,40}>)', 1)) tag from texts where contains(text,'persist') or contains(text,'output')) where contains(tag,'persist') or contains(tag,'output') group by tag", "select tag, count(*) n from (select unnest(regexp_extract_all(lower(text), '<[^>\\n]{1,40}>')) tag from texts where contains(text,'persist') or contains(text,'output')) where contains(tag,'persist') or contains(tag,'output') group by tag"),
     "ag27_denial_markers": S(f"select marker, count(*) n from (select {_MARK_SPARK} marker from (select left(text, 300) t from texts)) group by marker", f"select marker, count(*) n from (select {_MARK_DUCK} marker from (select left(text, 300) t from texts)) group by marker"),
+    "ag15_cycle_keys": _both(_CYCLE, _keyed("try_variant_get(v, '$.toolUseResult.{k}', 'variant') is not null"), _keyed("json_type(raw,'$.toolUseResult.{k}') is not null")),
+    "ag27_denials": _both(
+        _DENIALS,
+        {"ENUM": "rlike(denial, '^[a-z][a-z0-9_-]{0,39}\\\\z')", "VOK": _vs, "TEXT": "string", "MARK": _MARK_SPARK, "HIST": "array_join(array_sort(collect_list(concat(label, '=', n))), ', ')", "PARTS": "try_variant_get(get(filter(try_variant_get(inner, '$', 'array<variant>'), x -> coalesce(schema_of_variant(try_variant_get(x, '$.text', 'variant'))='STRING', false)), 0), '$.text', 'string')"},
+        {"ENUM": "regexp_full_match(denial, '[a-z][a-z0-9_-]{0,39}')", "VOK": _vd, "TEXT": "varchar", "MARK": _MARK_DUCK, "HIST": "string_agg(concat(label, '=', n), ', ' order by concat(label, '=', n))", "PARTS": "(select json_extract_string(p,'$.text') from (select unnest(json_extract(inner_json,'$[*]')) p, generate_subscripts(json_extract(inner_json,'$[*]'),1) i) where json_type(p,'$.text')='VARCHAR' order by i limit 1)"},
+    ),
     "prj06_tool_fold": S("select case when name in ('Edit','Agent') then name else '<other>' end tool, count(*) n from uses group by 1"),
     "prj13_envelopes": S("select case when n > 1 and k_envelope not in ('absent','null') then 'ambiguous_multi_block' when k_envelope in ('dict','null','absent') then k_envelope else 'non_dict' end shape, count(*) n from (select line_id, k_envelope, count(*) n from results group by line_id, k_envelope) group by 1"),
     "prj15_result_lines": S("select count(distinct line_id) n from results"),

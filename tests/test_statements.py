@@ -66,7 +66,7 @@ def test_worked_cost_example(spark):
     assert row["c"] == 0.2142
 
 
-WHOLE = ("jn14_firing_overlaps",)
+WHOLE = ("ag15_cycle_keys", "ag27_denials", "jn14_firing_overlaps")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
@@ -94,3 +94,29 @@ def test_both_firings_of_an_overlap_are_marked(spark, make_lines, tmp_path):
     df.write.parquet(str(tmp_path / "dispatch.parquet"))
     got = {p: x for _, p, x in _checked(spark, str(tmp_path), "dispatch", "jn14_firing_overlaps")}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False}
+
+
+def test_denials_are_reported_by_kind(spark, make_lines, tmp_path):
+    part = lambda t, **more: {"type": "tool_result", "tool_use_id": "t", "content": t, **more}
+    line = lambda kind, *content, **more: {"type": "user", "toolDenialKind": kind, "message": {"content": list(content)}, **more}
+    rows = [
+        line("rule", part("It has been denied", is_error=True), part("x"), version="1.10.0"), line("rule", part([3, {"type": "image"}, {"type": "odd", "text": "blocked"}]), version="1.9.0"),
+        line("rule", version="x"), line("Not Enum"), line(None, part("", is_error=None)), line(["a"], part([], is_error="yes")),
+        {"type": "user", "message": {"content": [part("permission")]}},
+    ]
+    make_lines(rows).write.parquet(str(tmp_path / "transcript_lines.parquet"))
+    got = {r[0]: r[1:] for r in _checked(spark, str(tmp_path), "transcript_lines", "ag27_denials")}
+    assert got == {
+        "rule": (3, "1.9.0", "1.10.0", 2, "<absent>=1, <no-tool-result>=1, true=1", "<no-tool-result>=1, blocked-phrase=1, has-been-denied-phrase=1", 1),
+        "<non-enum len=8>": (1, None, None, 0, "<no-tool-result>=1", "<no-tool-result>=1", 0),
+        "<null>": (1, None, None, 0, "<null>=1", "no-marker=1", 0), "<other>": (1, None, None, 0, "<other>=1", "no-marker=1", 0),
+    }
+
+
+def test_conditional_keys_count_where_the_envelope_is_a_lone_object(spark, make_lines, tmp_path):
+    use = {"type": "assistant", "message": {"content": [{"type": "tool_use", "id": "t", "name": "Edit"}]}}
+    result = {"type": "tool_result", "tool_use_id": "t"}
+    line = lambda tur, n=1: {"type": "user", "toolUseResult": tur, "message": {"content": [result] * n}}
+    rows = [use, line({"structuredPatch": None, "prompt": "p"}), line({"toolStats": {}}), line({"prompt": "p"}, 2), line("text"), line(None, 2)]
+    make_lines(rows).write.parquet(str(tmp_path / "transcript_lines.parquet"))
+    assert _checked(spark, str(tmp_path), "transcript_lines", "ag15_cycle_keys") == [("Edit", 7, 2, 2, 0, 1, 2, 1, 1, 1)]
