@@ -1,7 +1,7 @@
 """Rebuilding conversations from message rows.
 
 Every message gets candidate parents: the links that its copies state, and,
-where links are to be inferred, the messages just before it in its session.
+where links are to be inferred, all messages before it in its session.
 A candidate's score adds a stated link, closeness in time, a mention of the
 candidate's ids and lexical overlap; the likeliest parent is chosen, link trees
 are solved by the hierarchy operator (bounded blocks, so a session with a third
@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.records import BLOCK_ALIASES, RECORD_ALIASES, batch_of, blocks, field, parse, text_of
@@ -46,7 +47,7 @@ MESSAGES_DDL = (
 )
 #: Weights of a candidate link, per feature.
 WEIGHTS = {"stated": 100.0, "time": 2.0, "mention": 8.0, "overlap": 3.0, "turn": 1.0}
-WINDOW = 16  #: messages before one that are candidates of an inferred link
+SLICE = 50_000  #: asking messages that one pass over the candidates serves; links don't depend on it
 
 
 def millis(value) -> int:
@@ -97,7 +98,7 @@ def messages(lines: DataFrame, *, id_col="line_id", raw_col="raw", lexical=False
                 texts = [content] if isinstance(content, str) else [b["text"] for b in parts if isinstance(b, dict) and isinstance(b.get("text"), str)]
                 blank = int(not any(t.strip() for t in texts))
                 if lexical:
-                    words = sorted({crc32(w.encode()) & 0x7FFFFFFF for t in texts for w in t.lower().split()})[:256]
+                    words = sorted({crc32(w.encode()) & 0x7FFFFFFF for t in texts for w in t.lower().split()})
                     for b in parts:
                         if isinstance(b, dict):
                             mentions += [x for x in (text_of(b.get("id")), text_of(field(b, "tool_use_id", BLOCK_ALIASES))) if x]
@@ -125,36 +126,112 @@ def stated_links(copies: DataFrame) -> DataFrame:
     return best.select("session_id", "uuid", "parent", "line_id", "m.*")
 
 
+class _Asking:
+    """The messages of one session that ask for a parent, indexed by word and mention."""
+
+    def __init__(self, rows: list) -> None:
+        self.keys = [r["uuid"] for r in rows]
+        self.ts = np.array([r["ts"] for r in rows], np.int64)
+        self.roles = np.array([r["role"] or "" for r in rows])
+        self.sizes = np.array([len(r["words"]) for r in rows])
+        words: dict[int, list[int]] = {}
+        ids: dict[str, list[int]] = {}
+        own: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            own.setdefault(r["uuid"], []).append(i)
+            for w in r["words"]:
+                words.setdefault(w, []).append(i)
+            for x in set(r["mentions"]):
+                ids.setdefault(x, []).append(i)
+        self.words = {w: np.array(at) for w, at in words.items()}
+        self.ids, self.own = ids, own
+        self.best: list[tuple | None] = [None] * len(rows)
+        self.high = np.full(len(rows), -np.inf)
+
+    def offer(self, uuid: str, ts: int, role: str | None, words: list[int], mentions: list[str]) -> None:
+        """Score a candidate against all of them; keep it where it is the best."""
+        met = [self.words[w] for w in words if w in self.words]
+        shared = np.bincount(np.concatenate(met), minlength=len(self.ts)) if met else 0
+        score = WEIGHTS["time"] * np.exp(-np.maximum(self.ts - ts, 0) / 60000.0) + WEIGHTS["overlap"] * (shared / np.maximum(self.sizes + len(words) - shared, 1))
+        named = {i for x in {uuid, *mentions} for i in self.ids.get(x, ())}
+        if named:
+            score[list(named)] += WEIGHTS["mention"]
+        if role:
+            score += WEIGHTS["turn"] * ((self.roles != role) & (self.roles != ""))
+        fit = (score >= self.high) & (self.ts >= ts)
+        for i in self.own.get(uuid, ()):
+            fit[i] = False
+        for i in np.flatnonzero(fit).tolist():
+            new = (float(score[i]), ts, uuid)
+            if self.best[i] is None or new > self.best[i]:
+                self.best[i], self.high[i] = new, new[0]
+
+
+OFFERS = pa.schema([("session_id", pa.string()), ("uuid", pa.string()), ("parent", pa.string()), ("score", pa.float64()), ("p_ts", pa.int64())])
+
+
 def infer_links(copies: DataFrame) -> DataFrame:
     """(session_id, uuid, parent, score) for messages whose stated parent is in no
-    line: the likeliest of the messages before it.
+    line: the likeliest of all messages before it in its session.
 
-    Candidates are the last ``WINDOW`` messages of its own and the previous hour
-    of the session; the join is on (session, hour) and the window on the asking
-    message, so nothing runs over a whole hot session.
+    The asking messages are indexed and sent to the tasks, a slice at a time, and
+    every candidate is scored against those of its session, so nothing runs over
+    a whole hot session and only each task's best offers are shuffled.
     """
     one = copies.groupBy("session_id", "uuid").agg(F.min_by(F.struct(*[c for c in copies.columns if c not in ("session_id", "uuid")]), "line_id").alias("m"))
     one = stage(one.select("session_id", "uuid", "m.*"), "links")
     known = one.select("session_id", F.col("uuid").alias("parent"))
-    lost = one.where("parent is not null").join(known, ["session_id", "parent"], "left_anti")
-    hour = F.expr("ts div 3600000")
-    near = one.select(
-        "session_id", F.col("uuid").alias("p_uuid"), F.col("ts").alias("p_ts"), F.col("role").alias("p_role"), F.col("words").alias("p_words"),
-        F.col("mentions").alias("p_mentions"), F.explode(F.array(hour, hour + 1)).alias("hour"),
-    )
-    met = lost.withColumn("hour", hour).join(near, ["session_id", "hour"]).where("p_ts <= ts and p_uuid <> uuid")
-    rank = Window.partitionBy("session_id", "uuid").orderBy(F.desc("p_ts"), "p_uuid")
-    met = met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= WINDOW)
-    shared = F.size(F.array_intersect("words", "p_words")) / F.greatest(F.size(F.array_union("words", "p_words")), F.lit(1))
-    mention = (F.arrays_overlap("mentions", "p_mentions") | F.array_contains("mentions", F.col("p_uuid"))).cast("int")
-    score = (
-        WEIGHTS["time"] * F.exp(-(F.col("ts") - F.col("p_ts")) / 60000.0)
-        + WEIGHTS["mention"] * F.coalesce(mention, F.lit(0))
-        + WEIGHTS["overlap"] * shared
-        + WEIGHTS["turn"] * F.coalesce((F.col("role") != F.col("p_role")).cast("int"), F.lit(0))
-    )
-    best = met.groupBy("session_id", "uuid").agg(F.max_by(F.struct("p_uuid", score.alias("s")), F.struct(score, "p_ts", "p_uuid")).alias("b"))
-    return best.select("session_id", "uuid", F.col("b.p_uuid").alias("parent"), F.col("b.s").alias("score"))
+    lost = one.where("parent is not null").join(known, ["session_id", "parent"], "left_anti").select("session_id", "uuid", "ts", "role", "words", "mentions")
+    spark = copies.sparkSession
+    source = one.select("session_id", "uuid", "ts", "role", "words", "mentions")
+
+    def passed(rows: list) -> DataFrame:
+        by: dict[str, list] = {}
+        for r in rows:
+            by.setdefault(r["session_id"], []).append(r.asDict())
+        held = spark.sparkContext.broadcast(by)
+
+        def run(batches):
+            asking: dict[str, _Asking] = {}
+            for batch in batches:
+                sessions = batch.column(0).to_pylist()
+                hit = [i for i, x in enumerate(sessions) if x in held.value]
+                for session, *candidate in zip(*(c.take(pa.array(hit, pa.int64())).to_pylist() for c in batch.columns)):
+                    if session not in asking:
+                        asking[session] = _Asking(held.value[session])
+                    asking[session].offer(*candidate)
+            out = [(s, a.keys[i], b[2], b[0], b[1]) for s, a in asking.items() for i, b in enumerate(a.best) if b is not None]
+            yield batch_of(OFFERS, out)
+
+        return source.mapInArrow(run, "session_id string, uuid string, parent string, score double, p_ts bigint")
+
+    offers, rows = None, []
+
+    def add(rows: list) -> DataFrame:
+        return passed(rows) if offers is None else offers.unionByName(passed(rows))
+
+    for r in stage(lost, "lost").toLocalIterator():
+        rows.append(r)
+        if len(rows) == SLICE:
+            offers, rows = add(rows), []
+    if rows or offers is None:
+        offers = add(rows)
+    best = offers.groupBy("session_id", "uuid").agg(F.max_by(F.struct("parent", "score"), F.struct("score", "p_ts", "parent")).alias("b"))
+    return best.select("session_id", "uuid", "b.parent", "b.score")
+
+
+def inferred_trees(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:
+    """(session_id, uuid, parent, root, depth) of every message, lost parents
+    replaced by inferred ones; root null and depth -1 on or below a cycle."""
+    copies = messages(lines, id_col=id_col, raw_col=raw_col, lexical=True)
+    chosen = infer_links(copies).select("session_id", "uuid", F.col("parent").alias("likely"))
+    links = stated_links(copies.drop("words", "mentions")).join(chosen, ["session_id", "uuid"], "left")
+    mark = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\u001f", "session_id", c))
+    links = links.withColumn("parent", F.coalesce("likely", "parent"))
+    nodes = stage(links.select(mark("uuid").alias("id"), mark("parent").alias("parent"), "session_id", "ts"), "inferred")
+    id_of = lambda c: F.split(c, "\u001f", 2)[1]
+    solved = hierarchy(nodes, near=["session_id", "ts"])
+    return solved.select(F.split("id", "\u001f", 2)[0].alias("session_id"), id_of("id").alias("uuid"), id_of("parent").alias("parent"), id_of("root").alias("root"), "depth")
 
 
 def conversations(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:

@@ -26,6 +26,11 @@ def p4_inferred(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.infer_links(copies).drop("score")
 
 
+def p4_inferred_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message with its root and depth, lost parents inferred."""
+    return conversations.inferred_trees(table(spark, folder, "transcript_lines"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.found(table(spark, folder, "transcript_lines"))
 
@@ -60,7 +65,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_redacted, p4_found, p4_inferred, p7_found, p7_redacted, p8_found, p9_selection, p9_shares, p10_found, p10_shares,
+        p3_found, p3_redacted, p4_found, p4_inferred, p4_inferred_trees, p7_found, p7_redacted, p8_found, p9_selection, p9_shares, p10_found, p10_shares,
     )
 }
 SQL: dict[str, str] = {}

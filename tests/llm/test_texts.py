@@ -53,6 +53,21 @@ def test_lost_parents_are_inferred(spark, make_lines):
     assert [(r["uuid"], r["parent"]) for r in got] == [("b", "a")]
 
 
+def test_far_parents_are_inferred_and_form_trees(spark, make_lines):
+    from itertools import count
+
+    at, words = count(3), " ".join(f"w{i}" for i in range(700))
+    rows = [_message("assistant", "named", None, T.format(1), text="one"), _message("assistant", "long", "named", T.format(2), text=words)]
+    rows += [_message("user", f"m{i}", "long", T.format(next(at)), text="noise here") for i in range(20)]
+    late = "2026-02-07T09:00:00Z"
+    rows += [_message("user", "x", "lost", late, text="other", sourceToolAssistantUUID="named"), _message("user", "y", "gone", late, text=words)]
+    df = make_lines(rows)
+    got = {r["uuid"]: r["parent"] for r in conversations.infer_links(conversations.messages(df, lexical=True)).collect()}
+    assert got == {"x": "named", "y": "long"}
+    trees = {r["uuid"]: (r["root"], r["depth"]) for r in conversations.inferred_trees(df).collect()}
+    assert trees["x"] == ("named", 1) and trees["y"] == ("named", 2) and len(trees) == 24
+
+
 def _items(spark, *questions):
     return spark.createDataFrame([(i, q) for i, q in enumerate(questions, 1)], "item_id bigint, question string")
 
