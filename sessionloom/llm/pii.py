@@ -29,7 +29,6 @@ from sessionloom.functions.records import batch_of, parse
 from sessionloom.llm import crf
 from sessionloom.llm.texts import replace_at, texts_of
 
-MAX_LEXICON = 200_000  #: tokens per lexicon that are sent to the tasks
 LEAST_SEEN, LEAST_SHARE = 2, 0.1  #: introductions of a token, and their share of its uses
 
 EMAIL = re.compile(r"(?<![\w.+%-])(?:mailto:)?[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-]|:[\w/~])")
@@ -282,7 +281,7 @@ def learn_lexicon(lines: DataFrame, *, raw_col="raw") -> Lexicon:
     kept = counted.where(
         f"given >= {LEAST_SEEN} or (family >= {LEAST_SEEN} and family >= {LEAST_SHARE} * use)"
     )
-    rows = kept.orderBy(F.desc(F.greatest(F.coalesce("given", F.lit(0)), F.coalesce("family", F.lit(0))))).limit(MAX_LEXICON).collect()
+    rows = kept.collect()
     given = {r["token"] for r in rows if (r["given"] or 0) >= LEAST_SEEN and (r["given"] or 0) >= 0.2 * (r["family"] or 0)}
     family = {
         r["token"]

@@ -11,7 +11,7 @@ its terms give the most weight, if that is clear, and a text has the subjects
 that at least three of its sentences treat.
 
 A sweep reads the staged rows once; what a task returns is at most components
-times terms, and the vocabulary is bounded (``MAX_TERMS``).
+times terms; the vocabulary is kept whole, so its size sets the memory.
 
 Defined cases: null and blank texts have no subject; examples with a null
 subject only mark words as general; a sentence with no term of the vocabulary
@@ -35,8 +35,7 @@ from sessionloom.plans.runtime import stage
 LEAST_SENTENCES = 3  #: sentences that make a subject of a text
 GENERAL = 3  #: subjects whose examples share a word for it to be general
 FRAME = 5  #: subjects whose examples share a word for its pairs to be dropped too
-LEAST_SEEN = 3  #: sentences a term must be in; raised until MAX_TERMS holds
-MAX_TERMS = 50_000  #: size of the vocabulary, which is broadcast
+LEAST_SEEN = 3  #: sentences a term must be in; all such terms are broadcast
 SWEEPS, INNER = 8, 6  #: updates of the components; of the mixtures within each
 TIE = 0.05  #: weight that keeps components at their seeds
 PURE = 0.85  #: share of a term's weight that its subject must have to count
@@ -161,10 +160,7 @@ def _vocabulary(documents: DataFrame, general: set[str], frame: set[str], seeded
 
     counted = documents.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     counted = stage(counted.where(F.col("n") >= LEAST_SEEN), "terms")
-    least = LEAST_SEEN
-    while counted.where(F.col("n") >= least).count() > MAX_TERMS:
-        least *= 2
-    found = {r["term"]: r["n"] for r in counted.where(F.col("n") >= least).collect()}
+    found = {r["term"]: r["n"] for r in counted.collect()}
     return {t: found.get(t, 1) for t in sorted({*found, *seeded})}
 
 
@@ -276,7 +272,7 @@ def _agreement(documents: DataFrame, model: Model) -> dict[str, float]:
             yield batch_of(schema, [(t, c, agree[t]) for t, c in n.items()])
 
     found = documents.mapInArrow(run, "term string, n bigint, x double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    return {r["term"]: (r["x"] + 5.0) / (r["n"] + 10.0) for r in found.collect()}  # at most MAX_TERMS and the seeds
+    return {r["term"]: (r["x"] + 5.0) / (r["n"] + 10.0) for r in found.collect()}  # at most the vocabulary
 
 
 COUNTED = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("sentences", pa.int32())])

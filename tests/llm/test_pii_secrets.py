@@ -132,3 +132,10 @@ def test_long_runs_are_searched_in_linear_time():
     text = "ab" * 500_000 + " https://h.example " + "mysql x " * 50_000
     began = time.time()
     assert secrets.scan([text]) == [[]] and time.time() - began < 20
+
+
+def test_no_name_is_dropped_from_a_large_lexicon(make_lines, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_LEXICON", 1, raising=False)
+    names = [("Mina", "Okanduwe"), ("Jorun", "Pellinger")]
+    df = make_lines([{"type": "last-prompt", "lastPrompt": f"Reporter: {a} {b}"} for a, b in names for _ in range(4)])
+    assert pii.learn_lexicon(df).family >= {"okanduwe", "pellinger"}

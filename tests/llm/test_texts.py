@@ -148,3 +148,9 @@ def test_mix_keeps_caps_and_shares(spark):
     assert used.where("source = 'blog_post' and count > 1").count() == 0 and used.where("count > 2").count() == 0
     empty, nothing = mixing.mix(df.limit(0), goal)
     assert empty.count() == 0 and {r["tokens"] for r in nothing.collect()} == {0}
+
+
+def test_no_term_is_dropped_from_a_large_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "MAX_TERMS", 2, raising=False)
+    df = spark.createDataFrame([("Copper kettles whistle loudly.",)] * 3, "text string")
+    assert {"copper", "kettles", "whistle"} <= {w for t in subjects._vocabulary(df, set(), set(), set()) for w in t.split()}
