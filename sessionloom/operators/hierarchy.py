@@ -206,11 +206,11 @@ def _double(frags: DataFrame, above: list[str]) -> tuple[DataFrame, DataFrame]:
     pending = cur.where("p is not null").count()
     while pending and pending != before:
         gain = cur.where("p is not null").groupBy(F.col("p").alias("f")).agg(F.sum("s").alias("g"))
-        jump = cur.select(F.col("f").alias("p"), F.col("p").alias("pp"))
-        cur = stage(
-            cur.join(jump, "p", "left").join(gain, "f", "left").select("f", F.col("pp").alias("p"), (F.col("s") + F.coalesce("g", F.lit(0))).alias("s")),
-            "sizes",
-        )
+        # solved fragments hop no more: they stay out of the join on the pointer, where all would meet on null
+        jump = cur.where("p is not null").select(F.col("f").alias("p"), F.col("p").alias("pp"))
+        hopped = cur.where("p is not null").join(jump, "p", "left").select("f", F.col("pp").alias("p"), "s")
+        every = hopped.unionByName(cur.where("p is null"))
+        cur = stage(every.join(gain, "f", "left").select("f", "p", (F.col("s") + F.coalesce("g", F.lit(0))).alias("s")), "sizes")
         before, pending = pending, cur.where("p is not null").count()
     totals = cur.where("p is null").select("f", F.col("s").alias("total"))
     return totals, frags
@@ -228,13 +228,10 @@ def _offsets(frags: DataFrame, begun: DataFrame, above: list[str]) -> DataFrame:
     before, pending = -1, cur.where("p is not null").count()
     while pending and pending != before:
         hop = cur.select(F.col("f").alias("p"), F.col("p").alias("pp"), F.col("root").alias("rr"), *[F.col(s).alias(f"h_{s}") for s in sums])
-        cur = stage(
-            cur.join(hop, "p", "left").select(
-                "f", F.col("pp").alias("p"), *[(F.col(s) + F.coalesce(F.col(f"h_{s}"), F.lit(0))).alias(s) for s in sums],
-                F.coalesce("rr", "root").alias("root"),
-            ),
-            "offsets",
+        hopped = cur.where("p is not null").join(hop, "p", "left").select(
+            "f", F.col("pp").alias("p"), *[(F.col(s) + F.coalesce(F.col(f"h_{s}"), F.lit(0))).alias(s) for s in sums], F.coalesce("rr", "root").alias("root")
         )
+        cur = stage(hopped.unionByName(cur.where("p is null").select(*hopped.columns)), "offsets")
         before, pending = pending, cur.where("p is not null").count()
     return cur.where("p is null").select("f", "root", *sums)
 
@@ -264,8 +261,10 @@ def paths(solved: DataFrame, of: DataFrame) -> DataFrame:
     rows grow with depth of the asked nodes only.
     """
     asked = solved.join(of.select("id").distinct(), "id", "left_semi").where("lft is not null")
-    levels = F.sequence(F.lit(0), F.lit(40))
-    points = asked.select("id", "root", F.col("lft").alias("x"), F.explode(levels).alias("k")).withColumn("cell", F.expr("shiftright(x, k)"))
+    # only the levels that the node's own tree reaches: one per doubling of its size
+    tops = solved.where("depth = 0").select("root", F.ceil(F.log2(F.col("size") + 1)).cast("int").alias("most"))
+    asked = asked.join(tops, "root").select("id", "root", F.col("lft").alias("x"), F.explode(F.expr("sequence(0, most)")).alias("k"))
+    points = asked.withColumn("cell", F.expr("shiftright(x, k)"))
     spans = solved.where("lft is not null").select(
         F.col("id").alias("over"), "root", F.col("lft").alias("a"), F.col("rgt").alias("b"), F.col("depth").alias("at"),
         F.ceil(F.log2(F.col("size") + 1)).cast("int").alias("k"),

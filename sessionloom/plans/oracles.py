@@ -38,6 +38,16 @@ n as materialized (select json_extract_string(raw,'$.uuid') uuid, arg_min(coales
 t as (select uuid, uuid root_uuid, 0 "depth" from n where parent not in (select uuid from n) union all select n.uuid, t.root_uuid, t."depth"+1 from n join t on n.parent=t.uuid)
 select uuid, root_uuid, "depth" from t union all select uuid, '', -1 from n where uuid not in (select uuid from t)"""
 
+_TREE = f"""{_OBJECTS},
+n as materialized (select json_extract_string(raw,'$.uuid') uuid, min(line_id) line_id, arg_min(coalesce(json_extract_string(raw,'$.parentUuid'),''), line_id) parent from objects where json_type(raw,'$.uuid')='VARCHAR' group by 1)"""
+P2_PATHS = f"""with recursive {_TREE},
+t as (select uuid, line_id, uuid path, 1 nodes from n where parent not in (select uuid from n) union all select n.uuid, n.line_id, t.path || '/' || n.uuid, t.nodes+1 from n join t on n.parent=t.uuid)
+select uuid, path, nodes from t where line_id % 20 = 0"""
+P2_DESCENDANTS = f"""with recursive {_TREE},
+sound as (select uuid from n where parent not in (select uuid from n) union all select n.uuid from n join sound on n.parent=sound.uuid),
+d as (select n.uuid, c.uuid descendant from n join n c on c.parent=n.uuid where n.line_id % 20 = 0 and n.uuid in (select uuid from sound) union all select d.uuid, n.uuid from n join d on n.parent=d.descendant)
+select uuid, descendant from d"""
+
 _UNNEST = "unnest(json_extract({x},'$[*]')) {y}, generate_subscripts(json_extract({x},'$[*]'),1)-1 {i}"
 _TYPE = "coalesce(json_extract_string({x},'$.type'), json_extract_string({x},'$.kind'))"
 P5 = f"""with {_OBJECTS}, c as (select line_id, json_extract(raw,'$.message.content') c from objects),
@@ -54,4 +64,4 @@ P6 = f"""with {_OBJECTS}, k as (select line_id, json_extract_string(raw,'$.sessi
   coalesce(try_cast(json_extract_string(raw,'$.message.usage.output_tokens') as bigint), 0) n from objects)
 select line_id from (select line_id, row_number() over (partition by s, "key" order by n desc, line_id) r from k where s is not null and "key" is not null) where r > 1"""
 
-SQL = {"p1_found": P1, "p2_found": P2, "p5_found": P5, "p6_found": P6}
+SQL = {"p1_found": P1, "p2_found": P2, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p5_found": P5, "p6_found": P6}

@@ -15,12 +15,14 @@ _OWN: list[tuple[object, object]] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a local temporary
-    folder is made.
+    Only where the setting is absent and all executors share this machine a
+    local temporary folder is made; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = shared_dir.made = "file://" + tempfile.mkdtemp(prefix="sessionloom-")
@@ -48,14 +50,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(path: str) -> None:
-    """Remove one scratch path before the driver ends."""
-    for pair in list(_OWN):
-        if pair[1].toString() == path or path.endswith(pair[1].getName()):
-            pair[0].delete(pair[1], True)
-            _OWN.remove(pair)
-
-
 @atexit.register
 def _clean() -> None:
     for files, where in _OWN:

@@ -17,7 +17,8 @@ LINKS = pa.schema([("id", pa.string()), ("parent", pa.string()), ("line_id", pa.
 
 
 def link_rows(lines: DataFrame) -> DataFrame:
-    """(id, parent, line_id, near) of every line with a uuid; near: its file."""
+    """(id, parent, line_id, near) of every line with a uuid; near: its file.
+    Relatives stand close together in a file, so blocks are cut along its lines."""
 
     def run(batches):
         for batch in batches:
@@ -49,10 +50,30 @@ def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     links = hierarchy.one_per_id(link_rows(table(spark, folder, "transcript_lines")), "line_id")
-    solved = hierarchy.hierarchy(links, near=["near"])
+    solved = hierarchy.hierarchy(links, near=["near", "line_id"])
     return solved.select(F.col("id").alias("uuid"), F.coalesce("root", F.lit("")).alias("root_uuid"), "depth")
 
 
+def _solved_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The solved forest, and the nodes searched for: line ids divisible by 20."""
+    links = stage(hierarchy.one_per_id(link_rows(table(spark, folder, "transcript_lines")), "line_id"), "links")
+    solved = stage(hierarchy.hierarchy(links, near=["near", "line_id"]), "solved")
+    return solved, links.where("line_id % 20 = 0").select("id")
+
+
+def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Full path, root first, of every searched node that has one."""
+    solved, asked = _solved_lines(spark, folder)
+    found = hierarchy.paths(solved, asked)
+    return found.select(F.col("id").alias("uuid"), F.array_join("path", "/").alias("path"), F.size("path").alias("nodes"))
+
+
+def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """(uuid, descendant) of every searched node and all nodes below it."""
+    solved, asked = _solved_lines(spark, folder)
+    return hierarchy.descendants(solved, asked).select(F.col("ancestor").alias("uuid"), F.col("id").alias("descendant"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return shred.nodes(shred.bridge(table(spark, folder, "transcript_lines")))
 
@@ -108,6 +129,6 @@ def san12_residual(spark: SparkSession, folder: str) -> DataFrame:
     return sanitize.residual(kept, rules)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p5_found, p5_objects, p5_usage, p6_found, jn07_call_tree, san01_audit, san12_residual)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_paths, p2_descendants, p5_found, p5_objects, p5_usage, p6_found, jn07_call_tree, san01_audit, san12_residual)}
 QUERIES |= {name: (lambda spark, folder, s=statement: corpus.run(spark, folder, s)) for name, statement in statements.ALL.items()}
 SQL = oracles.SQL | {"jn07_call_tree": JN07} | {name: corpus.oracle(statement) for name, statement in statements.ALL.items()}
