@@ -38,9 +38,9 @@ BLOCK = 150_000  #: nodes that one task solves in memory
 
 
 def one_per_id(edges: DataFrame, order: str) -> DataFrame:
-    """One row per id, that of the lowest ``order``; other columns follow it."""
+    """One row per id, that of the lowest ``order``, with that row's other columns."""
     rest = [c for c in edges.columns if c not in ("id", order)]
-    return edges.groupBy("id").agg(F.min_by(F.struct(*rest), F.col(order)).alias("r")).select("id", "r.*")
+    return edges.groupBy("id").agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"), F.min(order).alias(order)).select("id", "r.*", order)
 
 
 def _links(ids: np.ndarray, parents: np.ndarray) -> np.ndarray:
