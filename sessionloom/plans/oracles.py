@@ -60,8 +60,11 @@ select line_id, i::varchar node_path, kind node_type, ref_id from t
 union all select line_id, i || '.' || j, {_TYPE.format(x="p")}, ref_id from p where json_type(p)='OBJECT'
 union all select line_id, i || '.' || j || '.' || k, {_TYPE.format(x="q")}, ref_id from q where json_type(q)='OBJECT'"""
 
+P5_USAGE = f"""with {_OBJECTS}, u as (select line_id, json_extract_string(raw,'$.message.id') message_id, json_extract(raw,'$.message.usage') u from objects where json_type(raw,'$.message.usage')='OBJECT'),
+k as (select *, unnest(json_keys(u)) metric from u) select line_id, message_id, metric, json_extract(u, '$."' || metric || '"')::varchar as "value" from k"""
+
 P6 = f"""with {_OBJECTS}, k as (select line_id, json_extract_string(raw,'$.sessionId') s, coalesce('m:' || json_extract_string(raw,'$.message.id'), 'u:' || json_extract_string(raw,'$.uuid')) "key",
   coalesce(try_cast(json_extract_string(raw,'$.message.usage.output_tokens') as bigint), 0) n from objects)
 select line_id from (select line_id, row_number() over (partition by s, "key" order by n desc, line_id) r from k where s is not null and "key" is not null) where r > 1"""
 
-SQL = {"p1_found": P1, "p2_found": P2, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p5_found": P5, "p6_found": P6}
+SQL = {"p1_found": P1, "p2_found": P2, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p5_found": P5, "p5_usage": P5_USAGE, "p6_found": P6}

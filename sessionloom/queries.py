@@ -75,12 +75,19 @@ def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return shred.nodes(shred.bridge(table(spark, folder, "transcript_lines")))
+    bridged = stage(shred.bridge(table(spark, folder, "transcript_lines")).drop("path", "parent_object_id", "own_id", "body"), "bridge")
+    said = bridged.groupBy("object_id").agg(F.any_value("node_type").alias("node_type"), F.any_value("call_id").alias("call_id"))
+    return shred.nodes(bridged, said)
 
 
 def p5_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Each distinct object of all messages once."""
-    return shred.objects(shred.bridge(table(spark, folder, "transcript_lines"), bodies=True, whole=True))
+    return shred.objects(shred.bridge(table(spark, folder, "transcript_lines"), bodies=True))
+
+
+def p5_bridge(spark: SparkSession, folder: str) -> DataFrame:
+    """Every occurrence of an object in a message, with its parent and ordinal."""
+    return shred.bridge(table(spark, folder, "transcript_lines")).select("line_id", "path", "role", "ordinal", "object_id", "parent_object_id")
 
 
 def p5_usage(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,6 +136,6 @@ def san12_residual(spark: SparkSession, folder: str) -> DataFrame:
     return sanitize.residual(kept, rules)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_paths, p2_descendants, p5_found, p5_objects, p5_usage, p6_found, jn07_call_tree, san01_audit, san12_residual)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_paths, p2_descendants, p5_found, p5_objects, p5_bridge, p5_usage, p6_found, jn07_call_tree, san01_audit, san12_residual)}
 QUERIES |= {name: (lambda spark, folder, s=statement: corpus.run(spark, folder, s)) for name, statement in statements.ALL.items()}
 SQL = oracles.SQL | {"jn07_call_tree": JN07} | {name: corpus.oracle(statement) for name, statement in statements.ALL.items()}

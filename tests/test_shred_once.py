@@ -14,7 +14,8 @@ def _line(content, **more):
 def test_nodes_keep_order_and_links(make_lines):
     deep = {"kind": "tool_result", "toolUseId": "t1", "content": [PART, {"type": "search_result", "content": [PART, {"text": "no type"}]}]}
     df = make_lines([_line([CALL, deep, "text", None]), _line(CALL), _line("plain"), "{broken", None, {"message": 3}, _line([{"type": "tool_result", "content": []}])])
-    got = {tuple(r) for r in shred.nodes(shred.bridge(df)).collect()}
+    bridged = shred.bridge(df)
+    got = {tuple(r) for r in shred.nodes(bridged, shred.objects(bridged)).collect()}
     assert got == {
         (1, "0", "tool_use", "t1"), (1, "1", "tool_result", "t1"), (1, "1.0", "text", "t1"), (1, "1.1", "search_result", "t1"),
         (1, "1.1.0", "text", "t1"), (1, "1.1.1", None, "t1"), (2, "0", "tool_use", "t1"), (7, "0", "tool_result", None),
@@ -23,10 +24,23 @@ def test_nodes_keep_order_and_links(make_lines):
 
 def test_equal_objects_are_stored_once(make_lines):
     df = make_lines([_line([CALL]), _line([dict(reversed(CALL.items()))]), _line([CALL | {"id": "t2"}])])
-    objects = shred.objects(shred.bridge(df, bodies=True)).collect()
+    objects = shred.objects(shred.bridge(df, bodies=True)).where("node_type = 'tool_use'").collect()
     assert sorted(r["occurrences"] for r in objects) == [1, 2]
 
 
+def test_lists_in_lists_and_lone_parts_are_no_nodes(make_lines):
+    df = make_lines([_line([[CALL], {"type": "tool_result", "tool_use_id": "t", "content": PART}]), _line([{"type": "text", "content": [PART]}])])
+    bridged = shred.bridge(df)
+    assert [tuple(r) for r in shred.nodes(bridged, shred.objects(bridged)).collect()] == [(1, "1", "tool_result", "t")]
+
+
+def test_messages_come_back_from_the_two_tables(make_lines):
+    rows = [_line([CALL, {"#": "x", "deep": [{"b": [[{"c": 1.5}]]}, {}]}]), _line("plain"), _line([CALL]), _line([], usage={"#": {"#": None}})]
+    bridged = shred.bridge(make_lines(rows), bodies=True)
+    back = {r["line_id"]: r["message"] for r in shred.rebuild(bridged, shred.objects(bridged)).collect()}
+    assert back == {i + 1: shred._canonical(r["message"]) for i, r in enumerate(rows)}
+
+
 def test_every_object_of_a_message_is_stored(make_lines):
     import json
 
@@ -35,11 +49,11 @@ def test_every_object_of_a_message_is_stored(make_lines):
         deep = {"d": deep}
     usage = {"output_tokens": 3, "cache": {"a": 1}}
     rows = [_line([CALL]), _line([CALL | {"id": "t2"}], message={"content": [CALL | {"id": "t2"}], "usage": usage}), _line("plain"), _line([{"a/b": "\ud800"}]), "{broken", {"message": 3}]
-    bridged = shred.bridge(make_lines(rows), bodies=True, whole=True)
+    bridged = shred.bridge(make_lines(rows), bodies=True)
     objects = {r["object_id"]: r for r in shred.objects(bridged).collect()}
     below = [r for r in objects.values() if r["node_type"] == "tool_use" or json.loads(r["body"]) == {"b": 1} or list(json.loads(r["body"])) == ["a"]]
     assert len(below) == 5  # two calls, their input, its object, and usage.cache
-    found = {(r["line_id"], r["node_path"]): r for r in bridged.collect()}
+    found = {(r["line_id"], r["path"]): r for r in bridged.collect()}
     assert len(found) == 4 + 6 + 1 + 2 and found[1, "/content/0/input/a"]["parent_object_id"] == found[2, "/content/0/input"]["object_id"]
     assert found[2, "/usage/cache"]["ordinal"] == 0 and found[2, ""]["role"] == "message" and found[3, ""]["parent_object_id"] is None
 
@@ -50,8 +64,8 @@ def test_every_object_of_a_message_is_stored(make_lines):
 
     for i in (1, 2, 3, 4):
         assert whole(json.loads(found[i, ""]["body"])) == rows[i - 1]["message"]
-    assert shred.bridge(make_lines([_line(deep)]), bodies=True, whole=True).count() == 1502
-    assert [tuple(r) for r in shred.usage_table(make_lines(rows)).collect()] == [(2, None, "output_tokens", "3"), (2, None, "cache", '{"a": 1}')]
+    assert shred.bridge(make_lines([_line(deep)]), bodies=True).count() == 1502
+    assert [tuple(r) for r in shred.usage_table(make_lines(rows)).collect()] == [(2, None, "output_tokens", "3"), (2, None, "cache", '{"a":1}')]
 
 
 def _copy(key, tokens, session="s", **more):
