@@ -7,6 +7,7 @@ has to be walked to a depth that no fixed schema describes.
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 import pyarrow as pa
 
@@ -75,6 +76,23 @@ def text_of(value) -> str | None:
     return value if isinstance(value, str) else json.dumps(value)
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_RANGE = 253_402_300_799_000  #: the last millisecond that a timestamp can hold
+
+
+def instant(value) -> int | None:
+    """Microseconds since 1970 of ISO text or epoch milliseconds; None if unreadable."""
+    try:
+        if isinstance(value, bool) or value is None or isinstance(value, (list, dict)):
+            return None
+        if isinstance(value, (int, float)):
+            return int(value * 1000) if abs(value) <= _RANGE else None
+        at = datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
+        return int(((at if at.tzinfo else at.replace(tzinfo=timezone.utc)) - _EPOCH).total_seconds() * 1_000_000)
+    except (ValueError, OverflowError):
+        return None
+
+
 def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     """Rows as a record batch of the schema."""
     columns = list(zip(*rows)) if rows else [()] * len(schema)

@@ -1,13 +1,19 @@
 """Messages delivered at least once: keep one copy, name the surplus.
 
-A file stream feeds micro-batches into a keyed state of seen identifiers.  The
-state lives in versioned tables of the shared folder, bucketed by key hash:
-
-* ``hot/<v>``: the best copy per key whose last arrival is within the watermark;
-* ``cold/<v>``: bests that the watermark expired, appended per version, which a
-  late arrival is looked up in;
+Two chained streams.  The first reads new files, parses each line once and
+appends its copy (key, tokens, line id, event time) to ``arrivals``.  The second
+feeds ``arrivals`` in several micro-batches into a keyed state of seen
+identifiers, in versioned tables of the shared folder:
+
+* ``hot/<v>``: the best copy per key whose event time is within the watermark;
+* ``cold/<v>``: bests that the watermark expired, appended per version and merged
+  every ``MERGE`` versions, which a late arrival is looked up in;
 * ``met/v=<v>``: the bests and the surplus lines that batch ``v`` decided.
 
+Event time is the record's own timestamp, or the time of arrival where that
+can't be read.  It only decides where a key's best copy lies: every key of a batch
+is looked up in both tables, so a clock that runs back or ahead changes no result.
+
 A batch reads version v-1 and writes version v of all three, then the marker
 ``done/<v>``; the stream's own checkpoint advances only after that.  A batch
 that is run again overwrites its version, so output and state move together.
@@ -19,7 +25,8 @@ the state's best copy.
 
 Defined cases: lines without session or without both ids are no cases and come
 out nowhere; absent or unreadable token counts are 0; ties keep the lowest line
-id; unreadable lines are ignored; an empty input gives an empty table.
+id; unreadable lines are ignored; an empty input gives an empty table; the number
+of micro-batches changes no result.
 """
 
 from __future__ import annotations
@@ -31,9 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.records import batch_of, parse, text_of
+from sessionloom.functions.records import batch_of, instant, parse, text_of
 from sessionloom.plans.runtime import scratch
 
+MERGE = 8  #: versions of the cold table that are merged into one
+FILE_ROWS = 100_000  #: copies per file of ``arrivals``, so that a large input file can span micro-batches
+
 COPIES = pa.schema(
     [
         ("session_id", pa.string()),
@@ -79,7 +89,8 @@ def _local(batches):
             key = message_key(record) if session else None
             if key is None:
                 continue
-            row = (session, key, output_tokens(record), line_id, seen_at)
+            at = instant(record.get("timestamp"))
+            row = (session, key, output_tokens(record), line_id, seen_at if at is None else at)
             held = best.get((session, key))
             if held is None:
                 best[session, key] = row
@@ -101,23 +112,25 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _cold(spark: SparkSession, store: str, before: int) -> list[str]:
+    """The complete cold tables of the versions below ``before``."""
+    named = [f"{store}/cold/{mark}{v}" for v in range(before) for mark in ("", "merged-")]
+    return [p for p in named if _exists(spark, p + "/_SUCCESS")]
+
+
 def make_batch(store: str, watermark: str) -> Callable[[DataFrame, int], None]:
     """The step that folds one micro-batch into the state under ``store``."""
 
-    def step(lines: DataFrame, version: int) -> None:
-        spark = lines.sparkSession
+    def step(copies: DataFrame, version: int) -> None:
+        spark = copies.sparkSession
         if _exists(spark, f"{store}/done/{version}"):
             return
-        copies = lines.select(F.col("line_id").cast("bigint"), F.col("seen_at").cast("timestamp"), "raw")
-        # read three times below, so parsed once
-        copies.mapInArrow(_local, COPIES_DDL).write.mode("overwrite").parquet(f"{store}/copies")
-        copies = spark.read.schema(COPIES_DDL).parquet(f"{store}/copies")
         held = None
         if version and _exists(spark, f"{store}/hot/{version - 1}"):
             columns = "session_id", "message_key", "tokens", "line_id", "seen_at"
             schema = "session_id string, message_key string, tokens bigint, line_id bigint, seen_at timestamp"
             held = spark.read.schema(schema).parquet(f"{store}/hot/{version - 1}").select(*columns, F.lit(False).alias("surplus"))
-            cold = [f"{store}/cold/{v}" for v in range(version) if _exists(spark, f"{store}/cold/{v}")]
+            cold = _cold(spark, store, version)
             if cold:  # late arrivals: the archived best of each key that this batch has
                 keys = copies.select("session_id", "message_key").distinct()
                 late = spark.read.schema(schema).parquet(*cold).join(keys, ["session_id", "message_key"], "left_semi")
@@ -150,23 +163,35 @@ def make_batch(store: str, watermark: str) -> Callable[[DataFrame, int], None]:
         if version:
             _remove(spark, f"{store}/hot/{version - 2}")
         spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{store}/done/{version}")
+        if version % MERGE == MERGE - 1:
+            parts = _cold(spark, store, version + 1)
+            spark.read.parquet(*parts).distinct().write.mode("overwrite").parquet(f"{store}/cold/merged-{version}")
+            for old in parts:  # until they are gone rows are met twice, which changes nothing
+                _remove(spark, old)
 
     return step
 
 
+def _size(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def surplus_lines(
     spark: SparkSession,
     path: str,
     *,
     seen_col: str = "ingested_at",
     watermark: str = "30 days",
+    batches: int = 4,
     bytes_per_trigger: int = 64 << 30,
     store: str | None = None,
 ) -> DataFrame:
-    """Surplus ``line_id`` of the lines under ``path``, by a stream run to its end.
+    """Surplus ``line_id`` of the lines under ``path``, by streams run to their end.
 
-    ``store`` keeps state, output and the stream's checkpoint between calls; a
-    later call then only reads files that are new.
+    What has arrived is folded in ``batches`` steps, or in more where one would
+    pass ``bytes_per_trigger``.  ``store`` keeps state, output and the streams'
+    checkpoints between calls; a later call then only reads files that are new.
     """
     store = store or scratch(spark, "once")
     batch = spark.read.parquet(path)
@@ -176,13 +201,21 @@ def surplus_lines(
         .option("maxBytesPerTrigger", str(bytes_per_trigger))
         .parquet(f"{path.rstrip('/')[: -len(source)]}{'[' + source[0] + ']' + source[1:]}")
     )
+    copies = stream.select(F.col("line_id").cast("bigint"), F.col(seen_col).cast("timestamp").alias("seen_at"), "raw").mapInArrow(_local, COPIES_DDL)
+    arrivals = f"{store}/arrivals"
+    before = _size(spark, arrivals) if _exists(spark, arrivals) else 0
+    sink = copies.writeStream.format("parquet").option("path", arrivals).option("maxRecordsPerFile", FILE_ROWS)
+    sink.option("checkpointLocation", f"{store}/parsed").trigger(availableNow=True).start().awaitTermination()
+    if not _exists(spark, arrivals):
+        return spark.createDataFrame([], "line_id bigint")
+    each = max(1, min(bytes_per_trigger, (_size(spark, arrivals) - before) // max(1, batches)))
     query = (
-        stream.select("line_id", F.col(seen_col).alias("seen_at"), "raw")
+        spark.readStream.schema(COPIES_DDL).option("maxBytesPerTrigger", str(each)).parquet(arrivals)
         .writeStream.foreachBatch(make_batch(store, watermark))
         .option("checkpointLocation", f"{store}/offsets")
         .trigger(availableNow=True)
         .start()
-    )
+    )
     query.awaitTermination()
     schema = "line_id bigint, v int, best boolean"
     if not _exists(spark, f"{store}/met"):

@@ -106,6 +106,22 @@ def test_state_expires_and_late_copies_are_looked_up(spark, make_lines, tmp_path
     assert got == {1, 31}
 
 
+def test_many_batches_and_merged_state_give_the_same_lines(spark, make_lines, tmp_path, monkeypatch):
+    monkeypatch.setattr(once, "MERGE", 2)
+    monkeypatch.setattr(once, "FILE_ROWS", 5)
+    # event times a month apart, running back and forth: keys go cold and come back
+    rows = [_copy(f"k{i % 7}", i * 37 % 11, timestamp=f"20{20 + i * 5 % 6}-0{1 + i % 9}-01T00:00:00Z" if i % 4 else None) for i in range(60)]
+    path = str(tmp_path / "lines.parquet")
+    make_lines(rows).repartition(4).write.parquet(path)
+    best = {}
+    for i, r in enumerate(rows, 1):
+        best[r["message"]["id"]] = min(best.get(r["message"]["id"], (1, 0)), (-r["message"]["usage"]["output_tokens"], i))
+    store = str(tmp_path / "store")
+    got = {r[0] for r in once.surplus_lines(spark, path, batches=6, store=store, watermark="1 day").collect()}
+    assert got == set(range(1, 61)) - {i for _, i in best.values()}
+    assert len(list((tmp_path / "store" / "done").iterdir())) >= 4 and any("merged" in p.name for p in (tmp_path / "store" / "cold").iterdir())
+
+
 def test_empty_table(spark, make_lines, tmp_path):
     path = str(tmp_path / "lines.parquet")
     make_lines([]).write.parquet(path)
