@@ -5,9 +5,12 @@ Pass one parses every line once and emits, pre-aggregated per task, (a) the
 distinct signatures of records per file (unlisted paths, absent paths, retyped
 paths) and (b) partial column profiles (type counts, a k-minimum-values sketch
 of the values, a histogram of value shapes).  Profiles merge into one row per
-path, so what reaches the driver is bounded by the number of distinct paths.
-There a maximum-weight bipartite matching between absent agreed paths and new
-paths finds the renames.  Pass two only touches the small signature table.
+path, new paths one row per version of the emitter, so what reaches the driver is
+bounded by the number of distinct paths (``MAX_PATHS``, an error beyond it).
+There, for every version, a maximum-weight bipartite matching between the agreed
+paths that its records lack and its new paths finds the renames; names that never
+stand in one record may then match the same agreed path in a further round, as
+two emitters can rename one field.  Pass two only touches the small signature table.
 
 Defined cases: blank, cut off and non-object lines give no rows; a null value
 is neither absence nor a retyping; an empty table gives an empty report; repeated
@@ -28,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.functions.records import batch_of, blocks, json_type, parse
+from sessionloom.functions.records import batch_of, blocks, json_type, parse, text_of
 from sessionloom.plans.runtime import stage
 
 SKETCH = 128  #: values kept per k-minimum-values sketch
-SHAPES = 64  #: value shapes kept per profile
+SHAPES = 64  #: value shapes kept per profile, those of the least hashes
 ACCEPT = 0.5  #: least score of a rename
 FLUSH = 50_000  #: distinct signatures a task holds before it emits them
 MAX_PATHS = 20_000  #: distinct paths the driver accepts for matching
@@ -40,6 +43,7 @@ MAX_PATHS = 20_000  #: distinct paths the driver accepts for matching
 PASS_ONE = pa.schema(
     [
         ("part", pa.string()),
+        ("version", pa.string()),
         ("file_name", pa.string()),
         ("record_type", pa.string()),
         ("unlisted", pa.list_(pa.string())),
@@ -53,7 +57,7 @@ PASS_ONE = pa.schema(
     ]
 )
 PASS_ONE_DDL = (
-    "part string, file_name string, record_type string, unlisted array<string>, absent array<string>, "
+    "part string, version string, file_name string, record_type string, unlisted array<string>, absent array<string>, "
     "retyped array<string>, path string, n bigint, sketch array<bigint>, shapes array<string>, shape_counts array<bigint>"
 )
 
@@ -86,11 +90,27 @@ def _shape(value, kind: type) -> str:
     return name if kind is dict or kind is list else f"{name}:{len(str(value))}"
 
 
+def _least(kept, size: int) -> tuple[list, int]:
+    """The ``size`` elements of the least hashes, and the largest of these hashes."""
+    some = sorted(kept, key=_mark)[:size]
+    return some, _mark(some[-1])
+
+
+def _mark(value) -> int:
+    return value if isinstance(value, int) else zlib.crc32(value.encode("utf-8", "replace"))
+
+
 class _Profile:
-    __slots__ = ("n", "values", "most", "shapes")
+    """Count, k-minimum-values sketch and shape histogram of a column.
+
+    Shapes are kept by their hashes too, so what merged profiles hold does not
+    depend on which task met which rows.
+    """
+
+    __slots__ = ("n", "values", "most", "shapes", "widest")
 
     def __init__(self) -> None:
-        self.n, self.values, self.most, self.shapes = 0, set(), 1 << 32, {}
+        self.n, self.values, self.most, self.shapes, self.widest = 0, set(), 1 << 32, {}, 1 << 32
 
     def add(self, value) -> None:
         self.n += 1
@@ -100,11 +120,16 @@ class _Profile:
             if h < self.most and h not in self.values:
                 self.values.add(h)
                 if len(self.values) > 2 * SKETCH:
-                    self.values = set(sorted(self.values)[:SKETCH])
-                    self.most = max(self.values)
+                    kept, self.most = _least(self.values, SKETCH)
+                    self.values = set(kept)
         s = _shape(value, kind)
-        if s in self.shapes or len(self.shapes) < SHAPES:
-            self.shapes[s] = self.shapes.get(s, 0) + 1
+        if s in self.shapes:
+            self.shapes[s] += 1
+        elif self.widest == 1 << 32 or _mark(s) < self.widest:
+            self.shapes[s] = 1
+            if len(self.shapes) > 2 * SHAPES:
+                kept, self.widest = _least(self.shapes, SHAPES)
+                self.shapes = {x: self.shapes[x] for x in kept}
 
 
 def _levels(record: dict):
@@ -128,10 +153,10 @@ def _pass_one(agreed: Agreed):
 
     def run(batches):
         signatures: dict[tuple, int] = {}
-        profiles: dict[str, _Profile] = {}
+        profiles: dict[tuple[str, str], _Profile] = {}
 
         def emit():
-            rows = [("sig", f, t, list(u), list(a), list(r), None, n, None, None, None) for (f, t, u, a, r), n in signatures.items()]
+            rows = [("sig", v, f, t, list(u), list(a), list(r), None, n, None, None, None) for (v, f, t, u, a, r), n in signatures.items()]
             signatures.clear()
             return batch_of(PASS_ONE, rows)
 
@@ -140,18 +165,19 @@ def _pass_one(agreed: Agreed):
                 record = parse(raw)
                 if record is None:
                     continue
+                version = text_of(record.get("version")) or ""
                 if "type" in record:
                     rtype = record["type"]
                     if not isinstance(rtype, str):
                         rtype = json.dumps(rtype)
                     if rtype not in known:
-                        signatures[file_name, rtype, ("type",), (), ()] = 1
+                        signatures[version, file_name, rtype, ("type",), (), ()] = 1
                         continue
                 else:  # the type may stand under a new name: a key whose value is a known type
                     named = sorted(k for k, v in record.items() if isinstance(v, str) and v in known and k not in agreed.paths)
                     if not named:  # perhaps a new name and a type that is not agreed either
-                        words = sorted(f"{k}\0{v}" for k, v in record.items() if isinstance(v, str) and len(v) <= 64 and k not in agreed.paths)
-                        signatures[file_name, "", tuple(words), ("type",), ()] = 1
+                        words = sorted(f"{k}\0{v}" for k, v in record.items() if isinstance(v, str) and k not in agreed.paths)
+                        signatures[version, file_name, "", tuple(words), ("type",), ()] = 1
                         continue
                     rtype = record[named[0]]
                 types = agreed.types[rtype]
@@ -166,14 +192,15 @@ def _pass_one(agreed: Agreed):
                         elif value is not None and json_type(value) not in ok:
                             retyped.append(path)
                         if value is not None:
-                            p = profiles.get(path)
+                            whose = (version if ok is None else "", path)  # agreed columns have one profile
+                            p = profiles.get(whose)
                             if p is None:
-                                p = profiles[path] = _Profile()
+                                p = profiles[whose] = _Profile()
                             p.add(value)
                     wanted = agreed.levels[rtype][level]
                     absent = [p for p in wanted if p not in fields and (unlisted or p in required)]
                     if unlisted or absent or retyped:
-                        key = (file_name, rtype, tuple(sorted(unlisted)), tuple(sorted(absent)), tuple(sorted(retyped)))
+                        key = (version, file_name, rtype, tuple(sorted(unlisted)), tuple(sorted(absent)), tuple(sorted(retyped)))
                         signatures[key] = signatures.get(key, 0) + 1
             if len(signatures) > FLUSH:
                 yield emit()
@@ -181,8 +208,8 @@ def _pass_one(agreed: Agreed):
         yield batch_of(
             PASS_ONE,
             [
-                ("prof", None, None, None, None, None, path, p.n, sorted(p.values)[:SKETCH], list(p.shapes), list(p.shapes.values()))
-                for path, p in profiles.items()
+                ("prof", version, None, None, None, None, None, path, p.n, sorted(p.values)[:SKETCH], list(p.shapes), list(p.shapes.values()))
+                for (version, path), p in profiles.items()
             ],
         )
 
@@ -261,6 +288,32 @@ def similarity(old: dict, new: dict, old_path: str, new_path: str) -> float:
     return max(0.6 * shared + 0.2 * shape + 0.2 * name, 0.1 * shared + 0.45 * shape + 0.45 * name)
 
 
+def _bottom(rows: DataFrame, size: int, *columns: str) -> DataFrame:
+    """Per profile the ``size`` rows of the least first column, as one array.
+
+    Reduced in two rounds, so that a path of many distinct values never is
+    gathered in one task.
+    """
+    name, of = "kept" if len(columns) > 1 else "kept_h", ["version", "path"]
+    least = lambda c: F.slice(F.array_sort(c), 1, size)
+    some = rows.groupBy(*of, F.pmod("h", F.lit(1024)).alias("slice")).agg(least(F.collect_list(F.struct(*columns))).alias("some"))
+    return some.groupBy(*of).agg(least(F.flatten(F.collect_list("some"))).alias(name))
+
+
+def _pooled(profiles: dict[tuple[str, str], dict]) -> dict[str, dict]:
+    """Profile per path over all versions."""
+    out: dict[str, dict] = {}
+    for (_, path), p in profiles.items():
+        held = out.setdefault(path, {"counts": defaultdict(int), "sketch": set()})
+        held["sketch"].update(p["sketch"])
+        for shape, n in zip(p["shapes"], p["shape_counts"]):
+            held["counts"][shape] += n
+    return {
+        path: {"shapes": list(h["counts"]), "shape_counts": list(h["counts"].values()), "sketch": sorted(h["sketch"])[:SKETCH]}
+        for path, h in out.items()
+    }
+
+
 class Drift:
     """Result of profiling one corpus against an agreed schema."""
 
@@ -274,61 +327,68 @@ class Drift:
     def signatures(self) -> DataFrame:
         return self.staged.where("part = 'sig'")
 
-    def profiles(self) -> dict[str, dict]:
-        """Merged profile per path."""
+    def profiles(self) -> dict[tuple[str, str], dict]:
+        """Merged profile per (version, path); agreed paths are under version ''."""
+        of = ["version", "path"]
         shapes = (
             self.staged.where("part = 'prof'")
-            .select("path", F.explode(F.arrays_zip("shapes", "shape_counts")).alias("s"))
-            .groupBy("path", F.col("s.shapes").alias("shape"))
+            .select(*of, F.explode(F.arrays_zip("shapes", "shape_counts")).alias("s"))
+            .groupBy(*of, F.col("s.shapes").alias("shape"))
             .agg(F.sum("s.shape_counts").alias("n"))
-            .groupBy("path")
-            .agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "shape")), asc=False), 1, SHAPES).alias("shapes"))
         )
-        sketches = (
-            self.staged.where("part = 'prof'")
-            .select("path", F.explode_outer("sketch").alias("h"))
-            .groupBy("path", "h")
-            .agg(F.lit(1))
-            .groupBy("path")
-            .agg(F.slice(F.sort_array(F.collect_set("h")), 1, SKETCH).alias("sketch"))
-        )
-        rows = shapes.join(sketches, "path").limit(MAX_PATHS + 1).collect()
+        sketches = self.staged.where("part = 'prof'").select(*of, F.explode("sketch").alias("h")).distinct()
+        kept = _bottom(shapes.withColumn("h", F.crc32(F.encode("shape", "utf-8"))), SHAPES, "h", "shape", "n").join(_bottom(sketches, SKETCH, "h"), of, "left")
+        rows = kept.limit(MAX_PATHS + 1).collect()
         if len(rows) > MAX_PATHS:
             raise ValueError(f"more than {MAX_PATHS} distinct paths; the keys look like data")
         return {
-            r["path"]: {"shapes": [x["shape"] for x in r["shapes"]], "shape_counts": [x["n"] for x in r["shapes"]], "sketch": r["sketch"]}
+            (r["version"], r["path"]): {"shapes": [x["shape"] for x in r["kept"]], "shape_counts": [x["n"] for x in r["kept"]], "sketch": [x["h"] for x in r["kept_h"] or ()]}
             for r in rows
         }
 
     def learn_renames(self) -> dict[str, str]:
-        """New path -> agreed path, by bipartite matching within each level."""
-        pairs = (
+        """New path -> agreed path, by bipartite matching per version and level."""
+        profiles = self.profiles()
+        met = (
             self.signatures()
             .where("record_type <> '' and size(unlisted) > 0")
-            .groupBy("record_type", "unlisted", "absent")
+            .groupBy("version", "unlisted", "absent")
             .agg(F.sum("n").alias("n"))
-            .select("n", "absent", F.explode("unlisted").alias("new"))
+            .select("version", "n", "absent", "unlisted", F.explode("unlisted").alias("new"))
         )
-        seen = {r["new"]: r["n"] for r in pairs.groupBy("new").agg(F.sum("n").alias("n")).collect()}
-        gaps: dict[tuple[str, str], int] = {}
-        for r in pairs.select("n", "new", F.explode("absent").alias("old")).groupBy("old", "new").agg(F.sum("n").alias("n")).collect():
-            gaps[r["old"], r["new"]] = r["n"]
-        profiles = self.profiles()
-        renames: dict[str, str] = {}
-        for level in ("", "message.", "message.usage.", "message.content[]."):
-            new = sorted(p for p in seen if p in profiles and p.rpartition(".")[0] == level[:-1])
-            old = sorted(p for p in self.agreed.paths if p in profiles and p.rpartition(".")[0] == level[:-1])
-            if not new or not old:
-                continue
-            scores = [
-                [similarity(profiles[o], profiles[n], o, n) if gaps.get((o, n), 0) >= 0.5 * seen[n] else 0.0 for o in old]
-                for n in new
-            ]
-            scores = [[s if s >= ACCEPT else 0.0 for s in row] for row in scores]
-            for i, j in enumerate(match(scores)):
-                if j >= 0 and scores[i][j] >= ACCEPT:
-                    renames[new[i]] = old[j]
-        return renames
+        seen: dict[str, dict[str, int]] = defaultdict(dict)
+        beside: dict[tuple[str, str], set] = {}
+        own = met.groupBy("version", "new").agg(F.sum("n").alias("n"), F.collect_set("unlisted").alias("beside"))
+        for r in own.collect():  # a row per profile at most
+            seen[r["version"]][r["new"]] = r["n"]
+            beside[r["version"], r["new"]] = {p for others in r["beside"] for p in others}
+        gaps: dict[tuple[str, str, str], int] = {}
+        for r in met.select("version", "n", "new", F.explode("absent").alias("old")).groupBy("version", "old", "new").agg(F.sum("n").alias("n")).collect():
+            gaps[r["version"], r["old"], r["new"]] = r["n"]
+        pooled = _pooled(profiles)
+        found: dict[str, tuple[float, str]] = {}
+        for version, here in seen.items():
+            for level in ("", "message.", "message.usage.", "message.content[]."):
+                new = sorted(p for p in here if (version, p) in profiles and p.rpartition(".")[0] == level[:-1])
+                old = sorted(p for p in self.agreed.paths if ("", p) in profiles and p.rpartition(".")[0] == level[:-1])
+                taken: dict[str, set[str]] = defaultdict(set)  # agreed path -> new paths that hold it
+
+                def score(n: str, o: str, version=version, here=here, taken=taken) -> float:
+                    if gaps.get((version, o, n), 0) < 0.5 * here[n] or any(m in beside[version, n] for m in taken[o]):
+                        return 0.0
+                    alike = min(similarity(profiles["", o], p, o, n) for p in (profiles[version, n], pooled[n]))
+                    return alike if alike >= ACCEPT else 0.0
+
+                while new and old:
+                    scores = [[score(n, o) for o in old] for n in new]
+                    pairs = [(new[i], old[j], scores[i][j]) for i, j in enumerate(match(scores)) if j >= 0 and scores[i][j]]
+                    if not pairs:
+                        break
+                    for n, o, alike in pairs:
+                        taken[o].add(n)
+                        found[n] = max(found.get(n, (0.0, "")), (alike, o))
+                        new.remove(n)
+        return {n: o for n, (_, o) in sorted(found.items())}
 
     def changes(self, renames: dict[str, str] | None = None) -> DataFrame:
         """(file_name, record_type, field_path, change_kind), distinct."""

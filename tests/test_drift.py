@@ -83,3 +83,24 @@ def test_matching_is_of_maximum_weight():
     assert drift.match([[0.9, 0.8], [0.85, 0.0]]) == [1, 0]
     assert drift.match([[0.1, 0.5, 0.4]]) == [1]
     assert drift.match([]) == []
+
+
+def test_two_emitters_rename_one_field_and_versions_keep_apart(spark, make_lines):
+    rows = [("a.jsonl", _user(i, version="1.0.0")) for i in range(20)]
+    for name, other, version in (("b.jsonl", "workdir", "1.1.0"), ("c.jsonl", "cwdPath", "1.1.0"), ("d.jsonl", "currentCwd", "1.2.0")):
+        for i in range(12):
+            r = _user(i, version=version)
+            r[other] = r.pop("cwd")
+            rows.append((name, r))
+    base = BASE + [("user", "version", "str", False)]
+    base = spark.createDataFrame(base, "record_type string, field_path string, json_type string, is_required boolean")
+    found = drift.Drift(make_lines(rows), base)
+    assert found.learn_renames() == {"workdir": "cwd", "cwdPath": "cwd", "currentCwd": "cwd"}
+    assert {tuple(r) for r in found.changes().collect()} == {(f, "user", "cwd", "renamed") for f in ("b.jsonl", "c.jsonl", "d.jsonl")}
+
+
+def test_profiles_do_not_depend_on_partitions(spark, make_lines):
+    rows = [_user(i, tag=f"{'abcdefghijklmnop'[i % 16]}{'xyz'[i % 3]}{'qrstu'[i % 5]}{i}" * (1 + i % 7)) for i in range(900)]
+    lines = make_lines(rows)
+    one, many = (drift.Drift(lines.repartition(n), _base(spark)).profiles() for n in (1, 7))
+    assert one == many and len(one["", "uuid"]["sketch"]) == drift.SKETCH and len(one["", "tag"]["shapes"]) == drift.SHAPES
