@@ -69,6 +69,13 @@ PROMOTED = {
     "k_denial": (kind, "$.toolDenialKind"), "denial": (text, "$.toolDenialKind"), "k_decision": (kind, "$.permissionDecision"),
     "decision": (text, "$.permissionDecision.decision"), "decision_source": (text, "$.permissionDecision.source"), "reason_type": (text, "$.permissionDecision.reasonType"),
     "pr_number": (number, "$.prNumber"), "pr_repository": (text, "$.prRepository"), "ai_title": (text, "$.aiTitle"), "last_prompt": (text, "$.lastPrompt"),
+    "speed": (text, "$.message.usage.speed"), "service_tier": (text, "$.message.usage.service_tier"), "inference_geo": (text, "$.message.usage.inference_geo"),
+    "searches": (number, "$.message.usage.server_tool_use.web_search_requests"),
+    "e_agent_id": (text, "$.toolUseResult.agentId"), "e_total_tokens": (number, "$.toolUseResult.totalTokens"), "e_duration_ms": (number, "$.toolUseResult.totalDurationMs"),
+    "e_tool_uses": (number, "$.toolUseResult.totalToolUseCount"), "e_input": (number, "$.toolUseResult.usage.input_tokens"), "e_output": (number, "$.toolUseResult.usage.output_tokens"),
+    "e_creation": (number, "$.toolUseResult.usage.cache_creation_input_tokens"), "e_read": (number, "$.toolUseResult.usage.cache_read_input_tokens"),
+    "e_start_line": (number, "$.toolUseResult.file.startLine"), "e_num_lines": (number, "$.toolUseResult.file.numLines"), "e_total_lines": (number, "$.toolUseResult.file.totalLines"),
+    "e_spill_path": (text, "$.toolUseResult.persistedOutputPath"),
     "first_hook_error": (text, "$.hookErrors[0]"), "retry_ms": (number, "$.retryInMs"), "retry_attempt": (number, "$.retryAttempt"),
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from sessionloom.plans.corpus import Statement
 
 S = Statement
@@ -166,32 +168,50 @@ METRICS: dict[str, Statement] = {
 }
 
 _FIRINGS = (
-    "firings as (select session_id, pid, min_by(tool_use_id, o) tool_use_id, min_by(hook_event, o) event, min_by(tool, o) tool, min_by(route, o) route, min(case when phase='enter' then ts_ms end) start_ms, "
+    "firings as (select session_id, pid, FIRST(tool_use_id) tool_use_id, FIRST(hook_event) event, FIRST(tool) tool, FIRST(route) route, min(case when phase='enter' then ts_ms end) start_ms, "
     "max(case when phase<>'enter' then ts_ms end) end_ms, max_by(decision, case when decision is not null then o end) decision, count(*) filter (where phase='killed') killed, count(*) filter (where phase='exit') exits, max_by(duration_ms, case when duration_ms is not null then o end) duration_ms "
     "from (select *, row_number() over (partition by session_id, pid order by ts_ms, phase, coalesce(hook_event,''), coalesce(tool_use_id,''), coalesce(decision,''), coalesce(duration_ms,-1)) o from dispatch) group by session_id, pid)"
 )
-_P90_SPARK = "element_at(sort_array(collect_list(v)), cast(bround(0.9D*(count(v)-1)) as int)+1)"
+#: the value on the first line of a firing, even if it is null
+_FIRINGS_DUCK = re.sub(r"FIRST\((\w+)\)", r"(min_by({'v': \1}, o)).v", _FIRINGS)
+_FIRINGS = re.sub(r"FIRST\((\w+)\)", r"min_by(struct(\1), o).\1", _FIRINGS)
+
+
+def _fired(sql: str) -> Statement:
+    return S(f"with {_FIRINGS} {sql}", f"with {_FIRINGS_DUCK} {sql}")
+
+
+FIRINGS = _fired("select * from firings")
 _P90_DUCK = "list_sort(list(v) filter (where v is not null))[cast(round_even(0.9::double*(count(v)-1),0) as int)+1]"
 
 CAPTURE: dict[str, Statement] = {
-    "ag28_firings": S(f"with {_FIRINGS} select session_id, pid, tool_use_id, event, tool, route, decision, start_ms, end_ms, killed, exits from firings"),
-    "ag29_durations": _both("select hook_event, count(v) n, median(v) med, P90 p90, min(v) least, max(v) most from (select coalesce(hook_event,'-') hook_event, duration_ms v from dispatch where duration_ms is not null) group by hook_event", {"P90": _P90_SPARK}, {"P90": _P90_DUCK}),
+    "ag28_firings": _fired("select session_id, pid, tool_use_id, event, tool, route, decision, start_ms, end_ms, killed, exits from firings"),
+    "ag29_durations": S(
+        "with d as (select coalesce(hook_event,'-') hook_event, duration_ms v, count(*) c from dispatch where duration_ms is not null group by 1, 2), "
+        "r as (select *, sum(c) over (partition by hook_event order by v) upto, sum(c) over (partition by hook_event) every from d) "
+        "select hook_event, sum(c) n, percentile(v, 0.5D, c) med, min(case when upto >= cast(bround(0.9D*(every-1)) as int)+1 then v end) p90, min(v) least, max(v) most from r group by hook_event",
+        f"select hook_event, count(v) n, median(v) med, {_P90_DUCK} p90, min(v) least, max(v) most from (select coalesce(hook_event,'-') hook_event, duration_ms v from dispatch where duration_ms is not null) group by hook_event",
+    ),
     "ag30_decisions": S("select hook_event, tool, route, decision, exit_signal, phase, count(*) n from dispatch group by 1, 2, 3, 4, 5, 6"),
     "ag32_judge_totals": S("select model, count(*) requests, sum(coalesce(usage.input_tokens,0)) input, sum(coalesce(usage.output_tokens,0)) output, sum(coalesce(usage.cache_creation_input_tokens,0)) creation, sum(coalesce(usage.cache_read_input_tokens,0)) cache_read from judge group by model"),
     "ag35_session_tallies": S("select session_id, count(*) n, count(*) filter (where type='system') system_lines, count(*) filter (where k_hook_count<>'absent') hook_lines from lines group by session_id"),
-    "ag37_overhead": S(f"with {_FIRINGS} select session_id, pid, round(end_ms - start_ms - duration_ms, 1) + 0.0 overhead from firings where end_ms is not null and start_ms is not null and duration_ms is not null"),
-    "jn14_overlaps": S(f"with {_FIRINGS} select session_id, pid, start_ms <= max(coalesce(end_ms, start_ms)) over (partition by session_id order by start_ms, pid rows between unbounded preceding and 1 preceding) is_overlap from firings where start_ms is not null"),
+    "ag37_overhead": _fired("select session_id, pid, round(end_ms - start_ms - duration_ms, 1) + 0.0 overhead from firings where end_ms is not null and start_ms is not null and duration_ms is not null"),
+    "jn14_overlaps": _fired("select session_id, pid, start_ms <= max(coalesce(end_ms, start_ms)) over (partition by session_id order by start_ms, pid rows between unbounded preceding and 1 preceding) is_overlap from firings where start_ms is not null"),
     "jn14_firing_overlaps": S(
         f"with {_FIRINGS} select session_id, pid, coalesce(start_ms <= max(coalesce(end_ms, start_ms)) over (partition by session_id order by start_ms, pid rows between unbounded preceding and 1 preceding), false) "
         "or coalesce(lead(start_ms) over (partition by session_id order by start_ms, pid) <= coalesce(end_ms, start_ms), false) is_overlap from firings where start_ms is not null",
-        f"with {_FIRINGS}, p as (select a.session_id, a.pid a_pid, b.pid b_pid from firings a join firings b on a.session_id is not distinct from b.session_id and (a.start_ms < b.start_ms or a.start_ms = b.start_ms and a.pid < b.pid) and b.start_ms <= coalesce(a.end_ms, a.start_ms)) "
+        f"with {_FIRINGS_DUCK}, p as (select a.session_id, a.pid a_pid, b.pid b_pid from firings a join firings b on a.session_id is not distinct from b.session_id and (a.start_ms < b.start_ms or a.start_ms = b.start_ms and a.pid < b.pid) and b.start_ms <= coalesce(a.end_ms, a.start_ms)) "
         "select session_id, pid, exists (select 1 from p where p.session_id is not distinct from f.session_id and (a_pid=pid or b_pid=pid)) is_overlap from firings f where start_ms is not null",
     ),
     "jn15_asof_back": S("select session_id, ts_ms, phase, pid, max(case when hook_event='PreToolUse' and phase='exit' then ts_ms end) over (partition by session_id order by ts_ms range between unbounded preceding and 1 preceding) before from (select session_id, cast(floor(ts_ms) as bigint) ts_ms, phase, pid, hook_event from dispatch)"),
-    "jn16_tool_decisions": S(f"with {_FIRINGS} select b.id, b.name, f.route, f.decision from (select id, name, row_number() over (partition by id order by line_id, pos) rn from uses) b join firings f on b.id=f.tool_use_id where b.rn=1"),
+    "jn16_tool_decisions": S(
+        f"with {_FIRINGS} select u.id, u.name, x.f.route, x.f.decision from (select id, max_by(name, struct(line_id, pos)) name from uses group by id) u left join (select tool_use_id, max_by(struct(route, decision), struct(start_ms, session_id, pid)) f from firings where event='PreToolUse' group by tool_use_id) x on u.id=x.tool_use_id",
+        f"with {_FIRINGS_DUCK} select u.id, u.name, f.route, f.decision from (select id, name from (select id, name, row_number() over (partition by id order by line_id desc, pos desc) rn from uses) where rn=1) u "
+        "left join (select * from (select *, row_number() over (partition by tool_use_id order by start_ms desc nulls last, session_id desc nulls last, pid desc) rn from firings where event='PreToolUse') where rn=1) f on u.id=f.tool_use_id",
+    ),
     "jn17_asof_forward": S("select session_id, ts_ms, pid, min(case when phase='exit' then ts_ms end) over (partition by session_id, hook_event order by ts_ms range between 1 following and unbounded following) next from (select session_id, cast(floor(ts_ms) as bigint) ts_ms, phase, pid, hook_event from dispatch) where session_id is not null"),
-    "jn18_range": S(f"with {_FIRINGS} select f.session_id, f.pid, count(j.ts_ms) calls from firings f join judge j on f.session_id=j.session_id and f.start_ms < j.ts_ms and j.ts_ms < f.end_ms group by f.session_id, f.pid"),
-    "jn19_silent_allow": S(f"with {_FIRINGS} select a.session_id, a.pid, a.tool_use_id from firings a where a.event='PreToolUse' and a.decision is null and exists (select 1 from firings b where b.tool_use_id=a.tool_use_id and b.event='PostToolUse' and b.exits > 0)"),
+    "jn18_range": _fired("select f.session_id, f.pid, count(j.ts_ms) calls from firings f join judge j on f.session_id=j.session_id and f.start_ms < j.ts_ms and j.ts_ms < f.end_ms group by f.session_id, f.pid"),
+    "jn19_silent_allow": _fired("select a.session_id, a.pid, a.tool_use_id from firings a where a.event='PreToolUse' and a.decision is null and exists (select 1 from firings b where b.tool_use_id=a.tool_use_id and b.event='PostToolUse' and b.exits > 0)"),
     "jn20_uses_results": S("select u.file_name, u.id, u.name, coalesce(r.n, 0) results_seen, coalesce(r.err, false) is_error from uses u left join (select file_name, tool_use_id, count(*) n, max(is_error) err from results group by 1, 2) r on u.file_name=r.file_name and u.id=r.tool_use_id", "select u.file_name, u.id, u.name, coalesce(r.n, 0) results_seen, coalesce(r.err, false) is_error from uses u left join (select file_name, tool_use_id, count(*) n, bool_or(is_error) err from results group by 1, 2) r on u.file_name=r.file_name and u.id=r.tool_use_id"),
     "mt46_judge": S("select session_id, tool_use_id, decision, import_ms, api_ms, total_ms, ok, usage.input_tokens, usage.output_tokens from judge"),
     "str07_late": S("select hook_event, count(*) n, count(*) filter (where duration_ms > 5000) late from dispatch where phase='exit' group by hook_event"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.records import batch_of, parse, text_of
 from sessionloom.operators import drift, hierarchy, sanitize, shred
-from sessionloom.plans import corpus, oracles, statements
+from sessionloom.plans import corpus, extra, oracles, statements
 from sessionloom.plans.runtime import stage
 from sessionloom.sources.tables import table
 from sessionloom.streaming.once import surplus_lines
@@ -137,5 +137,6 @@ def san12_residual(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_paths, p2_descendants, p5_found, p5_objects, p5_bridge, p5_usage, p6_found, jn07_call_tree, san01_audit, san12_residual)}
+QUERIES |= extra.QUERIES
 QUERIES |= {name: (lambda spark, folder, s=statement: corpus.run(spark, folder, s)) for name, statement in statements.ALL.items()}
-SQL = oracles.SQL | {"jn07_call_tree": JN07} | {name: corpus.oracle(statement) for name, statement in statements.ALL.items()}
+SQL = oracles.SQL | extra.SQL | {"jn07_call_tree": JN07} | {name: corpus.oracle(statement) for name, statement in statements.ALL.items()}
