@@ -444,7 +444,7 @@ def ag41_fates(spark, folder):
 _SEEN_DUCK = f"""{_OBJ}, seen as materialized (select 'top_level_types' category, coalesce(case when json_type(raw,'$.type')='VARCHAR' then raw->>'$.type' end,'<no-type>') item from o union select 'top_level_keys', unnest(json_keys(raw)) from o
 union select 'content_block_types', b->>'$.type' from (select unnest(json_extract(raw,'$.message.content[*]')) b from o where json_type(raw,'$.message.content')='ARRAY') where json_type(b,'$.type')='VARCHAR'
 union select 'session_subdirs', split_part(file_name,'/',3) from transcript_lines where length(file_name)-length(replace(file_name,'/',''))>=3
-union select 'meta_json_keys', unnest(list_filter([{", ".join(f"case when {k} is not null then '{k}' end" for k in _MKEYS)}], x -> x is not null)) from manifests
+union select 'meta_json_keys', unnest(list_filter([{", ".join(f"case when {k} is not null then '{k}' end" for k in _MKEYS)}], lambda x: x is not null)) from manifests
 union select 'versions', raw->>'$.version' from o where json_type(raw,'$.version')='VARCHAR'),
 known as (select 'top_level_types' category, record_type item from schema_baseline union select 'top_level_keys', field_path from schema_baseline where not contains(field_path,'.') union values ('content_block_types','text'),('content_block_types','tool_use'),('content_block_types','image'),('session_subdirs','subagents'),('session_subdirs','tool-results'),('meta_json_keys','agent_id'),('meta_json_keys','name'),('versions','2.1.150'))"""
 
