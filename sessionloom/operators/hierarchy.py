@@ -83,11 +83,13 @@ def _local(link: np.ndarray, weights: list[np.ndarray]):
     return order, np.array(root), np.array(depth), [np.array(a) for a in above]
 
 
-def hierarchy(edges: DataFrame, *, near: list[str], weights: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+def hierarchy(edges: DataFrame, *, near: list[str], weights: tuple[str, ...] = (), carry: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """Solve the forest of ``edges`` (``id``, ``parent``, the ``near`` columns and
-    integer weight columns; ids unique).  ``near`` orders relatives together."""
+    integer weight columns; ids unique).  ``near`` orders relatives together;
+    ``carry`` names further columns that the result keeps, so no join is needed."""
     weights = tuple(weights)
-    base = edges.select("id", "parent", *near, *[F.col(w).cast("bigint").alias(f"w_{w}") for w in weights])
+    kept = [f"c_{c}" for c in carry]
+    base = edges.select("id", "parent", *near, *[F.col(w).cast("bigint").alias(f"w_{w}") for w in weights], *[F.col(c).alias(k) for c, k in zip(carry, kept)])
     base = stage(base, "forest")
     count = base.count()
     parts = partitions_for(count, block)
@@ -108,10 +110,14 @@ def hierarchy(edges: DataFrame, *, near: list[str], weights: tuple[str, ...] = (
         out["looped"] = root < 0
         for w, a, s in zip(ws, above, sums):
             out[w], out[a] = pdf[w], s
+        for k in kept:
+            out[k] = pdf[k]
         return out
 
     ddl = "id string, parent string, block int, frag string, d bigint, n bigint, looped boolean"
     ddl += "".join(f", {w} bigint, {a} bigint" for w, a in zip(ws, above))
+    held_ddl = "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in kept)
+    ddl += held_ddl
     solved = stage(_in_blocks(blocks, first, ddl), "blocks")
     # fragments: local roots, with the fragment and node they hang on
     tops = solved.where("frag = id").select(
@@ -158,15 +164,15 @@ def hierarchy(edges: DataFrame, *, near: list[str], weights: tuple[str, ...] = (
             free[i] += total
         out = pd.DataFrame({"id": ids, "parent": parents, "frag": pdf["frag"], "d": pdf["d"], "lft": lft, "size": size})
         out["start_of"] = None
-        for a in above:
+        for a in (*above, *kept):
             out[a] = pdf[a]
         if starts:
             more = pd.DataFrame({"start_of": extra["f"].to_numpy(object), "lft": starts})
             out = pd.concat([out, more], ignore_index=True)
         return out
 
-    ddl2 = "id string, parent string, frag string, d bigint, lft bigint, size bigint, start_of string" + "".join(f", {a} bigint" for a in above)
-    left = solved.select("id", "parent", "frag", "d", "block", *above).groupBy("block")
+    ddl2 = "id string, parent string, frag string, d bigint, lft bigint, size bigint, start_of string" + "".join(f", {a} bigint" for a in above) + held_ddl
+    left = solved.select("id", "parent", "frag", "d", "block", *above, *kept).groupBy("block")
     right = hanging.select("f", "hang", "total", F.col("host_block").alias("block")).groupBy("block")
     numbered = stage(left.cogroup(right).applyInPandas(second, ddl2), "numbered")
     begun = numbered.where("start_of is not null").select(F.col("start_of").alias("f"), F.col("lft").alias("rel"))
@@ -181,6 +187,7 @@ def hierarchy(edges: DataFrame, *, near: list[str], weights: tuple[str, ...] = (
         F.when(ok, F.col("lft") + F.col("offset")).alias("lft"),
         F.when(ok, F.col("lft") + F.col("offset") + F.col("size") - 1).alias("rgt"),
         *[F.when(ok, F.col(a) + F.col(f"o_{a}")).alias(f"above_{w}") for a, w in zip(above, weights)],
+        *[F.col(k).alias(c) for c, k in zip(carry, kept)],
     )
 
 
