@@ -68,4 +68,4 @@ def test_empty(spark):
 
 def test_one_per_id_keeps_the_lowest(spark):
     df = spark.createDataFrame([("a", "p", 2, "n"), ("a", None, 1, "m"), ("b", "a", 3, "n")], "id string, parent string, o int, near string")
-    assert {tuple(r) for r in H.one_per_id(df, "o").collect()} == {("a", None, "m"), ("b", "a", "n")}
+    assert {tuple(r) for r in H.one_per_id(df, "o").collect()} == {("a", None, "m", 1), ("b", "a", "n", 3)}
