@@ -1,12 +1,16 @@
 """Rebuilding conversations from message rows.
 
-Every message gets candidate parents: the links that its copies state, and,
-where links are to be inferred, all messages before it in its session.
-A candidate's score adds a stated link, closeness in time, a mention of the
-candidate's ids and lexical overlap; the likeliest parent is chosen, link trees
-are solved by the hierarchy operator (bounded blocks, so a session with a third
-of all rows is split), and turns are numbered by sums along the tree path, with
-no window or group over a whole session.
+Every message that names a parent gets candidate parents: the message it names,
+those whose ids it mentions, and the one before it in time.  A candidate's score
+adds a named link, closeness in time, a mention of the candidate's ids, lexical
+overlap and a change of speaker; the likeliest is chosen.  A message whose named
+parent is in no line is scored against all earlier messages of its session.
+Scoring runs over blocks of messages in order of time (range partitions, so a
+session with a third of all rows is many tasks); what a block can't see is met by
+a join.  The likeliest links form trees, solved by the hierarchy operator, and
+turns are numbered by sums along the tree path, with no window or group over a
+whole session.  Which conversations are sound is checked last: one with an
+inferred link is broken.
 
 Defined cases: unreadable lines, lines without ``uuid`` or session and side
 chains are outside the main thread; a uuid counts once (lowest line id); equal
@@ -16,16 +20,17 @@ read is older than any other; an empty table gives no conversations.
 
 from __future__ import annotations
 
-from datetime import datetime
+from math import exp
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.records import BLOCK_ALIASES, RECORD_ALIASES, batch_of, blocks, field, parse, text_of
+from sessionloom.functions.records import BLOCK_ALIASES, RECORD_ALIASES, batch_of, blocks, field, instant, parse, text_of
 from sessionloom.operators.hierarchy import hierarchy
-from sessionloom.plans.runtime import stage
+from sessionloom.plans.runtime import partitions_for, stage
 
 MESSAGES = pa.schema(
     [
@@ -47,35 +52,28 @@ MESSAGES_DDL = (
 )
 #: Weights of a candidate link, per feature.
 WEIGHTS = {"stated": 100.0, "time": 2.0, "mention": 8.0, "overlap": 3.0, "turn": 1.0}
-SLICE = 50_000  #: asking messages that one pass over the candidates serves; links don't depend on it
+ASKING, OFFERED = 500, 20_000  #: asking messages and candidates that meet in one task at a time; links don't depend on it
+BLOCK = 100_000  #: messages scored in one task
 
 
 def millis(value) -> int:
     """A timestamp written as ISO text or epoch milliseconds; lowest if unreadable."""
-    try:
-        if isinstance(value, bool) or value is None:
-            return -(1 << 62)
-        if isinstance(value, (int, float)):
-            return int(value)
-        return int(datetime.fromisoformat(str(value).replace("Z", "+00:00")).timestamp() * 1000)
-    except (ValueError, OverflowError):
-        return -(1 << 62)
+    found = instant(value)
+    return -(1 << 62) if found is None else found // 1000
 
 
 def _is(value) -> bool:
     return value is True or (isinstance(value, str) and value.lower() == "true")
 
 
-def messages(lines: DataFrame, *, id_col="line_id", raw_col="raw", lexical=False) -> DataFrame:
-    """The main thread's lines; ``role`` null for lines that only link.
-
-    ``lexical`` adds word hashes and mentioned ids, needed to infer links.
-    """
+def messages(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:
+    """The main thread's lines with word hashes and mentioned ids; ``role`` is null
+    for lines that only link.  Each batch keeps one copy of a message."""
     from zlib import crc32
 
     def run(batches):
         for batch in batches:
-            out = []
+            out: dict[tuple, tuple] = {}
             for line_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 record = parse(raw)
                 if record is None or _is(record.get("isSidechain")):
@@ -97,33 +95,92 @@ def messages(lines: DataFrame, *, id_col="line_id", raw_col="raw", lexical=False
                     asks = int("tool_result" not in kinds)
                 texts = [content] if isinstance(content, str) else [b["text"] for b in parts if isinstance(b, dict) and isinstance(b.get("text"), str)]
                 blank = int(not any(t.strip() for t in texts))
-                if lexical:
-                    words = sorted({crc32(w.encode()) & 0x7FFFFFFF for t in texts for w in t.lower().split()})
-                    for b in parts:
-                        if isinstance(b, dict):
-                            mentions += [x for x in (text_of(b.get("id")), text_of(field(b, "tool_use_id", BLOCK_ALIASES))) if x]
-                    at = text_of(record.get("sourceToolAssistantUUID"))
-                    mentions += [at] if at else []
-                out.append((line_id, session, uuid, text_of(record.get("parentUuid")), millis(record.get("timestamp")), role, asks, blank, words, mentions))
-            yield batch_of(MESSAGES, out)
+                held = out.get((session, uuid))
+                if held is not None and held[0] <= line_id:
+                    continue
+                words = sorted({crc32(w.encode("utf-8", "replace")) & 0x7FFFFFFF for t in texts for w in t.lower().split()})
+                for b in parts:
+                    if isinstance(b, dict):
+                        mentions += [x for x in (text_of(b.get("id")), text_of(field(b, "tool_use_id", BLOCK_ALIASES))) if x]
+                at = text_of(record.get("sourceToolAssistantUUID"))
+                mentions += [at] if at else []
+                out[session, uuid] = (line_id, session, uuid, text_of(record.get("parentUuid")), millis(record.get("timestamp")), role, asks, blank, words, mentions)
+            yield batch_of(MESSAGES, list(out.values()))
 
     source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))
     return source.mapInArrow(run, MESSAGES_DDL)
 
 
-def stated_links(copies: DataFrame) -> DataFrame:
-    """One row per (session, uuid) with the likeliest parent of those that its
-    copies state: the parent named by most copies, then by the earliest."""
-    votes = copies.groupBy("session_id", "uuid", "parent").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("line_id").alias("first"), F.min_by(F.struct("ts", "role", "asks", "blank"), "line_id").alias("m")
-    )
-    score = F.lit(WEIGHTS["stated"]) * F.col("votes")
-    best = votes.groupBy("session_id", "uuid").agg(
-        F.max_by(F.col("parent"), F.struct(score, -F.col("first"))).alias("parent"),
-        F.min("first").alias("line_id"),
-        F.min_by("m", "first").alias("m"),
-    )
-    return best.select("session_id", "uuid", "parent", "line_id", "m.*")
+def reduced(copies: DataFrame) -> DataFrame:
+    """Each message of a session once, the copy of the lowest line id."""
+    rest = [c for c in copies.columns if c not in ("session_id", "uuid")]
+    return copies.groupBy("session_id", "uuid").agg(F.min_by(F.struct(*rest), "line_id").alias("m")).select("session_id", "uuid", "m.*")
+
+
+def _score(named: bool, apart: int, mentioned: bool, mine: set, others: set, turned: bool) -> float:
+    """How likely a candidate is the parent; ``apart`` in milliseconds."""
+    shared = len(mine & others)
+    score = WEIGHTS["time"] * exp(-abs(apart) / 60000.0) + WEIGHTS["overlap"] * shared / max(1, len(mine) + len(others) - shared)
+    return score + WEIGHTS["stated"] * named + WEIGHTS["mention"] * mentioned + WEIGHTS["turn"] * turned
+
+
+LINKED = pa.schema(
+    [(c, MESSAGES.field(c).type) for c in ("session_id", "uuid", "parent", "line_id", "ts", "role", "asks", "blank")] + [("likely", pa.string()), ("score", pa.float64())]
+)
+LINKED_DDL = "session_id string, uuid string, parent string, line_id bigint, ts bigint, role string, asks int, blank int, likely string, score double"
+
+
+def _linked(batches):
+    """The likeliest parent of each message of a block, among the candidates in it;
+    null where the message names none, or one that is not in the block."""
+    rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "ts", "line_id", "uuid", "parent", "role", "asks", "blank", "words", "mentions")))]
+    rows.sort(key=lambda r: r[:3])
+    at = {(r[0], r[3]): i for i, r in enumerate(rows)}
+    owner: dict[tuple, int] = {}  # call id -> the first message that has it
+    for i, r in enumerate(rows):
+        for x in r[9]:
+            owner.setdefault((r[0], x), i)
+    bags: list[set | None] = [None] * len(rows)
+
+    def bag(i: int) -> set:
+        if bags[i] is None:
+            bags[i] = set(rows[i][8])
+        return bags[i]
+
+    out = []
+    for i, (session, ts, line_id, uuid, parent, role, asks, blank, _, mentions) in enumerate(rows):
+        best = None
+        named = at.get((session, parent)) if parent is not None else None
+        if named is not None:
+            told = {j for x in mentions for j in (owner.get((session, x)), at.get((session, x))) if j is not None and j < i}
+            offered = told | {named} | ({i - 1} if i and rows[i - 1][0] == session else set())
+            for j in offered - {i} if named != i else offered:
+                r = rows[j]
+                score = _score(j == named, ts - r[1], j in told, bag(i), bag(j), role is not None and r[5] is not None and r[5] != role)
+                if best is None or (score, r[1], r[3]) > best:
+                    best = (score, r[1], r[3])
+        out.append((session, uuid, parent, line_id, ts, role, asks, blank, best[2] if best else None, best[0] if best else None))
+    yield batch_of(LINKED, out)
+
+
+def linked(one: DataFrame) -> DataFrame:
+    """Every message with its likeliest parent, its score and whether it had to be
+    inferred (``inferred``); ``likely`` is null where it names no parent, or nothing
+    comes before it."""
+    blocks_ = one.repartitionByRange(partitions_for(one.count(), BLOCK), "session_id", "ts", "line_id")
+    seen = stage(blocks_.mapInArrow(_linked, LINKED_DDL), "linked")
+    # a named parent in another block: its features come by a join; staged, so that a few of them are sent, many shuffled
+    apart = stage(seen.where("parent is not null and likely is null").drop("likely", "score"), "apart")
+    side = one.select("session_id", F.col("uuid").alias("parent"), F.col("ts").alias("p_ts"), F.col("role").alias("p_role"), F.col("words").alias("p_words"))
+    met = apart.join(side, ["session_id", "parent"]).join(one.select("session_id", "uuid", "words"), ["session_id", "uuid"])
+    shared = F.size(F.array_intersect("words", "p_words")) / F.greatest(F.size(F.array_union("words", "p_words")), F.lit(1))
+    turned = F.coalesce(F.col("role") != F.col("p_role"), F.lit(False)).cast("double")
+    score = F.lit(WEIGHTS["stated"]) + WEIGHTS["time"] * F.exp(-F.abs(F.col("ts") - F.col("p_ts")) / 60000.0) + WEIGHTS["overlap"] * shared + WEIGHTS["turn"] * turned
+    met = stage(met.withColumn("likely", F.col("parent")).withColumn("score", score).select(*seen.columns), "met")
+    lost = stage(apart.join(met.select("session_id", "uuid"), ["session_id", "uuid"], "left_anti"), "lost")
+    inferred = _inferred(one, lost).select("session_id", "uuid", F.col("parent").alias("likely"), "score")
+    every = seen.where("parent is null or likely is not null").unionByName(met).withColumn("inferred", F.lit(False))
+    return every.unionByName(lost.join(inferred, ["session_id", "uuid"], "left").withColumn("inferred", F.lit(True)))
 
 
 class _Asking:
@@ -170,96 +227,86 @@ class _Asking:
 OFFERS = pa.schema([("session_id", pa.string()), ("uuid", pa.string()), ("parent", pa.string()), ("score", pa.float64()), ("p_ts", pa.int64())])
 
 
-def infer_links(copies: DataFrame) -> DataFrame:
-    """(session_id, uuid, parent, score) for messages whose stated parent is in no
-    line: the likeliest of all messages before it in its session.
+def _inferred(one: DataFrame, lost: DataFrame) -> DataFrame:
+    """(session_id, uuid, parent, score): the likeliest of all earlier messages of
+    the session for each of the ``lost`` messages.
 
-    The asking messages are indexed and sent to the tasks, a slice at a time, and
-    every candidate is scored against those of its session, so nothing runs over
-    a whole hot session and only each task's best offers are shuffled.
+    The asking messages of a session and its candidates are cut into parts, and
+    each two parts meet in a task that keeps the best offer per asking message.
+    Only sessions that ask are shuffled.
     """
-    one = copies.groupBy("session_id", "uuid").agg(F.min_by(F.struct(*[c for c in copies.columns if c not in ("session_id", "uuid")]), "line_id").alias("m"))
-    one = stage(one.select("session_id", "uuid", "m.*"), "links")
-    known = one.select("session_id", F.col("uuid").alias("parent"))
-    lost = one.where("parent is not null").join(known, ["session_id", "parent"], "left_anti").select("session_id", "uuid", "ts", "role", "words", "mentions")
-    spark = copies.sparkSession
-    source = one.select("session_id", "uuid", "ts", "role", "words", "mentions")
-
-    def passed(rows: list) -> DataFrame:
-        by: dict[str, list] = {}
-        for r in rows:
-            by.setdefault(r["session_id"], []).append(r.asDict())
-        held = spark.sparkContext.broadcast(by)
-
-        def run(batches):
-            asking: dict[str, _Asking] = {}
-            for batch in batches:
-                sessions = batch.column(0).to_pylist()
-                hit = [i for i, x in enumerate(sessions) if x in held.value]
-                for session, *candidate in zip(*(c.take(pa.array(hit, pa.int64())).to_pylist() for c in batch.columns)):
-                    if session not in asking:
-                        asking[session] = _Asking(held.value[session])
-                    asking[session].offer(*candidate)
-            out = [(s, a.keys[i], b[2], b[0], b[1]) for s, a in asking.items() for i, b in enumerate(a.best) if b is not None]
-            yield batch_of(OFFERS, out)
-
-        return source.mapInArrow(run, "session_id string, uuid string, parent string, score double, p_ts bigint")
-
-    offers, rows = None, []
-
-    def add(rows: list) -> DataFrame:
-        return passed(rows) if offers is None else offers.unionByName(passed(rows))
-
-    for r in stage(lost, "lost").toLocalIterator():
-        rows.append(r)
-        if len(rows) == SLICE:
-            offers, rows = add(rows), []
-    if rows or offers is None:
-        offers = add(rows)
+    features = one.select("session_id", "uuid", "ts", "role", "words", "mentions")
+    asking = stage(features.join(lost.select("session_id", "uuid"), ["session_id", "uuid"], "left_semi"), "asking")
+    asks = stage(asking.groupBy("session_id").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("chunks")), "asks")
+    sized = one.join(asks, "session_id").groupBy("session_id", "chunks").agg(F.ceil(F.count(F.lit(1)) / OFFERED).cast("int").alias("slices"))
+    sized = stage(sized, "sized")
+    part = lambda n: F.pmod(F.xxhash64("uuid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asking.join(sized, "session_id").withColumn("chunk", part("chunks")).withColumn("slice", every("slices"))
+    right = features.join(sized, "session_id").withColumn("slice", part("slices")).withColumn("chunk", every("chunks"))
+
+    def meet(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
+        columns = ["session_id", "uuid", "parent", "score", "p_ts"]
+        if not len(asked):
+            return pd.DataFrame([], columns=columns)
+        a = _Asking(asked.to_dict("records"))
+        for r in offered.itertuples(index=False):
+            a.offer(r.uuid, r.ts, r.role, list(r.words), list(r.mentions))
+        session = asked["session_id"].iloc[0]
+        return pd.DataFrame([(session, a.keys[i], b[2], b[0], b[1]) for i, b in enumerate(a.best) if b is not None], columns=columns)
+
+    by = ["session_id", "chunk", "slice"]
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own: both sides come from one table
+    offers = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, "session_id string, uuid string, parent string, score double, p_ts bigint")
     best = offers.groupBy("session_id", "uuid").agg(F.max_by(F.struct("parent", "score"), F.struct("score", "p_ts", "parent")).alias("b"))
     return best.select("session_id", "uuid", "b.parent", "b.score")
 
 
+def infer_links(copies: DataFrame) -> DataFrame:
+    """(session_id, uuid, parent, score) for messages whose named parent is in no line."""
+    one = stage(reduced(copies), "links")
+    known = one.select("session_id", F.col("uuid").alias("parent"))
+    return _inferred(one, one.where("parent is not null").join(known, ["session_id", "parent"], "left_anti"))
+
+
+MARK = "\u001f"  #: between session and uuid in the ids of the forest
+
+
+def _forest(links: DataFrame) -> DataFrame:
+    """Links as rows of a forest: ids hold the session, so no join is needed to know it."""
+    mark = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(MARK, "session_id", c))
+    return links.withColumn("id", mark("uuid")).withColumn("stated", F.col("parent")).withColumn("parent", mark("likely"))
+
+
 def inferred_trees(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:
-    """(session_id, uuid, parent, root, depth) of every message, lost parents
-    replaced by inferred ones; root null and depth -1 on or below a cycle."""
-    copies = messages(lines, id_col=id_col, raw_col=raw_col, lexical=True)
-    chosen = infer_links(copies).select("session_id", "uuid", F.col("parent").alias("likely"))
-    links = stated_links(copies.drop("words", "mentions")).join(chosen, ["session_id", "uuid"], "left")
-    mark = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\u001f", "session_id", c))
-    links = links.withColumn("parent", F.coalesce("likely", "parent"))
-    nodes = stage(links.select(mark("uuid").alias("id"), mark("parent").alias("parent"), "session_id", "ts"), "inferred")
-    id_of = lambda c: F.split(c, "\u001f", 2)[1]
+    """(session_id, uuid, parent, root, depth) of every message by its likeliest
+    link; root null and depth -1 on or below a cycle."""
+    one = stage(reduced(messages(lines, id_col=id_col, raw_col=raw_col)), "messages")
+    nodes = stage(_forest(linked(one)).select("id", "parent", "session_id", "ts"), "inferred")
+    at = lambda c, i: F.split(c, MARK, 2)[i]
     solved = hierarchy(nodes, near=["session_id", "ts"])
-    return solved.select(F.split("id", "\u001f", 2)[0].alias("session_id"), id_of("id").alias("uuid"), id_of("parent").alias("parent"), id_of("root").alias("root"), "depth")
+    return solved.select(at("id", 0).alias("session_id"), at("id", 1).alias("uuid"), at("parent", 1).alias("parent"), at("root", 1).alias("root"), "depth")
 
 
 def conversations(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:
     """(session_id, turn_no, uuid, role) of the messages of each kept session."""
-    copies = messages(lines, id_col=id_col, raw_col=raw_col).drop("words", "mentions")
-    links = stated_links(copies)
-    mark = F.concat_ws("\u001f", "session_id", "uuid")
-    nodes = stage(
-        links.select(
-            mark.alias("id"), F.when(F.col("parent").isNotNull(), F.concat_ws("\u001f", "session_id", "parent")).alias("parent"), "session_id", "uuid", "ts",
-            "line_id", "role", "asks", "blank", F.col("role").isNotNull().cast("int").alias("turns"),
-            F.coalesce((F.col("role") == "assistant").cast("int"), F.lit(0)).alias("answers"),
-        ),
-        "thread",
-    )
-    forest = hierarchy(nodes, near=["session_id", "ts"], weights=("turns", "answers"))
-    # ids hold the session, so no join is needed to know it
-    split = F.split("id", "\u001f", 2)
-    tree = forest.join(nodes.select("id", "ts", "line_id", "role", "asks", "blank"), "id").withColumn("session_id", split[0])
-    tree = stage(tree, "tree")
-    # sound: exactly one null parent, every parent present, no cycle: then every node has that root
+    one = stage(reduced(messages(lines, id_col=id_col, raw_col=raw_col)), "messages")
+    nodes = _forest(linked(one)).select(
+        "id", "parent", "session_id", "ts", "line_id", "role", "asks", "blank", "inferred", F.col("stated").isNull().alias("opens"),
+        F.col("role").isNotNull().cast("int").alias("turns"), F.coalesce((F.col("role") == "assistant").cast("int"), F.lit(0)).alias("answers"),
+    )
+    forest = hierarchy(nodes, near=["session_id", "ts"], weights=("turns", "answers"), carry=("ts", "line_id", "role", "asks", "blank", "inferred", "opens"))
+    split = F.split("id", MARK, 2)
+    tree = stage(forest.drop("parent").withColumn("session_id", split[0]), "tree")
+    # sound: exactly one message names no parent, every named parent is there, no cycle: then every node has that root
     rooted = tree.groupBy("session_id").agg(
         F.sum((F.col("depth") == 0).cast("int")).alias("roots"),
-        F.sum(((F.col("depth") == 0) & F.col("parent").isNull()).cast("int")).alias("openings"),
+        F.sum(((F.col("depth") == 0) & F.col("opens")).cast("int")).alias("openings"),
         F.sum((F.col("depth") < 0).cast("int")).alias("looped"),
+        F.sum(F.col("inferred").cast("int")).alias("inferred"),
         F.max(F.when(F.col("size") == 1, F.struct("ts", -F.col("line_id"), "lft"))).alias("leaf"),
     )
-    sound = rooted.where("roots = 1 and openings = 1 and looped = 0").select("session_id", F.col("leaf.lft").alias("at"))
+    sound = rooted.where("roots = 1 and openings = 1 and looped = 0 and inferred = 0").select("session_id", F.col("leaf.lft").alias("at"))
     path = tree.join(sound, "session_id").where("lft <= at and at <= rgt and role is not null")
     path = path.select("session_id", split[1].alias("uuid"), "role", "asks", "blank", F.col("above_turns").alias("turn_no"), F.col("above_answers").alias("answers"))
     path = stage(path, "path")

@@ -22,7 +22,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_inferred(spark: SparkSession, folder: str) -> DataFrame:
     """Likeliest parents of messages whose stated parent is in no line."""
-    copies = conversations.messages(table(spark, folder, "transcript_lines"), lexical=True)
+    copies = conversations.messages(table(spark, folder, "transcript_lines"))
     return conversations.infer_links(copies).drop("score")
 
 

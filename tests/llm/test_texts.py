@@ -49,7 +49,7 @@ def test_broken_empty_and_unanswered_sessions_are_dropped(spark, make_lines, row
 
 def test_lost_parents_are_inferred(spark, make_lines):
     rows = [_message("user", "a", None, T.format(1), text="fix the parser"), _message("assistant", "far", None, T.format(2), text="weather report"), _message("assistant", "b", "lost", T.format(9), text="the parser is fixed")]
-    got = conversations.infer_links(conversations.messages(make_lines(rows), lexical=True)).collect()
+    got = conversations.infer_links(conversations.messages(make_lines(rows))).collect()
     assert [(r["uuid"], r["parent"]) for r in got] == [("b", "a")]
 
 
@@ -62,7 +62,7 @@ def test_far_parents_are_inferred_and_form_trees(spark, make_lines):
     late = "2026-02-07T09:00:00Z"
     rows += [_message("user", "x", "lost", late, text="other", sourceToolAssistantUUID="named"), _message("user", "y", "gone", late, text=words)]
     df = make_lines(rows)
-    got = {r["uuid"]: r["parent"] for r in conversations.infer_links(conversations.messages(df, lexical=True)).collect()}
+    got = {r["uuid"]: r["parent"] for r in conversations.infer_links(conversations.messages(df)).collect()}
     assert got == {"x": "named", "y": "long"}
     trees = {r["uuid"]: (r["root"], r["depth"]) for r in conversations.inferred_trees(df).collect()}
     assert trees["x"] == ("named", 1) and trees["y"] == ("named", 2) and len(trees) == 24
