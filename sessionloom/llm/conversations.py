@@ -20,7 +20,7 @@ read is older than any other; an empty table gives no conversations.
 
 from __future__ import annotations
 
-from math import exp
+from math import log1p
 
 import numpy as np
 import pandas as pd
@@ -50,8 +50,10 @@ MESSAGES_DDL = (
     "line_id bigint, session_id string, uuid string, parent string, ts bigint, role string, asks int, blank int, "
     "words array<int>, mentions array<string>"
 )
-#: Weights of a candidate link, per feature.
-WEIGHTS = {"stated": 100.0, "time": 2.0, "mention": 8.0, "overlap": 3.0, "turn": 1.0}
+#: Weights of a candidate link, per feature.  Time counts as the logarithm of the seconds apart,
+#: overlap as the third power of the share of words: common words give every pair a small one.
+WEIGHTS = {"stated": 100.0, "time": -7.0, "mention": 8.0, "overlap": 8.0, "turn": 0.3}
+FAR = log1p(6 * 3600)  #: from six hours on messages count as equally far apart
 ASKING, OFFERED = 500, 20_000  #: asking messages and candidates that meet in one task at a time; links don't depend on it
 BLOCK = 100_000  #: messages scored in one task
 
@@ -120,7 +122,7 @@ def reduced(copies: DataFrame) -> DataFrame:
 def _score(named: bool, apart: int, mentioned: bool, mine: set, others: set, turned: bool) -> float:
     """How likely a candidate is the parent; ``apart`` in milliseconds."""
     shared = len(mine & others)
-    score = WEIGHTS["time"] * exp(-abs(apart) / 60000.0) + WEIGHTS["overlap"] * shared / max(1, len(mine) + len(others) - shared)
+    score = WEIGHTS["time"] * min(1.0, log1p(abs(apart) / 1000.0) / FAR) + WEIGHTS["overlap"] * (shared / max(1, len(mine) + len(others) - shared)) ** 3
     return score + WEIGHTS["stated"] * named + WEIGHTS["mention"] * mentioned + WEIGHTS["turn"] * turned
 
 
@@ -175,7 +177,7 @@ def linked(one: DataFrame) -> DataFrame:
     met = apart.join(side, ["session_id", "parent"]).join(one.select("session_id", "uuid", "words"), ["session_id", "uuid"])
     shared = F.size(F.array_intersect("words", "p_words")) / F.greatest(F.size(F.array_union("words", "p_words")), F.lit(1))
     turned = F.coalesce(F.col("role") != F.col("p_role"), F.lit(False)).cast("double")
-    score = F.lit(WEIGHTS["stated"]) + WEIGHTS["time"] * F.exp(-F.abs(F.col("ts") - F.col("p_ts")) / 60000.0) + WEIGHTS["overlap"] * shared + WEIGHTS["turn"] * turned
+    score = F.lit(WEIGHTS["stated"]) + WEIGHTS["time"] * F.least(F.lit(1.0), F.log1p(F.abs(F.col("ts") - F.col("p_ts")) / 1000.0) / FAR) + WEIGHTS["overlap"] * F.pow(shared, 3) + WEIGHTS["turn"] * turned
     met = stage(met.withColumn("likely", F.col("parent")).withColumn("score", score).select(*seen.columns), "met")
     lost = stage(apart.join(met.select("session_id", "uuid"), ["session_id", "uuid"], "left_anti"), "lost")
     inferred = _inferred(one, lost).select("session_id", "uuid", F.col("parent").alias("likely"), "score")
@@ -189,6 +191,7 @@ class _Asking:
     def __init__(self, rows: list) -> None:
         self.keys = [r["uuid"] for r in rows]
         self.ts = np.array([r["ts"] for r in rows], np.int64)
+        self.lines = np.array([r["line_id"] for r in rows], np.int64)
         self.roles = np.array([r["role"] or "" for r in rows])
         self.sizes = np.array([len(r["words"]) for r in rows])
         words: dict[int, list[int]] = {}
@@ -205,17 +208,17 @@ class _Asking:
         self.best: list[tuple | None] = [None] * len(rows)
         self.high = np.full(len(rows), -np.inf)
 
-    def offer(self, uuid: str, ts: int, role: str | None, words: list[int], mentions: list[str]) -> None:
+    def offer(self, uuid: str, ts: int, line_id: int, role: str | None, words: list[int], mentions: list[str]) -> None:
         """Score a candidate against all of them; keep it where it is the best."""
         met = [self.words[w] for w in words if w in self.words]
         shared = np.bincount(np.concatenate(met), minlength=len(self.ts)) if met else 0
-        score = WEIGHTS["time"] * np.exp(-np.maximum(self.ts - ts, 0) / 60000.0) + WEIGHTS["overlap"] * (shared / np.maximum(self.sizes + len(words) - shared, 1))
+        score = WEIGHTS["time"] * np.minimum(1.0, np.log1p(np.abs(self.ts - ts) / 1000.0) / FAR) + WEIGHTS["overlap"] * (shared / np.maximum(self.sizes + len(words) - shared, 1)) ** 3
         named = {i for x in {uuid, *mentions} for i in self.ids.get(x, ())}
         if named:
             score[list(named)] += WEIGHTS["mention"]
         if role:
             score += WEIGHTS["turn"] * ((self.roles != role) & (self.roles != ""))
-        fit = (score >= self.high) & (self.ts >= ts)
+        fit = (score >= self.high) & ((self.ts > ts) | (self.ts == ts) & (self.lines > line_id))
         for i in self.own.get(uuid, ()):
             fit[i] = False
         for i in np.flatnonzero(fit).tolist():
@@ -235,7 +238,7 @@ def _inferred(one: DataFrame, lost: DataFrame) -> DataFrame:
     each two parts meet in a task that keeps the best offer per asking message.
     Only sessions that ask are shuffled.
     """
-    features = one.select("session_id", "uuid", "ts", "role", "words", "mentions")
+    features = one.select("session_id", "uuid", "ts", "line_id", "role", "words", "mentions")
     asking = stage(features.join(lost.select("session_id", "uuid"), ["session_id", "uuid"], "left_semi"), "asking")
     asks = stage(asking.groupBy("session_id").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("chunks")), "asks")
     sized = one.join(asks, "session_id").groupBy("session_id", "chunks").agg(F.ceil(F.count(F.lit(1)) / OFFERED).cast("int").alias("slices"))
@@ -251,7 +254,7 @@ def _inferred(one: DataFrame, lost: DataFrame) -> DataFrame:
             return pd.DataFrame([], columns=columns)
         a = _Asking(asked.to_dict("records"))
         for r in offered.itertuples(index=False):
-            a.offer(r.uuid, r.ts, r.role, list(r.words), list(r.mentions))
+            a.offer(r.uuid, r.ts, r.line_id, r.role, list(r.words), list(r.mentions))
         session = asked["session_id"].iloc[0]
         return pd.DataFrame([(session, a.keys[i], b[2], b[0], b[1]) for i, b in enumerate(a.best) if b is not None], columns=columns)
 

@@ -154,3 +154,33 @@ def test_no_term_is_dropped_from_a_large_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(subjects, "MAX_TERMS", 2, raising=False)
     df = spark.createDataFrame([("Copper kettles whistle loudly.",)] * 3, "text string")
     assert {"copper", "kettles", "whistle"} <= {w for t in subjects._vocabulary(df, set(), set(), set()) for w in t.split()}
+
+
+def test_hidden_parents_are_inferred(spark):
+    """Recall of inference: every twentieth line's named parent is hidden."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        import pytest
+
+        pytest.skip("needs the driver's tables")
+    from sessionloom.plans.runtime import stage
+    from sessionloom.sources.tables import table
+
+    one = stage(conversations.reduced(conversations.messages(table(spark, folder, "transcript_lines"))), "messages")
+    known = one.selectExpr("session_id", "uuid as parent")
+    asked = one.where("line_id % 20 = 0 and parent is not null").join(known, ["session_id", "parent"], "left_semi").select("session_id", "uuid", "parent")
+    got = conversations._inferred(one, asked).withColumnRenamed("parent", "likely")
+    rows = asked.join(got, ["session_id", "uuid"], "left").collect()
+    assert len(rows) > 150 and sum(r["likely"] == r["parent"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_blocks_change_no_link(spark, make_lines, monkeypatch):
+    rows = [_message(("user", "assistant")[i % 2], f"u{i}", f"u{i - 1}" if i else None, T.format(i), text=f"w{i} and w{i - 1}") for i in range(40)]
+    rows[25]["parentUuid"] = "gone"
+    df = make_lines(rows)
+    want = {tuple(r) for r in conversations.inferred_trees(df).collect()}
+    monkeypatch.setattr(conversations, "BLOCK", 3)
+    monkeypatch.setattr(conversations, "OFFERED", 4)
+    assert {tuple(r) for r in conversations.inferred_trees(df).collect()} == want and len(want) == 40
