@@ -57,6 +57,12 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.found(table(spark, folder, "documents"), table(spark, folder, "subject_examples"))
 
 
+def p10_mixtures(spark: SparkSession, folder: str) -> DataFrame:
+    """Mixture of subjects of each document that has any."""
+    model = subjects.fit(table(spark, folder, "documents"), table(spark, folder, "subject_examples"))
+    return subjects.mixed(model).select("doc_id", "subject", "weight")
+
+
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Share of each subject in the corpus."""
     return subjects.shares(table(spark, folder, "documents"), table(spark, folder, "subject_examples"))
@@ -65,7 +71,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_redacted, p4_found, p4_inferred, p4_inferred_trees, p7_found, p7_redacted, p8_found, p9_selection, p9_shares, p10_found, p10_shares,
+        p3_found, p3_redacted, p4_found, p4_inferred, p4_inferred_trees, p7_found, p7_redacted, p8_found, p9_selection, p9_shares, p10_found, p10_mixtures, p10_shares,
     )
 }
 SQL: dict[str, str] = {}

@@ -106,7 +106,7 @@ def test_filter_loses_nothing_against_brute_force():
         assert items.leaks(" ".join(words)) == want
 
 
-def test_subjects_of_held_out_words(spark):
+def test_subjects_of_held_out_words(spark, monkeypatch):
     frames = ["Without the {} nobody can judge the {}.", "It turned out that the {} was older than the {}.", "Each {} in the workspace points to one {}."]
     own = {"law": ["statute", "plaintiff", "docket", "injunction", "verdict", "appeal"], "music": ["chord", "octave", "tempo", "sonata", "rhythm", "cello"]}
     rng = random.Random(2)
@@ -122,6 +122,20 @@ def test_subjects_of_held_out_words(spark):
     docs += [(1000, None), (1001, ""), (1002, " \n")]
     got = {tuple(r) for r in subjects.found(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(ex, "example_id bigint, text string, subject string")).collect()}
     assert len(got & want) / len(got | want) > 0.98
+    mixed = subjects.mixed(subjects.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(ex, "example_id bigint, text string, subject string"))).collect()
+    weight = Counter()
+    for r in mixed:
+        weight[r["doc_id"]] += r["weight"]
+    assert len(weight) > 290 and all(abs(w - 1) < 1e-9 for w in weight.values())
+    # terms met by a join instead of a broadcast give the same rows
+    monkeypatch.setattr(subjects, "SENT", 0)
+    assert {tuple(r) for r in subjects.found(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(ex, "example_id bigint, text string, subject string")).collect()} == got
+
+
+def test_empty_corpora_have_no_subjects(spark):
+    ex = spark.createDataFrame([(1, "The statute binds the plaintiff.", "law"), (2, "A chord of the sonata.", "music")], "example_id bigint, text string, subject string")
+    docs = spark.createDataFrame([(4, None), (5, "  ")], "doc_id bigint, text string")
+    assert subjects.found(docs, ex).count() == 0 and subjects.shares(docs.limit(0), ex).count() == 0
 
 
 def test_allotments():
@@ -151,9 +165,10 @@ def test_mix_keeps_caps_and_shares(spark):
 
 
 def test_no_term_is_dropped_from_a_large_vocabulary(spark, monkeypatch):
-    monkeypatch.setattr(subjects, "MAX_TERMS", 2, raising=False)
-    df = spark.createDataFrame([("Copper kettles whistle loudly.",)] * 3, "text string")
-    assert {"copper", "kettles", "whistle"} <= {w for t in subjects._vocabulary(df, set(), set(), set()) for w in t.split()}
+    df = spark.createDataFrame([(1, "Copper kettles whistle loudly.")] * 3, "doc_id bigint, text string")
+    rows = subjects.numbered(df, set(), set())
+    kept = {r["term"] for r in subjects._state(rows, {"x": Counter({"anvil": 1})}, ["x"]).collect()}
+    assert {subjects.number_of(t) for t in ("copper", "kettles", "whistle", "copper kettles", "anvil")} <= kept
 
 
 def test_hidden_parents_are_inferred(spark):
