@@ -6,12 +6,14 @@ broadcast.  Documents stream through once:
 1. both sides are brought to one writing (compatibility forms, case, marks,
    punctuation, line breaks and markup fall away) and become words;
 2. shared character q-grams are looked up and counted per item in overlapping
-   diagonal bands of (document position - question position);
+   diagonal bands of (document word - question word) in which they begin: a word
+   that stands for another moves no later one, however long it is;
 3. regions are kept when the count reaches the q-gram lemma's bound for the
    least region that can be a leak: fifteen words of which at most two are other
    words (every longer leak contains one, see ``least_shared``);
-4. kept regions are verified by alignment of words on the diagonals of the band:
-   a window of at least fifteen words with at most one in eight different.
+4. kept regions are verified by alignment of words within the band: at least
+   fifteen words of the question, with at most one in eight other, missing or
+   put between.
 
 Defined cases: null and blank texts and questions give no rows; questions of
 fewer than fifteen words (after their instruction) can't leak; an opening
@@ -35,13 +37,15 @@ from sessionloom.functions.records import batch_of
 Q = 8  #: characters per q-gram
 LEAST = 15  #: words in a row that make a leak
 ONE_IN = 8  #: of so many words one may be another
-BAND = 128  #: characters of drift a band allows; bands overlap by half
+BAND = 16  #: diagonals (words) in a band; bands overlap by half
+MARGIN = 4 * LEAST  #: words around a region that verification looks at
 SHARED = 3  #: items that share a first sentence for it to be an instruction
 MAX_ITEMS = 100_000  #: items that are broadcast
 
 _MARKUP = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,8};|&#\d+;|\[([^\]\n]*)\]\([^)\n]*\)")
 _WORDS = re.compile(r"[^\W_]+", re.U)
 _HYPHENATED = re.compile(r"(?<=\w)[-­‐‑]\s*\n\s*(?=\w)")
+_INNER = re.compile(r"(?<=\w)['’](?=\w)|[*_`~](?=\w)|(?<=\w)[*_`~]")
 _UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁԛԝвкмнтгαεορυικντχ", "aeopcyxijsdqwbkmhtraeopuikvtx")
@@ -50,14 +54,16 @@ _LOOKALIKES = str.maketrans("аеорсухіјѕԁԛԝвкмнтгαεορυι
 def words_of(text: str) -> list[str]:
     """The words of a text in one writing."""
     text = _HYPHENATED.sub("", text)
-    text = unicodedata.normalize("NFKC", text).translate(_UNSEEN)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(_UNSEEN)
     text = _MARKUP.sub(lambda m: " " + (m[1] or "") + " ", text)
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
         text = text.casefold()
         if re.search(r"[a-z]", text):
             text = text.translate(_LOOKALIKES)
-    text = re.sub(r"(?<=\w)['’](?=\w)|[*_`~](?=\w)|(?<=\w)[*_`~]", "", text)
+    if any(c in text for c in "'’*_`~"):
+        text = _INNER.sub("", text)
     return _WORDS.findall(text.casefold())
 
 
@@ -92,6 +98,11 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def _word_of(words: list[str], at: np.ndarray) -> np.ndarray:
+    """The word in which each position of the joined words lies."""
+    return np.searchsorted(np.cumsum([len(w) + 1 for w in words]), at, side="right")
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -128,7 +139,7 @@ class Items:
             h = _hashes(_codes(" ".join(words)))
             grams.append(h)
             owner.append(np.full(len(h), i, np.int64))
-            place.append(np.arange(len(h), dtype=np.int64))
+            place.append(_word_of(words, np.arange(len(h))))
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
         self.owner = np.concatenate(owner)[order] if grams else np.zeros(0, np.int64)
@@ -141,9 +152,9 @@ class Items:
         self.number = {w: i for i, w in enumerate(vocabulary)}
         self.numbers = [np.array([self.number[w] for w in words], np.int32) for words in self.words]
 
-    def regions(self, text: str) -> dict[int, list[tuple[int, int]]]:
-        """item -> (first, last) text positions of regions that meet the bound."""
-        h = _hashes(_codes(text))
+    def regions(self, words: list[str]) -> dict[int, list[tuple[int, int, int]]]:
+        """item -> (first word, last word, least diagonal) of the bands that meet the bound."""
+        h = _hashes(_codes(" ".join(words)))
         at = np.flatnonzero(self.seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if not len(at):
             return {}
@@ -155,11 +166,15 @@ class Items:
             return {}
         n = self.count[row]
         pick = np.repeat(self.start[row], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        position = np.repeat(at, n)
-        owner, diagonal = self.owner[pick], position - self.place[pick] + (1 << 20)
-        half = BAND // 2
-        out: dict[int, list[tuple[int, int]]] = {}
-        for shift in (0, half):  # two layouts of bands, so that every drift below half a band lies in one
+        owner = self.owner[pick]
+        # an item that misses the bound over the whole text misses it in each band
+        enough = (np.bincount(owner, minlength=len(self.bound)) >= self.bound)[owner]
+        if not enough.any():
+            return {}
+        owner, word = owner[enough], _word_of(words, np.repeat(at, n)[enough])
+        diagonal = word - self.place[pick][enough] + (1 << 20)
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for shift in (0, BAND // 2):  # two layouts of bands, so that every drift up to half a band lies in one
             key = owner << np.int64(40) | (diagonal + shift) // BAND
             keys, back, total = np.unique(key, return_inverse=True, return_counts=True)
             kept = np.flatnonzero(total >= self.bound[(keys >> np.int64(40))])
@@ -167,12 +182,48 @@ class Items:
                 continue
             low = np.full(len(keys), 1 << 40)
             high = np.zeros(len(keys), np.int64)
-            np.minimum.at(low, back, position)
-            np.maximum.at(high, back, position)
+            np.minimum.at(low, back, word)
+            np.maximum.at(high, back, word)
             for k in kept.tolist():
-                out.setdefault(int(keys[k] >> 40), []).append((int(low[k]), int(high[k]) + Q))
+                band = int(keys[k] & ((1 << 40) - 1)) * BAND - shift - (1 << 20)
+                out.setdefault(int(keys[k] >> 40), []).append((int(low[k]), int(high[k]), band))
         return out
 
+    def aligned(self, item: int, words: np.ndarray, least: int) -> bool:
+        """Whether an alignment on the diagonals from ``least`` through the band holds
+        a leak.  An equal word counts 1, another in its place 1 - ONE_IN, one that is
+        missing or put between -ONE_IN; a leak is an alignment of LEAST places or
+        more, missing ones aside, whose sum is not negative.
+
+        ``best[d, l]``: the highest sum of an alignment that ends on diagonal d after
+        l places (LEAST stands for more).
+        """
+        question, none = self.numbers[item], -(1 << 30)
+        n, width = len(question), BAND + 1
+        best = np.full((width, LEAST + 1), none, np.int64)
+        for j in range(max(0, -least - width), len(words)):
+            places = j - least - np.arange(width)  # question words that meet word j
+            inside = (places >= 0) & (places < n)
+            if not inside.any():
+                if places.max() < 0:
+                    continue
+                if places.min() >= n:
+                    break
+            equal = inside & (question[np.clip(places, 0, n - 1)] == words[j])
+            step = np.where(equal, 1, 1 - ONE_IN)[:, None]
+            from_here = np.where(inside[:, None], np.maximum(best, np.where(np.arange(LEAST + 1) == 0, 0, none)) + step, none)
+            fresh = np.full_like(best, none)
+            fresh[:, 1:] = from_here[:, :-1]
+            fresh[:, LEAST] = np.maximum(fresh[:, LEAST], from_here[:, LEAST])
+            fresh[1:] = np.maximum(fresh[1:], best[:-1] - ONE_IN)  # a word put between: one diagonal on
+            for d in range(width - 2, -1, -1):  # a missing word: one diagonal back
+                if 0 <= places[d] < n:
+                    fresh[d] = np.maximum(fresh[d], fresh[d + 1] - ONE_IN)
+            best = fresh
+            if best[:, LEAST].max() >= 0:
+                return True
+        return False
+
     def verify(self, item: int, words: np.ndarray) -> bool:
         """Whether the words hold a leaking window of the item.
 
@@ -203,18 +254,15 @@ class Items:
         if len(words) < LEAST:
             return []
         found = []
-        joined = " ".join(words)
-        regions = self.regions(joined)
+        regions = self.regions(words)
         if not regions:
             return []
         numbers = np.array([self.number.get(w, -1) for w in words], np.int32)
-        ends = np.cumsum([len(w) + 1 for w in words])
         for item, spans in regions.items():
-            margin = 2 * BAND
-            for low, high in sorted(set(spans)):
-                a = int(np.searchsorted(ends, max(0, low - margin), side="right"))
-                b = int(np.searchsorted(ends, high + margin, side="left")) + 1
-                if self.verify(item, numbers[a:b]):
+            for low, high, band in sorted(set(spans)):
+                a = max(0, low - MARGIN)
+                part = numbers[a : high + MARGIN]
+                if self.verify(item, part) or self.aligned(item, part, band - a):
                     found.append(self.ids[item])
                     break
         return sorted(found)

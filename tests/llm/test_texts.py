@@ -199,3 +199,19 @@ def test_blocks_change_no_link(spark, make_lines, monkeypatch):
     monkeypatch.setattr(conversations, "BLOCK", 3)
     monkeypatch.setattr(conversations, "OFFERED", 4)
     assert {tuple(r) for r in conversations.inferred_trees(df).collect()} == want and len(want) == 40
+
+
+def test_long_other_words_hide_no_leak(spark):
+    words = NUMBERS[:15]
+    items = leaks.Items([(1, " ".join(words)), (2, " ".join(NUMBERS[20:40]))])
+    around = ["alpha", "beta"] * 10
+    for size in (1, 100, 140, 200, 5000):
+        for at in range(15):
+            text = [*around, *words[:at], "z" * size, *words[at + 1 :], *around]
+            assert items.leaks(" ".join(text)) == [1], (size, at)
+    two = [w if i not in (3, 9) else "y" * 150 for i, w in enumerate(words)]
+    assert items.leaks(" ".join([*around, *two, *around])) == []  # two of fifteen are too many
+    between = [*NUMBERS[20:28], "q" * 300, *NUMBERS[28:40]]
+    assert items.leaks(" ".join([*around, *between])) == [2]
+    missing = [*NUMBERS[20:27], *NUMBERS[28:40]]
+    assert items.leaks(" ".join([*missing, *around])) == [2]
