@@ -32,7 +32,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 512
 SHARD_BLOCKS = 256
 SEED = 20260
-RANGES = 256  #: stretches per source whose totals give the global positions
+STRETCH_ROWS = 100_000  #: records per stretch of the order; results don't depend on it
+GROUP = 1024  #: shards whose counts one task draws
+MOST_DRAWN = 1_000_000_000  #: blocks up to which counts are drawn at once
 
 #: Fixed value: the pre-tokenisation pattern of the 50k byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -78,9 +80,10 @@ def pieces(sized: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED)
     Positions are prefix sums: within stretches of the pseudorandom order, plus
     the totals of earlier stretches, so no window runs over a whole source.
     """
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    ranges = F.greatest(F.lit(RANGES), F.lit(1))
-    placed = sized.withColumn("order", order).withColumn("stretch", F.shiftrightunsigned("order", 64 - int(math.log2(RANGES))))
+    bits = max(1, math.ceil(math.log2(max(2, sized.count() / STRETCH_ROWS))))
+    # the least 63 bits of a hash order the records, the highest of these cut the order into stretches
+    order = F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << 63) - 1)
+    placed = sized.withColumn("order", order).withColumn("stretch", F.shiftrightunsigned("order", 63 - bits))
     totals = placed.groupBy("source", "stretch").agg(F.sum("tokens").alias("n"))
     before = totals.withColumn(
         "before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -121,7 +124,7 @@ def allot(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total:
     return out
 
 
-def shard_counts(totals: dict[str, int], shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> list[dict[str, int]]:
+def shard_counts(totals: dict[str, int], shard_blocks: int = SHARD_BLOCKS, seed=SEED) -> list[dict[str, int]]:
     """Multinomial draws per shard, conditioned on the totals being used up."""
     names = sorted(totals)
     left = np.array([totals[s] for s in names], np.int64)
@@ -135,6 +138,16 @@ def shard_counts(totals: dict[str, int], shard_blocks: int = SHARD_BLOCKS, seed:
     return out
 
 
+def group_counts(totals: dict[str, int], group_blocks: int, seed: int = SEED) -> list[dict[str, int]]:
+    """Counts per group of shards: drawn, or where there are too many blocks to
+    draw from at once, in proportion with the remainders spread evenly."""
+    every = sum(totals.values())
+    if every < MOST_DRAWN:
+        return shard_counts(totals, group_blocks, seed)
+    groups = -(-every // group_blocks)
+    return [{s: (g + 1) * n // groups - g * n // groups for s, n in totals.items()} for g in range(groups)]
+
+
 def permuted(index: int, size: int, key: str) -> int:
     """Place of an index under a keyed pseudorandom permutation of range(size)
     (a four-round Feistel network on the next even number of bits, walked until
@@ -152,30 +165,40 @@ def permuted(index: int, size: int, key: str) -> int:
             return x
 
 
-def slots(spark: SparkSession, totals: dict[str, int], blocks: dict[str, int], shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+def slots(spark: SparkSession, totals: dict[str, int], blocks: dict[str, int], shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, group: int | None = None) -> DataFrame:
     """(shard, source, block, repeat) of every slot of the output.
 
-    Only shard counts (shards x sources) are made on the driver; slots and
-    their permuted indices are made in tasks.
+    The driver draws counts for groups of shards only; the counts of shards, their
+    slots and permuted indices are made in tasks, one group at a time.
     """
-    rows, used = [], dict.fromkeys(totals, 0)
-    for shard, counts in enumerate(shard_counts(totals, shard_blocks, seed)):
-        for s, n in counts.items():
-            rows.append((shard, s, used[s], n, blocks[s]))
-            used[s] += n
+    per = (group or GROUP) * shard_blocks
+    rows, used, first = [], dict.fromkeys(totals, 0), 0
+    for g, counts in enumerate(group_counts(totals, per, seed)):
+        names = sorted(counts)
+        rows.append((g, first, names, [used[s] for s in names], [counts[s] for s in names], [blocks[s] for s in names]))
+        for s in names:
+            used[s] += counts[s]
+        first += -(-sum(counts.values()) // shard_blocks)
     schema = pa.schema([("shard", pa.int64()), ("source", pa.string()), ("block", pa.int64()), ("repeat", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            out = []
-            for shard, source, start, n, size in zip(*(c.to_pylist() for c in batch.columns)):
-                for g in range(start, start + n):
-                    again, index = divmod(g, size)
-                    out.append((shard, source, permuted(index, size, f"{seed}:{source}:{again}"), again))
-            yield batch_of(schema, out)
-
-    frame = spark.createDataFrame(rows, "shard bigint, source string, start bigint, n bigint, size bigint")
-    return frame.repartition(max(1, len(rows) // 500 + 1), "shard", "source").mapInArrow(run, "shard bigint, source string, block bigint, repeat int")
+            for g, first, names, starts, counts, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                at, size = dict(zip(names, starts)), dict(zip(names, sizes))
+                out = []
+                for shard, drawn in enumerate(shard_counts(dict(zip(names, counts)), shard_blocks, (seed, g)), first):
+                    for s, n in drawn.items():
+                        for i in range(at[s], at[s] + n):
+                            again, index = divmod(i, size[s])
+                            out.append((shard, s, permuted(index, size[s], f"{seed}:{s}:{again}"), again))
+                        at[s] += n
+                    if len(out) >= 100_000:
+                        yield batch_of(schema, out)
+                        out = []
+                yield batch_of(schema, out)
+
+    frame = spark.createDataFrame(rows, "g bigint, first bigint, names array<string>, starts array<bigint>, counts array<bigint>, sizes array<bigint>")
+    return frame.repartition(max(1, min(len(rows), 10_000)), "g").mapInArrow(run, "shard bigint, source string, block bigint, repeat int")
 
 
 def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:

@@ -215,3 +215,17 @@ def test_long_other_words_hide_no_leak(spark):
     assert items.leaks(" ".join([*around, *between])) == [2]
     missing = [*NUMBERS[20:27], *NUMBERS[28:40]]
     assert items.leaks(" ".join([*missing, *around])) == [2]
+
+
+def test_groups_and_stretches_use_every_block_once(spark, monkeypatch):
+    totals, blocks = {"a": 500, "b": 70}, {"a": 100, "b": 70}
+    rows = mixing.slots(spark, totals, blocks, shard_blocks=10, group=3).collect()
+    assert Counter(r["shard"] for r in rows) == Counter({i: 10 for i in range(57)})
+    assert Counter((r["source"], r["block"], r["repeat"]) for r in rows) == Counter([("a", b, k) for b in range(100) for k in range(5)] + [("b", b, 0) for b in range(70)])
+    monkeypatch.setattr(mixing, "MOST_DRAWN", 1)
+    counts = mixing.group_counts(totals, 30)
+    assert len(counts) == 19 and sum((Counter(c) for c in counts), Counter()) == totals
+    sized = spark.createDataFrame([(i, "ab"[i % 3 == 0], i % 40) for i in range(400)], "doc_id bigint, source string, tokens bigint")
+    want = sorted(map(tuple, mixing.pieces(sized, 16).collect()))
+    monkeypatch.setattr(mixing, "STRETCH_ROWS", 10)
+    assert sorted(map(tuple, mixing.pieces(sized, 16).collect())) == want
