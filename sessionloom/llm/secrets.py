@@ -44,7 +44,7 @@ PATTERNS = [
     ("key_or_token", _START + r"(?P<v>AIza[0-9A-Za-z_\-]{30,})" + _END),
     ("key_or_token", _START + r"(?P<v>xox[a-z]-[0-9A-Za-z\-]{20,})" + _END),
     ("key_or_token", _START + r"(?P<v>eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})" + _END),
-    ("key_or_token", _START + r"(?P<v>(?:lntn|npm|pypi|dop_v1|hf|shpat|sq0atp|SG)[_\-.][A-Za-z0-9_\-.]{20,})" + _END),
+    ("key_or_token", _START + r"(?P<v>(?:npm|pypi|dop_v1|hf|shpat|sq0atp|SG)[_\-.][A-Za-z0-9_\-.]{20,})" + _END),
     # passwords
     ("password", _PASS + r"""["']?[ \t]*(?:=>|:=|[:=])[ \t]*[rbuf]?(?P<q>["'])(?P<v>[^"'\n]{4,})(?P=q)"""),
     ("password", _PASS + r"""[ \t]*[:=][ \t]*(?P<v>[^\s"'<>;,(){}]{4,})(?=[\s;,"'<]|\Z)"""),
@@ -60,7 +60,7 @@ PATTERNS = [
     ("key_or_token", r"""(?:value|key)["']?[ \t]*:[ \t]*["']?(?P<v>[A-Za-z0-9+/_.=\-]{16,})["']?,?[ \t]+(?:#|//)[^\n]*(?:[Kk]ey|[Tt]oken|[Ss]ecret)"""),
     # a prefix, a mark and a long mixed run
     ("key_or_token", _START + r"(?P<v>[a-z]{2,8}[_\-][A-Za-z0-9]{24,})" + _END),
-    ("key_or_token", r"""(?:Client|Tracker|connect|authenticate|Api)\([ \t]*["'](?P<v>[A-Za-z0-9+/_.=\-]{20,})["']"""),
+    ("key_or_token", r"""(?<![A-Za-z0-9_])(?:[A-Z][A-Za-z0-9_]*|[a-z_]*(?:connect|auth|login|client|session)[a-z_]*)\([ \t]*["'](?P<v>[A-Za-z0-9+/_.=\-]{20,})["']"""),
     ("key_or_token", r"""(?m:^[ \t]*(?:-[ \t]+["']?|["'])(?P<v>[A-Za-z0-9+/_.=\-]{32,})["']?,?[ \t]*$)"""),
 ]
 
@@ -69,6 +69,14 @@ _REFERENCE = re.compile(r"^(?:\$|\{\{|<|%\(|%[A-Z_]+%)|(?:environ|getenv|process
 _SHAPED = re.compile(r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|sha\d+[-:].*|(?:toolu|msg|req|agent|srvtoolu|call)[_\-].*)$")
 
 
+_SYLLABLES = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{2,}(?=[_\-./]|$)")
+
+
+def _is_random(value: str) -> bool:
+    """Letters in an order of cases that no joined words have."""
+    return len(re.sub(r"[^A-Za-z]", "", _SYLLABLES.sub("", value))) >= 8
+
+
 def _is_credential(kind: str, value: str, known: bool) -> bool:
     if kind == "private_key":
         return True
@@ -78,8 +86,7 @@ def _is_credential(kind: str, value: str, known: bool) -> bool:
         return not (value.isdigit() and len(value) < 6) and not value.endswith("(")
     if known:
         return True
-    digits = sum(c.isdigit() for c in value)
-    if not digits or not any(c.isalpha() for c in value):
+    if not any(c.isalpha() for c in value) or not (any(c.isdigit() for c in value) or _is_random(value)):
         return False
     words = re.split(r"[_\-./]", value)
     return not (len(words) > 2 and all(w.isalpha() or w.isdigit() for w in words)) and len(set(value)) >= 8

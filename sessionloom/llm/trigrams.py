@@ -1,9 +1,12 @@
-"""Trigram index over text chunks, and the trigrams that a regex requires.
+"""Trigram index over texts, and what a regex requires of a text.
 
 The plan of a regex is a formula over lower-case ASCII trigrams that every
-match must satisfy: ("and", [..]), ("or", [..]), a trigram, or None for "any
-text".  It is derived from the parsed pattern: runs of literals require all
-their trigrams, alternatives require one branch, optional parts nothing.
+match must satisfy: ("and", [..]), ("or", [..]), a trigram, ("run", class, n) or
+None for "any text".  It is derived from the parsed pattern: runs of literals and
+small classes require their trigrams, alternatives require one branch, optional
+parts nothing.  A long repetition of a class holds no certain trigram, but so many
+characters of the class in a row, which are the same trigrams over a coarser
+alphabet: these have postings of their own.
 """
 
 from __future__ import annotations
@@ -15,6 +18,23 @@ from re import _parser
 import numpy as np
 
 
+FEW, MANY = 8, 64  #: members of a class, and texts of a run, up to which they are spelt out
+LONG = 12  #: repetitions of a class from which they are indexed as a run
+
+
+def _members(arg) -> list[str] | None:
+    """The ASCII characters of a class; None for others and for negated ones."""
+    out: list[str] = []
+    for op, value in arg:
+        if op is C.LITERAL and value < 128:
+            out.append(chr(value))
+        elif op is C.RANGE and value[1] < 128:
+            out += [chr(x) for x in range(value[0], value[1] + 1)]
+        else:
+            return None
+    return out
+
+
 def _join(op: str, parts: list):
     if op == "or":
         if not parts or any(p is None for p in parts):
@@ -51,9 +71,9 @@ def _need(seq) -> tuple[object, list[str] | None]:
         if op is C.LITERAL:
             texts = [chr(arg)]
         elif op is C.IN:
-            items = [chr(v) for o, v in arg if o is C.LITERAL]
-            if len(items) == len(arg) <= 3:
-                texts = items
+            items = _members(arg)
+            if items is not None and len({x.lower() for x in items}) <= FEW:
+                texts = sorted({x.lower() for x in items})
         elif op is C.SUBPATTERN:
             inner, texts = _need(arg[3])
         elif op is C.BRANCH:
@@ -64,7 +84,10 @@ def _need(seq) -> tuple[object, list[str] | None]:
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
             low, high, what = arg
             got, exact = _need(what)
-            if low >= 1:
+            one = _members(what[0][1]) if len(what) == 1 and what[0][0] is C.IN else None
+            if low >= LONG and one is not None:
+                inner = ("run", "".join(sorted({y for x in one for y in (x.lower(), x.upper()) if y.isascii()})), low)
+            elif low >= 1:
                 inner = got
                 if low == high == 1:
                     texts = exact
@@ -72,14 +95,14 @@ def _need(seq) -> tuple[object, list[str] | None]:
                 texts = ["", *exact]
         elif op in (C.AT, C.ASSERT, C.ASSERT_NOT):
             continue
-        if texts is not None and len(texts) * len(runs) <= 16:
+        if texts is not None and len(texts) * len(runs) <= MANY:
             runs = list(dict.fromkeys(a + t.lower() for a in runs for t in texts))
         else:
             close()
             runs = [""]
             if inner is not None:
                 parts.append(inner)
-    whole = runs if not parts and len(runs) <= 16 else None
+    whole = runs if not parts and len(runs) <= MANY else None
     close()
     return _join("and", parts), whole
 
@@ -94,6 +117,8 @@ def grams_of(formula) -> set[str]:
         return set()
     if isinstance(formula, str):
         return {formula}
+    if formula[0] == "run":
+        return set()
     return set().union(*(grams_of(p) for p in formula[1]))
 
 
@@ -120,9 +145,10 @@ class Index:
         data = [c.encode("utf-8", "replace") for c in chunks]
         # zero bytes between chunks keep trigrams from spanning two
         joined = np.frombuffer(b"\0\0".join(data), np.uint8)
+        ends = np.cumsum([len(d) + 2 for d in data])
+        self.joined, self.ends, self.runs = joined, ends, {}
         if len(joined) < 3:
             return
-        ends = np.cumsum([len(d) + 2 for d in data])
         low = joined + (((joined >= 65) & (joined <= 90)).astype(np.uint8) << 5)
         code = low[:-2].astype(np.int32)
         code <<= 8
@@ -133,12 +159,27 @@ class Index:
         at = np.flatnonzero(which)
         self.bits[np.searchsorted(ends, at, side="right"), which[at] - 1] = True
 
+    def run(self, members: str, least: int) -> np.ndarray:
+        """Chunks with so many characters of a class in a row."""
+        gaps = self.runs.get(members)
+        if gaps is None:
+            inside = np.zeros(256, bool)
+            inside[np.frombuffer(members.encode(), np.uint8)] = True
+            others = np.flatnonzero(~inside[self.joined])
+            edges = np.concatenate([[-1], others, [len(self.joined)]])
+            gaps = self.runs[members] = (edges[:-1] + 1, np.diff(edges) - 1)
+        found = np.zeros(len(self.bits), bool)
+        found[np.searchsorted(self.ends, gaps[0][gaps[1] >= least], side="right")] = True
+        return found
+
     def candidates(self, formula) -> np.ndarray:
         """Chunks whose postings satisfy the formula, as a boolean column."""
         if formula is None:
             return np.ones(len(self.bits), bool)
         if isinstance(formula, str):
             return self.bits[:, self.column[formula]]
+        if formula[0] == "run":
+            return self.run(*formula[1:])
         found = self.candidates(formula[1][0])
         for part in formula[1][1:]:
             more = self.candidates(part)
