@@ -3,8 +3,9 @@
 Nodes are candidate mentions with a binary label (entity or not).  A node's own
 potential is a weighted sum of features; neighbouring mentions on one line share
 a chain edge and mentions with the same key (a surname, a run of digits) share a
-skip edge, however far apart, whose potential rewards equal labels.  Loopy
-sum-product message passing gives each node's marginal.
+skip edge, however far apart, whose potential rewards equal labels; the first
+mentions of two keys that are alike (one character apart, marks aside) share a
+weaker one.  Loopy sum-product message passing gives each node's marginal.
 
 Each two equal mentions are joined, however many there are.  In a large group
 mentions in the same state (own potential, chain neighbours) send the same
@@ -13,6 +14,7 @@ messages, so these are kept once for each pair of states.
 
 from __future__ import annotations
 
+import unicodedata
 from math import exp, log
 
 import numpy as np
@@ -132,3 +134,29 @@ def skip_edges(keys: list[str | None], weight: float, unary: list[float]) -> lis
         else:
             edges += [(a, b, weight) for n, a in enumerate(members) for b in members[n + 1 :]]
     return edges
+
+
+def _bare(key: str) -> str:
+    """A key without marks on its letters."""
+    return "".join(c for c in unicodedata.normalize("NFKD", key) if not unicodedata.combining(c)).replace("ß", "ss")
+
+
+def similar_edges(keys: list[str | None], weight: float) -> list[tuple[int, int, float]]:
+    """Edges between the first mentions of keys that are alike: equal without marks,
+    or with one character left out of either (six characters or more).
+
+    Keys meet by what is left of them, so no two keys are compared one by one; a
+    chain joins the keys that meet, in the order of their mentions.
+    """
+    first: dict[str, int] = {}
+    for i, k in enumerate(keys):
+        if k is not None:
+            first.setdefault(k, i)
+    met: dict[str, list[int]] = {}
+    for k, i in first.items():
+        bare = _bare(k)
+        forms = {bare} | ({bare[:j] + bare[j + 1 :] for j in range(len(bare))} if 6 <= len(bare) <= 64 else set())
+        for f in forms:
+            met.setdefault(f, []).append(i)
+    pairs = {(a, b) for group in met.values() for a, b in zip(group, group[1:])}
+    return [(a, b, weight) for a, b in sorted(pairs)]

@@ -3,7 +3,8 @@ replace it with typed placeholders.
 
 Candidates of each kind come from shapes; a skip-chain conditional random field
 (``crf``) over the candidates of a line decides.  Name candidates also use two
-lexicons (given and family names) learned beforehand from all lines: tokens that
+lexicons (given and family names; sent to the tasks up to a checked size, met by a
+join beyond it) learned beforehand from all lines: tokens that
 stand where names are introduced ("reported by", "attention", a title, a
 contact field), weighed against all their other capitalised uses.  There are no
 labelled rows to fit weights on, so the potentials are stated parameters.
@@ -28,10 +29,13 @@ from pyspark.sql import functions as F
 from sessionloom.functions.records import batch_of, parse
 from sessionloom.llm import crf
 from sessionloom.llm.texts import replace_at, texts_of
+from sessionloom.plans.runtime import stage
 
 LEAST_SEEN, LEAST_SHARE = 2, 0.1  #: introductions of a token, and their share of its uses
+SENT = 300_000  #: names up to which the lexicons are sent to the tasks; beyond it lines meet theirs by a join
 
 EMAIL = re.compile(r"(?<![\w.+%-])(?:mailto:)?[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-]|:[\w/~])")
+WORDED_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+ at (?:[\w-]+ dot )+(?:[a-z]{2,6})(?!\w)")
 SPELT_EMAIL = re.compile(r"(?<![\w.+%-])(?:mailto:)?[\w.+%-]+ ?[\[({<]at[\])}>] ?[\w-]+(?:(?:\.| ?[\[({<]dot[\])}>] ?)[\w-]+)+")
 PHONE = re.compile(
     r"(?<![\w.+/=-])(?:"
@@ -39,20 +43,23 @@ PHONE = re.compile(
     r"|\(\d{3}\) ?\d{3}[-. ]\d{4}"
     r"|\d{3}[-.]\d{3}[-.]\d{4}"
     r"|0\d{2,4} \d{3,4} \d{3,4}"
+    r"|(?P<bare>\d{3} \d{3} \d{4})"
     r")(?: ?(?:ext\.?|x) ?\d{1,5})?(?![\w-]|\.\d)"
 )
 ID_NUMBER = re.compile(
     r"(?<![\w-])(?:(?P<ssn>\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4})"
+    r"|(?P<run>(?<=is )\d{9}|(?<=: )\d{9}|(?<=#)\d{9}|(?<=no\. )\d{9})"
     r"|(?P<ni>[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])"
     r"|(?P<card>[A-Z]\d{2}[A-Z]\d{4}[A-Z]\d)"
     r"|(?P<passport>[A-Z]\d{8}|(?<=passport no\. )[A-Z0-9]{7,9}))(?![\w-])"
 )
-ID_CUE = re.compile(r"(?i)passport|national|\bid\b|identity|insurance|social security|\bssn\b|\bni\b|applicant|record|rejected|belongs")
+PHONE_CUE = re.compile(r"(?i)\b(?:phone|tel|telephone|mobile|cell|call|fax|ring|text|reach|number)\b")
+ID_CUE = re.compile(r"(?i)passport|national|\bid\b|identity|insurance|social security|\bssn\b|\bni\b|tax|licen[cs]e|citizen|resident|birth")
 _STREET = r"(?:Street|St|Avenue|Ave|Road|Rd|Close|Court|Ct|Lane|Ln|Terrace|Boulevard|Blvd|Drive|Dr|Way|Place|Pl|Square|Sq|Crescent|Gardens|Row|Hill|Walk|Mews|Parade)"
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'-]+"
 ADDRESS = re.compile(
     rf"(?<![\w.-])(?:Flat \d+[A-Za-z]?, ?)?\d{{1,5}}[a-z]? (?:{_CAP} ){{1,3}}{_STREET}\b\.?(?:, ?(?:Apt|Unit|Suite|Flat)\.? ?\w+)?(?:,?[ \n]\s*{_CAP}(?: \d{{5}}\b)?(?=[\s.,\"');]|$))?"
-    r"|(?<!\w)(?:[A-ZÄÖÜ][a-zäöüß-]+(?:straße|strasse|weg|gasse|zeile|platz|allee|ufer|ring|damm|graben|steig|markt|hof|wall|chaussee)|(?:Am|An der|An den|Im|In der|Auf dem|Zum|Zur|Unter den) (?:[A-ZÄÖÜ][a-zäöüß]+ ?){1,2}) \d{1,4}[a-z]?(?!\w)(?:,?[ \n]\s*\d{5} [A-ZÄÖÜ][\wäöüß-]+)?"
+    r"|(?<!\w)(?:[A-ZÄÖÜ][a-zäöüß-]+(?:straße|strasse|weg|gasse|zeile|platz|allee|ufer|ring|damm|graben|steig|markt|hof|wall|chaussee)|(?:Rua|Avenida|Av\.|Calle|Carrer|Via|Viale|Piazza|Plaza|Praça|Rue|Place|Quai|ul\.|Ulica)(?: (?:d[aeiou]s?|del|della|de la|de|du|des|l'))*(?: [A-ZÀ-ÖØ-Þ][\wà-öø-ÿ'-]+){1,3},?|(?:Am|An der|An den|Im|In der|Auf dem|Zum|Zur|Unter den) (?:[A-ZÄÖÜ][a-zäöüß]+ ?){1,2}) \d{1,4}[a-z]?(?!\w)(?:,?[ \n]\s*\d{5} [A-ZÄÖÜ][\wäöüß-]+)?"
 )
 _LETTER = r"A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = rf"[{_LETTER}]+(?:['’-][{_LETTER}]+)*"
@@ -62,12 +69,12 @@ PAIR = re.compile(rf"(?<![{_LETTER}.'-])(?P<a>[A-ZÀ-ÖØ-Þ](?:[{_LETTER}'’-]
 #: Words and marks that introduce a name, at the end of the text before it.
 INTRODUCES = re.compile(r"(?i)(?:\b(?:reporter|author|contact|name|assignee|owner|reviewer|signed-off-by|regards|thanks|cheers|attention|attn|dear|hi|hello)[\"']?\s?[:=,]?\s?[\"']?|\b(?:by|ask|belongs to|from|assigned to)\s|\d: )$")
 CUE_LEFT = re.compile(r"(?i)(?:(?:reporter|author|contact|name|assignee|owner|regards|thanks|cheers|attention|attn|dear)[\"']?\s?[:=,]?\s?[\"']?|\b(?:reported by|ask|belongs to|written by|assigned to)\s)$")
-CUE_RIGHT = re.compile(r"(?i)^(?:\"?\s*[<(;]|\",|\s+(?:last night|said|before merging|wrote|reported|called|asked)|[,;]\s*\S+@)")
+CUE_RIGHT = re.compile(r"(?i)^(?:\"?\s*[<(;]|\",|\s+(?:said|says|wrote|writes|reported|called|asked|told|replied|mentioned|signed|confirmed)|[,;]\s*\S+@)")
 
 #: Potentials, in log-odds.
 POTENTIALS = {
     "bias": -2.5, "given": 2.0, "family": 3.0, "title": 3.0, "initial": 0.8, "two_caps": 0.6, "lower": -1.5,
-    "cue_left": 1.6, "cue_right": 1.2, "unknown_family": -1.5, "alone": -2.0, "skip": 1.2, "chain": 0.2,
+    "cue_left": 1.6, "cue_right": 1.2, "unknown_family": -1.5, "alone": -2.0, "skip": 1.2, "alike": 0.5, "chain": 0.2,
 }
 
 
@@ -191,7 +198,7 @@ def _email_odds(text: str, a: int, b: int) -> float:
 def candidates(text: str, lexicon: Lexicon):
     """[start, end, kind, log-odds, key] of a text's candidates."""
     out = []
-    for mark, shape in (("@", EMAIL), ("at)", SPELT_EMAIL), ("at]", SPELT_EMAIL)):
+    for mark, shape in (("@", EMAIL), ("at)", SPELT_EMAIL), ("at]", SPELT_EMAIL), (" dot ", WORDED_EMAIL)):
         if mark in text and not (shape is SPELT_EMAIL and out and "at)" in text and mark == "at]"):
             for m in shape.finditer(text):
                 out.append((m.start(), m.end(), "email", _email_odds(text, *m.span()), m.group().lower().removeprefix("mailto:")))
@@ -201,7 +208,10 @@ def candidates(text: str, lexicon: Lexicon):
     for m in PHONE.finditer(text):
         digits = re.sub(r"\D", "", re.split(r"(?i)ext|x", m.group())[0])
         if clear(m):
-            out.append((*m.span(), "phone", 3.0 if 8 <= len(digits) <= 15 else -3.0, digits))
+            odds = 3.0 if 8 <= len(digits) <= 15 else -3.0
+            if m["bare"]:  # three groups of digits are many things
+                odds = 1.0 if PHONE_CUE.search(text[max(0, m.start() - 30) : m.start()]) else -3.0
+            out.append((*m.span(), "phone", odds, digits))
     for m in ID_NUMBER.finditer(text):
         if clear(m):
             cue = ID_CUE.search(text[max(0, m.start() - 45) : m.start()])
@@ -210,6 +220,8 @@ def candidates(text: str, lexicon: Lexicon):
                 odds = -0.5
             if m["ssn"] and " " in m["ssn"] and not cue:
                 odds = -0.8
+            if m["run"]:
+                odds = 1.0 if ID_CUE.search(text[max(0, m.start() - 25) : m.start()]) else -4.0
             out.append((*m.span(), "id_number", odds, re.sub(r"\W", "", m.group())))
     for m in ADDRESS.finditer(text):
         if clear(m):
@@ -236,8 +248,10 @@ def label(texts: list[str], lexicon: Lexicon) -> list[list[tuple[int, int, str]]
         for i in range(len(nodes) - 1)
         if nodes[i][0] == nodes[i + 1][0] and nodes[i][3] == nodes[i + 1][3] == "person_name" and nodes[i + 1][1] - nodes[i][2] < 40
     ]
+    count = len(nodes)
     edges += crf.skip_edges(keys, p["skip"], unary)
-    chance = crf.marginals(unary, edges, len(nodes))
+    edges += crf.similar_edges(keys, p["alike"])
+    chance = crf.marginals(unary, edges, count)
     taken: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for i in sorted(range(len(nodes)), key=lambda i: (-round(chance[i], 2), nodes[i][1] - nodes[i][2], nodes[i][1])):
         t, a, b, kind = nodes[i]
@@ -246,8 +260,8 @@ def label(texts: list[str], lexicon: Lexicon) -> list[list[tuple[int, int, str]]
     return [sorted(x) for x in taken]
 
 
-def learn_lexicon(lines: DataFrame, *, raw_col="raw") -> Lexicon:
-    """Given and family names of all lines, by where they are introduced."""
+def learn_names(lines: DataFrame, *, raw_col="raw") -> DataFrame:
+    """(token, is_given, is_family) of all lines, by where names are introduced."""
     schema = pa.schema([("role", pa.string()), ("token", pa.string()), ("n", pa.int64())])
 
     def run(batches):
@@ -278,46 +292,78 @@ def learn_lexicon(lines: DataFrame, *, raw_col="raw") -> Lexicon:
         .groupBy("token")
         .agg(*[F.sum(F.when(F.col("role") == r, F.col("n"))).alias(r) for r in ("given", "family", "use")])
     )
-    kept = counted.where(
-        f"given >= {LEAST_SEEN} or (family >= {LEAST_SEEN} and family >= {LEAST_SHARE} * use)"
+    given, family = F.coalesce("given", F.lit(0)), F.coalesce("family", F.lit(0))
+    is_given = (given >= LEAST_SEEN) & (given >= 0.2 * family)
+    is_family = (family >= LEAST_SEEN) & (family >= LEAST_SHARE * F.col("use")) & (family >= 0.2 * given)
+    named = counted.select("token", is_given.alias("is_given"), F.coalesce(is_family, F.lit(False)).alias("is_family"))
+    return stage(named.where("is_given or is_family"), "names")
+
+
+_TOKEN = re.compile(rf"[{_LETTER}]+(?:['’-][{_LETTER}]+)*")
+
+
+def _tokens(texts: list[str]) -> set[str]:
+    """What of the texts may be a name: words, and the beginnings of joined words."""
+    out = set()
+    for text in texts:
+        for w in _TOKEN.findall(text.lower()):
+            out.add(w)
+            out.update(w[: m.start()] for m in re.finditer("['’-]", w))
+    return out
+
+
+def _named(source: DataFrame, names: DataFrame | Lexicon):
+    """Lines (line_id, raw), and the function that gives the lexicon of each line of a
+    batch: one for all, or beyond ``SENT`` names that of the line's own words."""
+    if isinstance(names, Lexicon) or names.count() <= SENT:
+        rows = [] if isinstance(names, Lexicon) else names.collect()
+        lexicon = names if isinstance(names, Lexicon) else Lexicon({r["token"] for r in rows if r["is_given"]}, {r["token"] for r in rows if r["is_family"]})
+        held = source.sparkSession.sparkContext.broadcast(lexicon)
+        return source, lambda batch: [held.value] * len(batch)
+    schema = pa.schema([("line_id", pa.int64()), ("token", pa.string())])
+
+    def words(batches):
+        for batch in batches:
+            out = []
+            for line_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                record = parse(raw)
+                if record is not None:
+                    out += [(line_id, t) for t in _tokens([t for _, t in texts_of(record, last_prompt=True)])]
+            yield batch_of(schema, out)
+
+    met = source.mapInArrow(words, "line_id bigint, token string").join(names, "token").groupBy("line_id").agg(
+        F.collect_set(F.when(F.col("is_given"), F.col("token"))).alias("given"), F.collect_set(F.when(F.col("is_family"), F.col("token"))).alias("family")
     )
-    rows = kept.collect()
-    given = {r["token"] for r in rows if (r["given"] or 0) >= LEAST_SEEN and (r["given"] or 0) >= 0.2 * (r["family"] or 0)}
-    family = {
-        r["token"]
-        for r in rows
-        if (r["family"] or 0) >= LEAST_SEEN and r["family"] >= LEAST_SHARE * r["use"] and r["family"] >= 0.2 * (r["given"] or 0)
-    }
-    return Lexicon(given, family)
 
+    def own(batch):
+        return [Lexicon(set(g or ()), set(f or ())) for g, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
 
-FOUND = pa.schema([("line_id", pa.int64()), ("pii_kind", pa.string()), ("nth", pa.int32())])
+    return source.join(met, "line_id", "left").select("line_id", "raw", "given", "family"), own
 
 
-def _shared(lines: DataFrame, lexicon: Lexicon):
-    return lines.sparkSession.sparkContext.broadcast(lexicon)
+FOUND = pa.schema([("line_id", pa.int64()), ("pii_kind", pa.string()), ("nth", pa.int32())])
 
 
-def found(lines: DataFrame, lexicon: Lexicon | None = None, *, id_col="line_id", raw_col="raw") -> DataFrame:
+def found(lines: DataFrame, names: DataFrame | Lexicon | None = None, *, id_col="line_id", raw_col="raw") -> DataFrame:
     """(line_id, pii_kind, nth) of every occurrence."""
-    held = _shared(lines, lexicon or learn_lexicon(lines, raw_col=raw_col))
+    source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))
+    source, lexicons = _named(source, learn_names(lines, raw_col=raw_col) if names is None else names)
 
     def run(batches):
         for batch in batches:
             out = []
-            for line_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for line_id, raw, lexicon in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lexicons(batch)):
                 record = parse(raw)
                 if record is None:
                     continue
                 texts = [t for _, t in texts_of(record, last_prompt=True)]
                 counts: dict[str, int] = {}
-                for spans in label(texts, held.value):
+                for spans in label(texts, lexicon):
                     for _, _, kind in spans:
                         counts[kind] = counts.get(kind, 0) + 1
                         out.append((line_id, kind, counts[kind]))
             yield batch_of(FOUND, out)
 
-    source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))
     return source.mapInArrow(run, "line_id bigint, pii_kind string, nth int")
 
 
@@ -330,19 +376,20 @@ def replace_text(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def redact(lines: DataFrame, lexicon: Lexicon | None = None, *, id_col="line_id", raw_col="raw") -> DataFrame:
+def redact(lines: DataFrame, names: DataFrame | Lexicon | None = None, *, id_col="line_id", raw_col="raw") -> DataFrame:
     """(line_id, raw) with every entity replaced; other lines unchanged."""
-    held = _shared(lines, lexicon or learn_lexicon(lines, raw_col=raw_col))
+    source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))
+    source, lexicons = _named(source, learn_names(lines, raw_col=raw_col) if names is None else names)
     schema = pa.schema([("line_id", pa.int64()), ("raw", pa.string())])
 
     def run(batches):
         for batch in batches:
             out = []
-            for raw in batch.column(1).to_pylist():
+            for raw, lexicon in zip(batch.column(1).to_pylist(), lexicons(batch)):
                 record = parse(raw)
                 if record is not None:
                     places = texts_of(record, last_prompt=True)
-                    spans = label([t for _, t in places], held.value)
+                    spans = label([t for _, t in places], lexicon)
                     for (path, text), s in zip(places, spans):
                         if s:
                             replace_at(record, path, replace_text(text, s))
@@ -351,5 +398,4 @@ def redact(lines: DataFrame, lexicon: Lexicon | None = None, *, id_col="line_id"
                 out.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], schema=schema)
 
-    source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))
     return source.mapInArrow(run, "line_id bigint, raw string")

@@ -61,7 +61,8 @@ def test_placeholders_keep_the_rest_and_long_texts_end(spark, make_lines):
     long = "word " * 200_000 + "Reporter: Mina Okanduwe"
     rows = [{"type": "user", "message": {"content": [{"type": "text", "text": f"call (312) 555-0184, Mina Okanduwe {i}"}]}} for i in range(3)]
     df = make_lines([*rows, {"type": "last-prompt", "lastPrompt": "by Mina Okanduwe"}, {"type": "user", "message": {"content": long}}, "{broken", None, ""])
-    lexicon = pii.learn_lexicon(df)
+    names = pii.learn_names(df)
+    lexicon = pii.Lexicon({r["token"] for r in names.collect() if r["is_given"]}, {r["token"] for r in names.collect() if r["is_family"]})
     assert "okanduwe" in lexicon.family
     got = {tuple(r) for r in pii.found(df, LEX).collect()}
     assert got == {(1, "phone", 1), (1, "person_name", 1), (2, "phone", 1), (2, "person_name", 1), (3, "phone", 1), (3, "person_name", 1), (4, "person_name", 1), (5, "person_name", 1)}
@@ -138,4 +139,48 @@ def test_no_name_is_dropped_from_a_large_lexicon(make_lines, monkeypatch):
     monkeypatch.setattr(pii, "MAX_LEXICON", 1, raising=False)
     names = [("Mina", "Okanduwe"), ("Jorun", "Pellinger")]
     df = make_lines([{"type": "last-prompt", "lastPrompt": f"Reporter: {a} {b}"} for a, b in names for _ in range(4)])
-    assert pii.learn_lexicon(df).family >= {"okanduwe", "pellinger"}
+    assert {r["token"] for r in pii.learn_names(df).where("is_family").collect()} >= {"okanduwe", "pellinger"}
+
+
+OTHER_TEMPLATES = [
+    ("my SSN is 123456789, thanks", ["id_number"]), ("national insurance: QQ 12 34 56 C", ["id_number"]), ("order 123456789 shipped", []), ("call me at 555 123 4567 later", ["phone"]),
+    ("matrix 555 123 4567 rows", []), ("write to bob at example dot com please", ["email"]), ("dial +44 20 7946 0958", ["phone"]), ("she lives at Rua das Flores 12", ["address"]),
+    ("Calle Mayor 7 is closed", ["address"]), ("sent to 14 Harbour View Road, Bristol.", ["address"]), ("Mina Okanduwe wrote this", ["person_name"]), ("from Dr. Pellinger", ["person_name"]),
+    ("git@example.com:a/b.git", []), ("version 10.20.30", []), ("look at the dot product", []),
+]
+
+
+def test_recall_on_texts_of_other_templates():
+    """Texts unlike those of the tables: every kind is found, and little else."""
+    right = sum(sorted(k for _, _, k in pii.label([text], LEX)[0]) == sorted(want) for text, want in OTHER_TEMPLATES)
+    assert right >= 14
+
+
+def test_alike_keys_share_an_edge():
+    edges = crf.similar_edges(["n:müller", None, "n:muller", "n:okanduwe", "n:okandwe", "n:li", "n:lo", "n:muller"], 0.5)
+    assert edges == [(0, 2, 0.5), (3, 4, 0.5)]
+    assert crf.marginals([3.0, -0.2], [(0, 1, 0.5)])[1] > crf.marginals([-0.2], [])[0]
+
+
+def test_names_met_by_a_join_give_the_same_rows(spark, make_lines, monkeypatch):
+    text = lambda t: {"type": "user", "message": {"content": t}}
+    rows = [text(f"reported by Mina Okanduwe on day {i}") for i in range(4)] + [text("Mina Okanduwe and O'Tavery met Okanduwe-Ross"), text("nothing"), "{cut", None, text(""), text("Dr. Okanduwe's note, M. Okanduwe")]
+    df = make_lines(rows)
+    want = sorted(map(tuple, pii.found(df).collect()))
+    redacted = sorted(tuple(r) for r in pii.redact(df).collect() if r["raw"])
+    monkeypatch.setattr(pii, "SENT", 0)
+    assert sorted(map(tuple, pii.found(df).collect())) == want and len(want) > 5
+    assert sorted(tuple(r) for r in pii.redact(df).collect() if r["raw"]) == redacted
+
+
+def test_required_formulas_lose_no_match():
+    """Every pattern plans a formula, and texts that match satisfy it."""
+    assert all(f is not None for _, _, f in secrets.PLANS)
+    samples = ["ghs_" + "a1B2" * 9, 'x("tok_' + "Ab3" * 12 + '")', "- " + "Zz9" * 13, "hf_" + "q1W" * 9, "key: " + "aB1" * 9 + " # token"]
+    for text in samples:
+        index = trigrams.Index([text, ""], secrets.GRAMS)
+        for i, (_, regex, formula) in enumerate(secrets.PLANS):
+            if regex.search(text):
+                assert index.candidates(formula)[0], (i, text)
+    assert trigrams.required(r"[a-z]{14,}x?") == ("run", "".join(sorted({*map(chr, range(65, 91)), *map(chr, range(97, 123))})), 14)
+    assert trigrams.Index(["abc" * 5, "abc." * 5], []).run("abc", 14).tolist() == [True, False]
