@@ -136,17 +136,21 @@ class _Cells:
         self.docs, self.row, self.sent, self.term, self.values = docs, row, sent, term, values
 
 
-def _meet(rows: DataFrame, table: DataFrame, columns: list[str], known: int):
+def _arrays(table: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in order, and their values; for tables of a checked size."""
+    held = table.select("term", *columns).toArrow()
+    ids = held["term"].to_numpy()
+    order = np.argsort(ids)
+    return ids[order], np.stack([held[c].to_numpy().astype(float) for c in columns], 1)[order]
+
+
+def _meet(rows: DataFrame, table: DataFrame | tuple, columns: list[str], known: int):
     """Rows, and the function that makes ``_Cells`` of a batch of them, with the
     columns of a table of ``known`` terms."""
     places = lambda lists: np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     flat = lambda batch, name: batch.column(name).flatten().to_numpy()
     if known <= SENT:
-        held = table.select("term", *columns).toArrow()
-        ids = held["term"].to_numpy()
-        order = np.argsort(ids)
-        values = np.stack([held[c].to_numpy().astype(float) for c in columns], 1)[order]
-        shared = rows.sparkSession.sparkContext.broadcast((ids[order], values))
+        shared = rows.sparkSession.sparkContext.broadcast(table if isinstance(table, tuple) else _arrays(table, columns))
 
         def cells(batch) -> _Cells:
             ids, values = shared.value
@@ -233,6 +237,10 @@ def fit(documents: DataFrame, examples: DataFrame, sweeps: int = SWEEPS, *, id_c
     start = [(0.8 * F.col(f"s{k}") + 0.2 * F.col("b")).alias(h[k]) for k in range(size)]
     parts = state.select("term", *start, F.col("b").alias(h[size]))
     summed, known = None, state.count()
+    near = known <= SENT  # then the components stay with the driver between sweeps
+    if near:
+        parts = _arrays(parts, h)
+        ids, seeds = _arrays(state, [f"s{k}" for k in range(size)])
     for _ in range(sweeps):
         source, cells = _meet(rows, parts, h, known)
 
@@ -246,12 +254,22 @@ def fit(documents: DataFrame, examples: DataFrame, sweeps: int = SWEEPS, *, id_c
                 yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), *[pa.array(a) for a in sums]], names=["term", *x])
 
         partial = source.mapInArrow(update, "term bigint, " + ", ".join(f"{c} double" for c in x))
-        summed = stage(partial.groupBy("term").agg(*[F.sum(c).alias(c) for c in x]), "sweep")
-        whole = summed.agg(*[F.sum(c).alias(c) for c in x]).first()
-        fresh = [
-            ((1 - TIE) * F.coalesce(F.col(x[k]), F.lit(0.0)) / max(whole[x[k]] or 0.0, 1e-300) + TIE * F.col(f"s{k}")).alias(h[k]) for k in range(size)
-        ]
-        parts = state.join(summed, "term", "left").select("term", *fresh, F.col("b").alias(h[size]))
+        summed = partial.groupBy("term").agg(*[F.sum(c).alias(c) for c in x])
+        if near:
+            summed = _arrays(summed, x)
+            fresh = np.zeros(parts[1].shape)
+            fresh[np.searchsorted(ids, summed[0])] = summed[1]
+            fresh /= np.maximum(fresh.sum(0), 1e-300)
+            fresh = np.hstack([(1 - TIE) * fresh[:, :size] + TIE * seeds, parts[1][:, size:]])
+            parts = (ids, fresh)
+        else:
+            summed = stage(summed, "sweep")
+            whole = summed.agg(*[F.sum(c).alias(c) for c in x]).first()
+            share = [(1 - TIE) * F.coalesce(F.col(x[k]), F.lit(0.0)) / max(whole[x[k]] or 0.0, 1e-300) + TIE * F.col(f"s{k}") for k in range(size)]
+            parts = state.join(summed, "term", "left").select("term", *[c.alias(h[k]) for k, c in enumerate(share)], F.col("b").alias(h[size]))
+    if near:
+        table = pa.table({"term": pa.array(summed[0], pa.int64()), **{c: pa.array(summed[1][:, k]) for k, c in enumerate(x)}})
+        summed = rows.sparkSession.createDataFrame(table)
     return Model(subjects, rows, _anchored(rows, state, summed, x))
 
 
