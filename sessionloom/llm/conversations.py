@@ -55,7 +55,7 @@ MESSAGES_DDL = (
 WEIGHTS = {"stated": 100.0, "time": -7.0, "mention": 8.0, "overlap": 8.0, "turn": 0.3}
 FAR = log1p(6 * 3600)  #: from six hours on messages count as equally far apart
 ASKING, OFFERED = 500, 20_000  #: asking messages and candidates that meet in one task at a time; links don't depend on it
-BLOCK = 100_000  #: messages scored in one task
+BLOCK = 20_000  #: messages scored in one task; links don't depend on it
 
 
 def millis(value) -> int:
@@ -135,30 +135,33 @@ LINKED_DDL = "session_id string, uuid string, parent string, line_id bigint, ts
 def _linked(batches):
     """The likeliest parent of each message of a block, among the candidates in it;
     null where the message names none, or one that is not in the block."""
-    rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("session_id", "ts", "line_id", "uuid", "parent", "role", "asks", "blank", "words", "mentions")))]
-    rows.sort(key=lambda r: r[:3])
+    some = [b for b in batches if len(b)]
+    if not some:
+        return
+    held = pa.Table.from_batches(some)
+    held = held.sort_by([(c, "ascending") for c in ("session_id", "ts", "line_id")]).combine_chunks()
+    rows = list(zip(*(held[c].to_pylist() for c in ("session_id", "ts", "line_id", "uuid", "parent", "role", "asks", "blank", "mentions"))))
+    bags = held["words"].combine_chunks()
+    starts, words = bags.offsets.to_numpy(), bags.values.to_numpy()  # numbers stay packed until a pair is scored
     at = {(r[0], r[3]): i for i, r in enumerate(rows)}
     owner: dict[tuple, int] = {}  # call id -> the first message that has it
     for i, r in enumerate(rows):
-        for x in r[9]:
+        for x in r[8]:
             owner.setdefault((r[0], x), i)
-    bags: list[set | None] = [None] * len(rows)
 
     def bag(i: int) -> set:
-        if bags[i] is None:
-            bags[i] = set(rows[i][8])
-        return bags[i]
+        return set(words[starts[i] : starts[i + 1]].tolist())
 
     out = []
-    for i, (session, ts, line_id, uuid, parent, role, asks, blank, _, mentions) in enumerate(rows):
-        best = None
+    for i, (session, ts, line_id, uuid, parent, role, asks, blank, mentions) in enumerate(rows):
+        best, mine = None, bag(i) if parent is not None else set()
         named = at.get((session, parent)) if parent is not None else None
         if named is not None:
             told = {j for x in mentions for j in (owner.get((session, x)), at.get((session, x))) if j is not None and j < i}
             offered = told | {named} | ({i - 1} if i and rows[i - 1][0] == session else set())
             for j in offered - {i} if named != i else offered:
                 r = rows[j]
-                score = _score(j == named, ts - r[1], j in told, bag(i), bag(j), role is not None and r[5] is not None and r[5] != role)
+                score = _score(j == named, ts - r[1], j in told, mine, bag(j), role is not None and r[5] is not None and r[5] != role)
                 if best is None or (score, r[1], r[3]) > best:
                     best = (score, r[1], r[3])
         out.append((session, uuid, parent, line_id, ts, role, asks, blank, best[2] if best else None, best[0] if best else None))
