@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators import captures, rollups, tables, telemetry
+from sessionloom.operators import captures, ordered, rollups, sanitize, tables, telemetry
 from sessionloom.plans import corpus, statements
 from sessionloom.sources.tables import table
 
@@ -563,3 +563,57 @@ def mt37_session_rows(spark, folder):
     lines = corpus.shared(spark, folder, ["lines"])["lines"].where("session_id is not null")
     last = lambda c, name: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_id"))).alias(name)
     return lines.groupBy("session_id").agg(last("ai_title", "title"), last("last_prompt", "last_prompt"), last("git_branch", "branch"), F.count(F.lit(1)).alias("n"), F.max("line_id").alias("last_line"))
+
+
+# --- ordered functions over groups of any size: the statements' names, cut into blocks
+def _replaces(f):
+    """A query that takes the place of the statement of its name; the statement's
+    checking text stays."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+@_replaces
+def mt20_retry_rate(spark, folder):
+    """Errors per tool, and later calls of the tool in the session."""
+    calls = _calls(spark, folder).select("session_id", F.col("name").alias("tool"), "line_id", "pos", F.col("is_error").cast("int").alias("e"))
+    placed = ordered.before(calls, ["session_id", "tool"], ["line_id", "pos"], failed=("sum", "e"))
+    return placed.groupBy("tool").agg(F.count_if(F.col("e") == 1).alias("errors"), F.count_if(F.col("failed") > 0).alias("retries"))
+
+
+@_replaces
+def mt21_loose_retry(spark, folder):
+    """Calls of the tool that the session called just before."""
+    uses = corpus.shared(spark, folder, ["uses"])["uses"].select("session_id", "name", "line_id", "pos")
+    placed = ordered.before(uses, ["session_id"], ["line_id", "pos"], previous=("last", "name"))
+    return placed.where("name = previous").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_replaces
+def mt26_segments(spark, folder):
+    """Stretches of prompts of a project without a pause of more than an hour."""
+    lines = corpus.shared(spark, folder, ["lines"])["lines"]
+    prompts = lines.where("type = 'user' and prompt_id is not null and k_content = 'str' and ts_ms is not null and not is_sidechain").select("slug", "ts_ms", "line_id")
+    placed = ordered.before(prompts, ["slug"], ["ts_ms", "line_id"], previous=("last", "ts_ms"))
+    new = F.col("previous").isNull() | (F.col("ts_ms") - F.col("previous") > 3_600_000)
+    return placed.groupBy("slug").agg(F.count_if(new).alias("segments"), F.count(F.lit(1)).alias("prompts"))
+
+
+@_replaces
+def mt32_gaps(spark, folder):
+    """Longest pause of each transcript."""
+    lines = corpus.shared(spark, folder, ["lines"])["lines"].where("ts_ms is not null").select("file_name", "ts_ms", "line_id")
+    placed = ordered.before(lines, ["file_name"], ["ts_ms", "line_id"], previous=("last", "ts_ms"))
+    return placed.groupBy("file_name").agg(F.max(F.col("ts_ms") - F.col("previous")).alias("longest"))
+
+
+@_replaces
+def jn14_firing_overlaps(spark, folder):
+    """Firings that overlap an earlier or a later one of their session."""
+    fired = corpus.run(spark, folder, statements.FIRINGS).where("start_ms is not null").select("session_id", "pid", "start_ms", F.coalesce("end_ms", "start_ms").alias("stop"))
+    ahead = ordered.before(fired, ["session_id"], ["start_ms", "pid"], latest=("max", "stop"))
+    # backwards: the next start is the last of the negated order
+    turned = ahead.withColumns({"back": -F.col("start_ms"), "pid_back": -F.col("pid")})
+    both = ordered.before(turned, ["session_id"], ["back", "pid_back"], following=("last", "start_ms"))
+    overlaps = F.coalesce(F.col("start_ms") <= F.col("latest"), F.lit(False)) | F.coalesce(F.col("following") <= F.col("stop"), F.lit(False))
+    return both.select("session_id", "pid", overlaps.alias("is_overlap"))
