@@ -617,3 +617,115 @@ def jn14_firing_overlaps(spark, folder):
     both = ordered.before(turned, ["session_id"], ["back", "pid_back"], following=("last", "start_ms"))
     overlaps = F.coalesce(F.col("start_ms") <= F.col("latest"), F.lit(False)) | F.coalesce(F.col("following") <= F.col("stop"), F.lit(False))
     return both.select("session_id", "pid", overlaps.alias("is_overlap"))
+
+
+@_replaces
+def w08_placeholders(spark, folder):
+    """Place of each folder by its first appearance."""
+    lines = corpus.shared(spark, folder, ["lines"])["lines"].where("cwd is not null")
+    firsts = lines.groupBy("cwd").agg(F.min("line_id").alias("first"))
+    return ordered.ranked(firsts, ["first"], "place").select("cwd", F.col("place").cast("int").alias("place"))
+
+
+# --- operators whose cases no delivered line has: records written from other tables
+_SKILLS = """select o_orderkey line_id, concat('f', o_custkey % 5, '.jsonl') file_name, 's' slug, to_json(named_struct('type','assistant','attributionSkill',if(o_orderkey % 3 = 0, concat('skill', o_orderkey % 4), null),'isSidechain',o_orderkey % 2 = 0)) raw from {src}"""
+
+
+@query("select 'f'||(o_custkey%5)||'.jsonl' file_name, 'skill'||(o_orderkey%4) attribution_skill, o_orderkey % 2 = 0 is_sidechain, count(*) n from orders where o_orderkey % 3 = 0 group by 1, 2, 3")
+def mt24_skill_turns(spark, folder):
+    """Turns by skill and file, sidechain apart."""
+    lines = _made(spark, folder, "orders", _SKILLS).where("attribution_skill is not null")
+    return lines.groupBy("file_name", "attribution_skill", "is_sidechain").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DECIDED = """select o_orderkey line_id, 'f.jsonl' file_name, 's' slug, to_json(named_struct('type','user','permissionDecision',named_struct('decision',if(o_orderkey % 2 = 0, 'allow', 'deny'),'source',lower(o_orderstatus),'reasonType',if(o_orderkey % 5 = 0, null, o_orderpriority)))) raw from {src}"""
+
+
+@query("select case when o_orderkey%2=0 then 'allow' else 'deny' end decision, lower(o_orderstatus) decision_source, case when o_orderkey%5=0 then null else o_orderpriority end reason_type, count(*) n from orders group by 1, 2, 3")
+def mt34_decisions(spark, folder):
+    """Permission decisions by class; silent and failed ones are one class."""
+    lines = _made(spark, folder, "orders", _DECIDED).where("k_decision = 'dict'")
+    return lines.groupBy("decision", "decision_source", "reason_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TAGGED = """select o_orderkey line_id, 'f.jsonl' file_name, 's' slug, to_json(named_struct('type','user','message',named_struct('content',array(named_struct('type','tool_result','tool_use_id','t','content',
+concat('a <Persisted-Output-', o_orderkey % 3, '> b <b> <not\\nclosed persist> </persisted-output> ', o_orderpriority)))))) raw from {src}"""
+
+
+@query("select '<persisted-output-'||(o_orderkey%3)||'>' tag, count(*) n from orders group by 1 union all select '</persisted-output>', count(*) from orders")
+def ag24_tags(spark, folder):
+    """Tags of persisted output, in lower case."""
+    texts = tables.result_texts(tables.blocks(_made(spark, folder, "orders", _TAGGED)))
+    tags = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(<[^>\n]{1,40}>)"), F.lit(1))).alias("tag"))
+    kept = tags.where(F.col("tag").contains("persist") | F.col("tag").contains("output"))
+    return kept.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with f as (select session_id, pid, session_id || ':' || coalesce((min_by({'v': tool}, o)).v,'-') tid, (min_by({'v': hook_event}, o)).v ev, max_by(decision, case when decision is not null then o end) decision, count(*) filter (where phase='exit') exits
+from (select *, row_number() over (partition by session_id, pid order by ts_ms, phase, coalesce(hook_event,''), coalesce(tool_use_id,''), coalesce(decision,''), coalesce(duration_ms,-1)) o from dispatch) group by session_id, pid)
+select session_id, pid, tid tool_use_id from f a where ev='PreToolUse' and decision is null and exists (select 1 from f b where b.tid=a.tid and b.ev='PostToolUse' and b.exits>0)""")
+def jn19_silent_allow(spark, folder):
+    """PreToolUse firings without a decision whose call (here: a tool of a session)
+    ran to its PostToolUse."""
+    fired = corpus.run(spark, folder, statements.FIRINGS)
+    fired = fired.withColumn("tool_use_id", F.concat("session_id", F.lit(":"), F.coalesce("tool", F.lit("-"))))
+    ran = fired.where("event = 'PostToolUse' and exits > 0").select("tool_use_id").distinct()
+    silent = fired.where("event = 'PreToolUse' and decision is null").join(ran, "tool_use_id", "left_semi")
+    return silent.select("session_id", "pid", "tool_use_id")
+
+
+# --- the sanitizer over all values and rules of every line
+_PATH_RULES = {"version": 1, "paths": [{"match": "/home/dev/", "replace": "/home/user/"}, {"match": "/srv/work/", "replace": "/srv/p/"}], "options": {"scrub_git_branch": False}}
+
+
+def _rewritten(spark, folder, rules: dict) -> DataFrame:
+    lines = table(spark, folder, "transcript_lines").select("file_name", F.col("line_id").alias("line_no"), "raw")
+    return sanitize.rewrite(lines, sanitize.load_rules(rules))
+
+
+_KEPT_DUCK = f"k as materialized (select line_id, file_name, json(raw)::varchar j from transcript_lines where json_valid(raw) and json_type(raw)='OBJECT' and json_type(raw,'$.type')='VARCHAR' and raw->>'$.type' not in ({statements.STRIPPED}))"
+
+
+@query(f"with {_KEPT_DUCK}, r(m, p) as (values ('/home/dev/','/home/user/'),('/srv/work/','/srv/p/')) select 'paths' layer, m original, p replacement, sum((length(j)-length(replace(j,m,'')))/length(m))::bigint occurrences, min(line_id) first_line from k, r where contains(j, m) group by 2, 3")
+def ag38_substitutions(spark, folder):
+    """What the path rules replace in all values of all lines."""
+    return sanitize.substitutions(_rewritten(spark, folder, _PATH_RULES)).where("layer = 'paths'")
+
+
+@query(f"with {_KEPT_DUCK} select file_name, count(*) filter (where contains(j,'/home/dev/') or contains(j,'/srv/work/')) changed, count(*) survivors from k group by 1")
+def san03_paths(spark, folder):
+    """Per file the lines that the path rules change, and all that survive."""
+    done = _rewritten(spark, folder, _PATH_RULES).where("state = 'kept'")
+    changed = F.exists("layer", lambda x: x == "paths")
+    return done.groupBy("file_name").agg(F.count_if(changed).alias("changed"), F.count(F.lit(1)).alias("survivors"))
+
+
+_TORN_RULES = {"version": 1, "paths": [{"match": "re:/home/dev/(?=[a-m])", "replace": "/h1/"}, {"match": "/home/dev/", "replace": "/h2/"}], "options": {"scrub_git_branch": False}}
+
+
+@query(f"with {_KEPT_DUCK}, c as (select sum((length(j)-length(regexp_replace(j,'/home/dev/[a-m]','/home/dev/','g'))))::bigint a, sum((length(j)-length(replace(j,'/home/dev/','')))/10)::bigint b from k) select 'paths' layer, '/home/dev/' original, case when a > 0 and a < b then 2 else 1 end replacements from c where a > 0 and a < b")
+def ag39_conflicts(spark, folder):
+    """Originals that rules replace in different ways."""
+    found = sanitize.substitutions(_rewritten(spark, folder, _TORN_RULES)).where("layer <> 'secrets'")
+    by = found.groupBy("layer", "original").agg(F.count_distinct("replacement").alias("replacements"))
+    return by.where("replacements > 1")
+
+
+@query()
+def ag40_secret_counts(spark, folder):
+    """Credentials by kind in all values of all lines."""
+    found = sanitize.substitutions(_rewritten(spark, folder, _PATH_RULES)).where("layer = 'secrets'")
+    return found.groupBy(F.col("original").alias("kind")).agg(F.sum("occurrences").alias("n"))
+
+
+_REMAP_RULES = {"version": 1, "options": {"remap_uuids": True, "uuid_seed": "seed", "scrub_git_branch": True}}
+
+
+@query("""with k as materialized (select raw from transcript_lines where json_valid(raw) and json_type(raw)='OBJECT' and json_type(raw,'$.type')='VARCHAR' and raw->>'$.type' not in (""" + statements.STRIPPED + """)),
+u as (select distinct unnest(list_filter([case when json_type(raw,'$.uuid')='VARCHAR' then raw->>'$.uuid' end, case when json_type(raw,'$.parentUuid')='VARCHAR' then raw->>'$.parentUuid' end, case when json_type(raw,'$.sessionId')='VARCHAR' then raw->>'$.sessionId' end, case when json_type(raw,'$.agentId')='VARCHAR' then raw->>'$.agentId' end, case when json_type(raw,'$.toolUseResult.agentId')='VARCHAR' then raw->>'$.toolUseResult.agentId' end], lambda x: x is not null)) id from k),
+h as (select id, sha256('seed'::blob || '\\x00'::blob || encode(id)) h from u),
+b as (select distinct raw->>'$.gitBranch' id from k where json_type(raw,'$.gitBranch')='VARCHAR' and raw->>'$.gitBranch' not in ('', '<branch>'))
+select id original, concat_ws('-', substr(h,1,8), substr(h,9,4), substr(h,13,4), substr(h,17,4), substr(h,21,12)) replacement from h union all select id, '<branch>' from b""")
+def san06_remap(spark, folder):
+    """New ids at all id positions, and branches at theirs."""
+    return sanitize.substitutions(_rewritten(spark, folder, _REMAP_RULES)).where("layer = 'identifiers'").select("original", "replacement")

@@ -139,4 +139,4 @@ def san12_residual(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_paths, p2_descendants, p5_found, p5_objects, p5_bridge, p5_usage, p6_found, jn07_call_tree, san01_audit, san12_residual)}
 QUERIES |= {name: (lambda spark, folder, s=statement: corpus.run(spark, folder, s)) for name, statement in statements.ALL.items()}
 QUERIES |= extra.QUERIES  # some take the place of a statement
-SQL = oracles.SQL | extra.SQL | {"jn07_call_tree": JN07} | {name: corpus.oracle(statement) for name, statement in statements.ALL.items()}
+SQL = oracles.SQL | {"jn07_call_tree": JN07} | {name: corpus.oracle(statement) for name, statement in statements.ALL.items()} | extra.SQL
