@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import conversations, leaks, mixing, pii, secrets, subjects
+from sessionloom.llm import conversations, leaks, mixing, oracles, pii, secrets, subjects
 from sessionloom.sources.tables import table
 
 
@@ -74,4 +74,4 @@ QUERIES = {
         p3_found, p3_redacted, p4_found, p4_inferred, p4_inferred_trees, p7_found, p7_redacted, p8_found, p9_selection, p9_shares, p10_found, p10_mixtures, p10_shares,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
