@@ -21,9 +21,14 @@ from sessionloom.operators import tables
 EVENT_PREFIX = "claude_code."
 #: Attributes whose values reports may show.
 ALLOWED = frozenset(
-    "event.sequence event.name event.timestamp session.id hook_event hook_name tool_use_id tool_name decision source model query_source agent.name "
-    "input_tokens output_tokens cache_read_tokens cache_creation_tokens cost_usd duration_ms success num_hooks num_success num_blocking "
-    "num_non_blocking_error num_cancelled total_duration_ms stdout_chars additional_context_chars type".split()
+    "event.name event.timestamp event.sequence session.id prompt.id app.version service.name service.version terminal.type "
+    "hook_event hook_name hook_type hook_source hook_matcher num_hooks num_success num_blocking num_non_blocking_error num_cancelled total_duration_ms "
+    "stdout_chars additional_context_chars system_message_chars initial_user_message_chars num_outputs_persisted managed_only "
+    "tool_name tool_use_id decision source tool_source success duration_ms error_type decision_type decision_source "
+    "tool_input_size_bytes tool_result_size_bytes mcp_server_scope "
+    "model cost_usd cost_usd_micros input_tokens output_tokens cache_read_tokens cache_creation_tokens query_source speed effort type agent.name "
+    "agent_type agent.source is_built_in is_async total_tokens total_tool_uses final_model model_swapped agent_id parent_agent_id "
+    "permission_mode trigger".split()
 )
 #: Fixed value: the mark of a trailer that counts a subagent's tokens.
 TRAILER = "subagent_tokens"

@@ -20,11 +20,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from re import _parser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from sessionloom.functions.records import batch_of
 from sessionloom.plans.runtime import stage
@@ -104,6 +107,11 @@ class Rules:
         return [(k, re.compile(p)) for k, p in (*CREDENTIALS, *self.extra)]
 
 
+def _least_width(pattern: re.Pattern) -> int:
+    """The fewest characters that a match takes, from the parsed pattern."""
+    return _parser.parse(pattern.pattern, pattern.flags).getwidth()[0]
+
+
 def load_rules(config: dict) -> Rules:
     """Rules from a parsed configuration mapping; unknown keys, wrong types,
     zero-width patterns and leaking replacements are refused."""
@@ -130,7 +138,7 @@ def load_rules(config: dict) -> Rules:
                 pattern = rule.compiled()
             except re.error:
                 raise ConfigError(f"{name}[{i}]: bad pattern") from None
-            need(not any(m.group() == "" for probe in ("", "a", "a b/c") for m in pattern.finditer(probe)), f"{name}[{i}]: matches nothing wide")
+            need(_least_width(pattern) > 0, f"{name}[{i}]: matches nothing wide")
             out.append(rule)
         return tuple(out)
 
@@ -216,6 +224,38 @@ def serialize(record: dict) -> str:
     return json.dumps(record, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
 
 
+def walk_strings(node, position: str = "") -> Iterator[tuple[str, bool, str]]:
+    """(position, is_key, text) of every string and key of a document; places in
+    lists are left out of positions."""
+    if isinstance(node, str):
+        yield position, False, node
+    elif isinstance(node, list):
+        for x in node:
+            yield from walk_strings(x, position)
+    elif isinstance(node, dict):
+        for k, v in node.items():
+            yield position, True, k
+            yield from walk_strings(v, f"{position}.{k}" if position else k)
+
+
+@udtf(returnType="path string, is_key boolean, text string")
+class WalkStrings:
+    """``walk_strings(raw)``: the strings and keys of a JSON line; none of a line
+    that is no JSON."""
+
+    def eval(self, raw: str):
+        try:
+            document = json.loads(raw or "")
+        except ValueError:
+            return
+        yield from walk_strings(document)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``walk_strings`` known to SQL."""
+    spark.udtf.register("walk_strings", WalkStrings)
+
+
 OUT = pa.schema(
     [("file_name", pa.string()), ("line_no", pa.int64()), ("state", pa.string()), ("out", pa.string()), ("layer", pa.list_(pa.string())), ("original", pa.list_(pa.string())), ("replacement", pa.list_(pa.string()))]
 )
@@ -260,23 +300,12 @@ def residual(written: DataFrame, rules: Rules) -> DataFrame:
     schema = pa.schema([("file_name", pa.string()), ("line_no", pa.int64()), ("section", pa.string()), ("index", pa.int32())])
     sections = [("paths", rules.paths), ("identifiers", rules.identifiers)]
 
-    def strings(node, position="", key=False):
-        if isinstance(node, str):
-            yield position, key, node
-        elif isinstance(node, list):
-            for x in node:
-                yield from strings(x, position)
-        elif isinstance(node, dict):
-            for k, v in node.items():
-                yield position, True, k
-                yield from strings(v, f"{position}.{k}" if position else k)
-
     def run(batches):
         secrets = rules.credentials()
         for batch in batches:
             out = []
             for name, no, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = list(strings(json.loads(text)))
+                found = list(walk_strings(json.loads(text)))
                 for section, some in sections:
                     for i, rule in enumerate(some):
                         if rule.is_regex:

@@ -76,7 +76,7 @@ PROMOTED = {
     "e_creation": (number, "$.toolUseResult.usage.cache_creation_input_tokens"), "e_read": (number, "$.toolUseResult.usage.cache_read_input_tokens"),
     "e_start_line": (number, "$.toolUseResult.file.startLine"), "e_num_lines": (number, "$.toolUseResult.file.numLines"), "e_total_lines": (number, "$.toolUseResult.file.totalLines"),
     "e_spill_path": (text, "$.toolUseResult.persistedOutputPath"),
-    "first_hook_error": (text, "$.hookErrors[0]"), "retry_ms": (number, "$.retryInMs"), "retry_attempt": (number, "$.retryAttempt"),
+    "first_hook_error": (text, "$.hookErrors[0]"), "k_hook_context": (kind, "$.hookAdditionalContext[0]"), "retry_ms": (number, "$.retryInMs"), "retry_attempt": (number, "$.retryAttempt"),
 }
 
 

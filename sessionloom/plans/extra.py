@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators import captures, ordered, rollups, sanitize, tables, telemetry
+from sessionloom.operators import captures, hierarchy, ordered, rollups, sanitize, tables, telemetry
 from sessionloom.plans import corpus, statements
 from sessionloom.sources.tables import table
 
@@ -729,3 +729,27 @@ select id original, concat_ws('-', substr(h,1,8), substr(h,9,4), substr(h,13,4),
 def san06_remap(spark, folder):
     """New ids at all id positions, and branches at theirs."""
     return sanitize.substitutions(_rewritten(spark, folder, _REMAP_RULES)).where("layer = 'identifiers'").select("original", "replacement")
+
+
+# --- delegation trees by where each subagent was called
+@query("""with recursive b as (select file_name, b->>'$.id' id from (select file_name, unnest(json_extract(raw,'$.message.content[*]')) b from transcript_lines where json_valid(raw) and json_type(raw,'$.message.content')='ARRAY') where b->>'$.type'='tool_use' and json_type(b,'$.id')='VARCHAR'),
+w as (select id, min(case when file_name like '%/subagents/agent-%' then regexp_extract(file_name, 'agent-([^/]*)\\.jsonl$', 1) else '' end) caller from b group by id),
+m as materialized (select agent_id, max(tool_use_id) t, max(parent_agent_id) p, max(spawn_depth) d from manifests where agent_id is not null group by 1),
+n as materialized (select agent_id, d, coalesce(nullif(w.caller,''), p) parent, w.id is not null located from m left join w on m.t=w.id),
+t(agent_id, root_id, "depth") as (select agent_id, agent_id, 0 from n where parent is null or parent not in (select agent_id from n) union all select n.agent_id, t.root_id, t."depth"+1 from n join t on n.parent=t.agent_id)
+select n.agent_id, coalesce(t.root_id,'') root_id, coalesce(t."depth", -1) as "depth", n.located, n.d = t."depth"+1 agrees from n left join t on n.agent_id=t.agent_id""")
+def jn07_located_tree(spark, folder):
+    """Trees of subagents: each hangs on the trace that holds its call (any file is
+    searched; calls of main sessions make roots), else on its stated parent; and
+    whether the depth is the one stated."""
+    uses = corpus.shared(spark, folder, ["blocks"])["blocks"].where("block_type = 'tool_use' and id is not null")
+    caller = F.when(F.col("file_name").contains("/subagents/agent-"), F.regexp_extract("file_name", r"agent-([^/]*)\.jsonl$", 1)).otherwise("")
+    where = uses.groupBy(F.col("id").alias("tool_use_id")).agg(F.min(caller).alias("caller"))
+    m = table(spark, folder, "manifests").where("agent_id is not null").groupBy("agent_id").agg(
+        F.max("tool_use_id").alias("tool_use_id"), F.max("parent_agent_id").alias("p"), F.max("spawn_depth").alias("stated"), F.min("session_id").alias("near")
+    )
+    met = m.join(where, "tool_use_id", "left")
+    edges = met.select(F.col("agent_id").alias("id"), F.coalesce(F.nullif("caller", F.lit("")), "p").alias("parent"), "near", "stated", F.col("caller").isNotNull().alias("located"))
+    solved = hierarchy.hierarchy(edges, near=["near"], carry=("stated", "located"))
+    agrees = F.when(F.col("depth") >= 0, F.col("stated") == F.col("depth") + 1)
+    return solved.select(F.col("id").alias("agent_id"), F.coalesce("root", F.lit("")).alias("root_id"), "depth", "located", agrees.alias("agrees"))

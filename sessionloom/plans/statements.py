@@ -157,7 +157,7 @@ METRICS: dict[str, Statement] = {
     "mt30_turn_durations": S("select session_id, count(*) n, sum(duration_ms) ms, sum(message_count) messages, round(cast(sum(message_count) as double)*1000/nullif(sum(duration_ms),0), 6) per_second from lines where subtype='turn_duration' group by session_id"),
     "mt32_trace_duration": S("select file_name, max(ts_ms)-min(ts_ms) ms from lines where container='subagent-trace' and ts_ms is not null group by file_name"),
     "mt32_gaps": S("select file_name, max(gap) longest from (select file_name, ts_ms - lag(ts_ms) over (partition by file_name order by ts_ms, line_id) gap from lines where ts_ms is not null) group by file_name"),
-    "mt33_hook_outcomes": S(f"select case when first_hook_error is null then 'allowed' when left(first_hook_error, {len(HOOK_FAILURE)})='{HOOK_FAILURE}' then 'failed' else 'blocked' end outcome, count(*) n, sum(hook_count) hooks from lines where subtype='stop_hook_summary' group by 1"),
+    "mt33_hook_outcomes": S(f"select case when first_hook_error is null and k_hook_context<>'absent' then 'context' when first_hook_error is null then 'allowed' when left(first_hook_error, {len(HOOK_FAILURE)})='{HOOK_FAILURE}' then 'failed' else 'blocked' end outcome, count(*) n, sum(hook_count) hooks from lines where subtype='stop_hook_summary' group by 1"),
     "mt34_decisions": S("select decision, decision_source, reason_type, count(*) n from lines where k_decision='dict' group by 1, 2, 3"),
     "mt35_api_retries": S("select count(*) n, count(retry_ms) retries, sum(retry_ms) ms, max(retry_attempt) most from lines where type='system'"),
     "mt37_session_index": S("select session_id, max_by(ai_title, case when ai_title is not null then line_id end) title, max_by(git_branch, case when git_branch is not null then line_id end) branch, count(*) n, max(ts_ms) last_activity from lines group by session_id"),

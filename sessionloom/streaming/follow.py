@@ -7,7 +7,11 @@ dropped by the windowed operators (the batch twins keep them).
 
 from __future__ import annotations
 
+import gzip
+import json
 import os
+import time
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -125,3 +129,32 @@ def firing_pairs(stream: DataFrame, *, timeout: str = "1 hour") -> DataFrame:
 
     events = stream.withWatermark("ts", timeout).groupBy("session_id", "pid")
     return events.applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def land_export(folder: str, body: bytes, *, content_type: str, encoding: str = "", received_ms: int | None = None) -> bool:
+    """Take one pushed export into the landing folder; whether it was JSON.
+
+    What a receiver calls per request, from any number of threads: each export is a
+    file of its own, renamed into place, so the stream never sees half of one.
+    Bodies that are not JSON, or do not unpack, are refused.
+    """
+    try:
+        data = gzip.decompress(body) if encoding.lower() == "gzip" else body
+        if "json" not in content_type or not isinstance(json.loads(data), dict):
+            return False
+    except (OSError, EOFError, ValueError):
+        return False
+    at = received_ms if received_ms is not None else int(time.time() * 1000)
+    os.makedirs(folder, exist_ok=True)
+    name = os.path.join(folder, f"{at}-{uuid.uuid4().hex}.json")
+    with open(name + ".part", "wb") as f:
+        f.write(json.dumps({"recv_ms": at, "raw": data.decode()}).encode())
+    os.replace(name + ".part", name)
+    return True
+
+
+def exports(spark: SparkSession, folder: str, *, files_per_batch: int = 1_000) -> DataFrame:
+    """A stream (recv_ms, raw) of the exports that land in a folder, for
+    ``telemetry.flatten_exports``."""
+    stream = spark.readStream.schema("recv_ms bigint, raw string").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.json")
+    return stream.json(folder)

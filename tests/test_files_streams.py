@@ -97,3 +97,53 @@ def test_exports_and_debug_lines(spark):
     d = T.debug_hooks(spark.createDataFrame([("f", 1, text), ("f", 2, "other")], "file_name string, line_no bigint, raw string")).collect()
     assert [(r["event"], r["target"], r["script"], r["outcome"], r["status"], r["ms"]) for r in d] == [("PreToolUse", "Bash", "hook.py", "finished", 2, 15)]
     assert d[0]["ts_ms"] == int(datetime(2026, 1, 1, tzinfo=timezone.utc).timestamp() * 1000) + 100
+
+
+def test_pushed_exports_stream_into_signals(spark, tmp_path):
+    import gzip
+    import json
+
+    from sessionloom.streaming import follow
+
+    folder, out = str(tmp_path / "land"), str(tmp_path / "out")
+    point = lambda t, v: {"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "tokens", "sum": {"aggregationTemporality": 1, "dataPoints": [{"timeUnixNano": str(t), "asInt": v}]}}]}]}]}
+    assert follow.land_export(folder, json.dumps(point(1, 5)).encode(), content_type="application/json", received_ms=1)
+    assert follow.land_export(folder, gzip.compress(json.dumps(point(2, 7)).encode()), content_type="application/json", encoding="gzip", received_ms=2)
+    for body, kind, coding in ((b"{}", "application/x-protobuf", ""), (b"{cut", "application/json", ""), (b"no gzip", "application/json", "gzip"), (b"[1]", "application/json", "")):
+        assert not follow.land_export(folder, body, content_type=kind, encoding=coding)
+
+    def run():
+        signals = T.flatten_exports(follow.exports(spark, folder), frozenset())
+        query = signals.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        return spark.read.parquet(out)
+
+    assert run().count() == 2
+    assert follow.land_export(folder, json.dumps(point(3, 1)).encode(), content_type="application/json; charset=utf-8", received_ms=3)
+    assert [r["value"] for r in T.merged_metrics(run()).collect()] == [13.0]
+
+
+def test_conversation_windows_and_paired_calls_on_the_stream(spark, tmp_path):
+    from sessionloom.streaming import follow
+
+    def rows(name, ddl, *data):
+        spark.createDataFrame(list(data), ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    at = lambda h, m=0: f"2026-01-01 {h:02d}:{m:02d}:00"
+    stream = lambda name, *times: (
+        lambda df: df.withColumns({t: df[t].cast("timestamp") for t in times})
+    )(spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name)))
+    rows("p", "slug string, ts string", ("a", at(1)), ("a", at(1, 59)), ("a", at(4)), ("b", at(1)), ("z", "2026-02-01 00:00:00"))
+    sink = {}
+
+    def run(df, name):
+        query = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / ("c" + name))).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sink[name] = spark.table(name).collect()
+
+    run(follow.conversation_windows(stream("p", "ts")), "windows")
+    assert sorted((r["slug"], r["prompts"]) for r in sink["windows"]) == [("a", 1), ("a", 2), ("b", 1)]
+    rows("u", "file_name string, id string, used_at string", ("f", "x", at(1)), ("f", "y", at(1)), ("g", "late", at(23)))
+    rows("r", "file_name string, tool_use_id string, answered_at string", ("f", "x", at(1, 5)), ("g", "other", at(23)))
+    run(follow.paired_calls(stream("u", "used_at"), stream("r", "answered_at")), "pairs")
+    assert sorted((r["id"], r["answered_at"] is not None) for r in sink["pairs"]) == [("x", True), ("y", False)]
