@@ -19,7 +19,7 @@ from math import exp, log
 
 import numpy as np
 
-SWEEPS = 8  #: rounds of message passing; it stops early when messages settle
+SWEEPS = 60  #: rounds of message passing at most; it stops when messages settle, and damps those that swing from the tenth on
 STAR = 6  #: with more equal mentions than this, a hub stands for the edges between all; labels don't depend on it
 
 
@@ -39,12 +39,13 @@ class _Group:
         self.sent = np.zeros((len(place), len(place)))
         self.heard = [0.0] * len(place)
 
-    def step(self, belief: list[float]) -> float:
-        """One sweep; the largest change of a message."""
+    def step(self, belief: list[float], keep: float = 0.0) -> float:
+        """One sweep that keeps a part of the old messages; the largest change of one."""
         h = np.clip(np.array([belief[m] for m in self.first])[:, None] - self.sent.T, -30, 30)
         fresh = np.log((np.exp(h + self.weight) + 1.0) / (np.exp(h) + exp(self.weight)))
         alone = np.flatnonzero(self.count == 1)
         fresh[alone, alone] = 0.0  # a mention tells itself nothing
+        fresh = keep * self.sent + (1 - keep) * fresh
         moved = float(np.abs(fresh - self.sent).max())
         self.sent, self.heard = fresh, (self.count @ fresh - fresh.diagonal()).tolist()
         return moved
@@ -58,9 +59,13 @@ def _states(unary: list[float], edges: list[tuple[int, int, float]], hub: list[i
         near.setdefault(b, []).append((w, a))
     known: dict = {}
     state = [known.setdefault(x, len(known)) for x in zip(unary, hub)]
+    classes = len(known)
     for _ in range(SWEEPS):
         known = {}
         state = [known.setdefault((s, tuple(sorted((w, state[m]) for w, m in near.get(n, ())))), len(known)) for n, s in enumerate(state)]
+        if len(known) == classes:  # no class was split, so none will be
+            break
+        classes = len(known)
     return state
 
 
@@ -103,14 +108,15 @@ def marginals(unary: list[float], edges: list[tuple[int, int, float]], mentions:
                 found[m] += g.heard[r]
         return found
 
-    for _ in range(SWEEPS):
+    for sweep in range(SWEEPS):
+        keep = 0.5 if sweep >= 10 else 0.0
         belief = beliefs()
-        moved = max((g.step(belief) for g in groups), default=0.0)
+        moved = max((g.step(belief, keep) for g in groups), default=0.0)
         fresh = []
         for i, (x, _, w) in enumerate(ends):
             h = belief[x] - message[reverse[i]]
             h = max(-30.0, min(30.0, h))
-            new = log((exp(h + w) + 1.0) / (exp(h) + exp(w)))
+            new = keep * message[i] + (1 - keep) * log((exp(h + w) + 1.0) / (exp(h) + exp(w)))
             moved = max(moved, abs(new - message[i]))
             fresh.append(new)
         message = fresh
