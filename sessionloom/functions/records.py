@@ -7,6 +7,7 @@ has to be walked to a depth that no fixed schema describes.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -24,6 +25,29 @@ MESSAGE_ALIASES = {"model": ("modelName",)}
 BLOCK_ALIASES = {"type": ("kind",), "tool_use_id": ("toolUseId",)}
 
 
+@dataclass(frozen=True)
+class Aliases:
+    """Other names of fields, per level; ``STATED`` are the known ones above."""
+
+    record: dict[str, tuple[str, ...]]
+    message: dict[str, tuple[str, ...]]
+    block: dict[str, tuple[str, ...]]
+
+    @classmethod
+    def learned(cls, renames: dict[str, str]) -> Aliases:
+        """From new path -> agreed path, as ``Drift.learn_renames`` gives them."""
+        levels: dict[str, dict[str, tuple[str, ...]]] = {"": {}, "message": {}, "message.content[]": {}}
+        for new, old in sorted(renames.items()):
+            level = levels.get(old.rpartition(".")[0])
+            if level is not None:
+                name = old.rpartition(".")[2]
+                level[name] = (*level.get(name, ()), new.rpartition(".")[2])
+        return cls(*levels.values())
+
+
+STATED = Aliases(RECORD_ALIASES, MESSAGE_ALIASES, BLOCK_ALIASES)
+
+
 def parse(raw: str | None) -> dict | None:
     """The JSON object of a line; None for blank, cut off or non-object lines."""
     if not raw:

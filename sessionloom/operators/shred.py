@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.records import BLOCK_ALIASES, batch_of, blocks, field, parse, text_of
+from sessionloom.functions.records import STATED, Aliases, batch_of, field, parse, text_of
 
 BRIDGE = pa.schema(
     [
@@ -66,7 +66,7 @@ def _storable(text: str | None) -> str | None:
     return text if text is None or text.isascii() else text.encode("utf-8", "backslashreplace").decode()
 
 
-def _occurrences(line_id, message: dict, bodies: bool, out: list) -> None:
+def _occurrences(line_id, message: dict, bodies: bool, out: list, names: dict) -> None:
     """Rows of every object of a message.
 
     Paths are JSON pointers into it, an ordinal is the place in its list or
@@ -85,7 +85,7 @@ def _occurrences(line_id, message: dict, bodies: bool, out: list) -> None:
             ]
         if not isinstance(value, dict):
             return value
-        kind = text_of(field(value, "type", BLOCK_ALIASES))
+        kind = text_of(field(value, "type", names))
         own = text_of(value.get("id"))
         block = role == "block"
         if block:
@@ -105,7 +105,7 @@ def _occurrences(line_id, message: dict, bodies: bool, out: list) -> None:
         me = _hash(text)
         for row in below:
             row[6] = me
-        call = own if kind == "tool_use" else text_of(field(value, "tool_use_id", BLOCK_ALIASES)) if kind == "tool_result" else None
+        call = own if kind == "tool_use" else text_of(field(value, "tool_use_id", names)) if kind == "tool_result" else None
         row = [
             line_id, _storable(path), node_path if role in ("block", "part") else None, role, ordinal, me, None, None,
             _storable(kind), _storable(own), _storable(call), _storable(text) if bodies else None,
@@ -122,9 +122,9 @@ def _occurrences(line_id, message: dict, bodies: bool, out: list) -> None:
     visit(message, "", None, 0, "message", [], None)
 
 
-def bridge(lines: DataFrame, *, id_col="line_id", raw_col="raw", bodies=False) -> DataFrame:
+def bridge(lines: DataFrame, *, id_col="line_id", raw_col="raw", bodies=False, aliases: Aliases = STATED) -> DataFrame:
     """A row per occurrence of every object of the messages; ``bodies`` adds the
-    canonical text."""
+    canonical text.  ``aliases`` are other names of types and call ids."""
 
     def run(batches):
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))  # as deep as the parser reads
@@ -134,7 +134,7 @@ def bridge(lines: DataFrame, *, id_col="line_id", raw_col="raw", bodies=False) -
                 record = parse(raw)
                 message = record.get("message") if record is not None else None
                 if isinstance(message, dict):
-                    _occurrences(line_id, message, bodies, out)
+                    _occurrences(line_id, message, bodies, out, aliases.block)
             yield batch_of(BRIDGE, out)
 
     source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))

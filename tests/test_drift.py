@@ -104,3 +104,17 @@ def test_profiles_do_not_depend_on_partitions(spark, make_lines):
     lines = make_lines(rows)
     one, many = (drift.Drift(lines.repartition(n), _base(spark)).profiles() for n in (1, 7))
     assert one == many and len(one["", "uuid"]["sketch"]) == drift.SKETCH and len(one["", "tag"]["shapes"]) == drift.SHAPES
+
+
+def test_learned_names_serve_other_operators(spark, make_lines):
+    from sessionloom.functions.records import Aliases
+    from sessionloom.operators import shred
+
+    part = lambda i, kind: {"type": "user", "uuid": f"u-{i}", "cwd": f"/home/dev/p{i % 3}", "message": {"content": [{kind: "text", "text": f"t{i}"}, {kind: "tool_use", "id": f"c{i}"}]}}
+    base = spark.createDataFrame(BASE + [("user", "message.content[].id", "str", False)], "record_type string, field_path string, json_type string, is_required boolean")
+    lines = make_lines([("a.jsonl", part(i, "type")) for i in range(12)] + [("b.jsonl", part(i, "blockType")) for i in range(12)])
+    renames = drift.Drift(lines, base).learn_renames()
+    assert renames == {"message.content[].blockType": "message.content[].type"}
+    bridged = shred.bridge(lines, aliases=Aliases.learned(renames))
+    got = shred.nodes(bridged, shred.objects(bridged)).collect()
+    assert sorted((r["line_id"], r["node_type"], r["ref_id"]) for r in got) == [(i + 1, "tool_use", f"c{i % 12}") for i in range(24)]
