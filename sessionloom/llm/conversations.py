@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.records import BLOCK_ALIASES, RECORD_ALIASES, batch_of, blocks, field, instant, parse, text_of
+from sessionloom.functions.records import STATED, Aliases, batch_of, blocks, field, instant, parse, text_of
 from sessionloom.operators.hierarchy import hierarchy
 from sessionloom.plans.runtime import partitions_for, stage
 
@@ -68,7 +68,7 @@ def _is(value) -> bool:
     return value is True or (isinstance(value, str) and value.lower() == "true")
 
 
-def messages(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:
+def messages(lines: DataFrame, *, id_col="line_id", raw_col="raw", aliases: Aliases = STATED) -> DataFrame:
     """The main thread's lines with word hashes and mentioned ids; ``role`` is null
     for lines that only link.  Each batch keeps one copy of a message."""
     from zlib import crc32
@@ -83,7 +83,7 @@ def messages(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:
                 uuid, session = text_of(record.get("uuid")), text_of(record.get("sessionId"))
                 if uuid is None or session is None:
                     continue
-                role = field(record, "type", RECORD_ALIASES)
+                role = field(record, "type", aliases.record)
                 asks = blank = 0
                 words: list[int] = []
                 mentions: list[str] = []
@@ -93,7 +93,7 @@ def messages(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:
                 content = message.get("content") if isinstance(message, dict) else None
                 parts = blocks(message) if isinstance(message, dict) else []
                 if role == "user":
-                    kinds = [field(b, "type", BLOCK_ALIASES) for b in parts if isinstance(b, dict)]
+                    kinds = [field(b, "type", aliases.block) for b in parts if isinstance(b, dict)]
                     asks = int("tool_result" not in kinds)
                 texts = [content] if isinstance(content, str) else [b["text"] for b in parts if isinstance(b, dict) and isinstance(b.get("text"), str)]
                 blank = int(not any(t.strip() for t in texts))
@@ -103,7 +103,7 @@ def messages(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:
                 words = sorted({crc32(w.encode("utf-8", "replace")) & 0x7FFFFFFF for t in texts for w in t.lower().split()})
                 for b in parts:
                     if isinstance(b, dict):
-                        mentions += [x for x in (text_of(b.get("id")), text_of(field(b, "tool_use_id", BLOCK_ALIASES))) if x]
+                        mentions += [x for x in (text_of(b.get("id")), text_of(field(b, "tool_use_id", aliases.block))) if x]
                 at = text_of(record.get("sourceToolAssistantUUID"))
                 mentions += [at] if at else []
                 out[session, uuid] = (line_id, session, uuid, text_of(record.get("parentUuid")), millis(record.get("timestamp")), role, asks, blank, words, mentions)
