@@ -753,3 +753,16 @@ def jn07_located_tree(spark, folder):
     solved = hierarchy.hierarchy(edges, near=["near"], carry=("stated", "located"))
     agrees = F.when(F.col("depth") >= 0, F.col("stated") == F.col("depth") + 1)
     return solved.select(F.col("id").alias("agent_id"), F.coalesce("root", F.lit("")).alias("root_id"), "depth", "located", agrees.alias("agrees"))
+
+
+#: Rates per million tokens of the models in the test tables: data, given to the operator as a table.
+_TABLE_RATES = [("quill-large-4", 5.0, 25.0), ("quill-medium-4", 3.0, 15.0), ("quill-medium-5", 3.0, 15.0), ("quill-small-4", 1.0, 5.0)]
+
+
+@query("with recursive " + corpus.oracle(statements.ALL["mt01_snapshots"])[5:].rpartition("select file_name, message_id")[0] + """, r(model, i) as (values ('quill-large-4', 5.0::double), ('quill-medium-4', 3.0::double), ('quill-medium-5', 3.0::double), ('quill-small-4', 1.0::double))
+select t.model canonical, count(*) n, count(*) filter (where r.i is null) unpriced, round(sum(r.i*(coalesce(input_tokens,0) + 5*coalesce(output_tokens,0) + coalesce(cache_read_tokens,0)*0.1::double + case when k_cache_creation='dict' then coalesce(write_5m,0)*1.25::double+coalesce(write_1h,0)*2 else coalesce(cache_creation_tokens,0)*1.25::double end)/1000000), 6) as cost
+from turns t left join r on t.model=r.model and t.ts_ms is not null where coalesce(t.model,'')<>'<synthetic>' group by 1""")
+def mt07_cost(spark, folder):
+    """Cost per model of all reduced turns; turns of models without a rate are counted."""
+    rates = spark.createDataFrame([(m, "1970-01-01", None, i, o, None, None) for m, i, o in _TABLE_RATES], RATES_DDL).withColumns({c: F.to_date(c) for c in ("valid_from", "valid_to")})
+    return rollups.cost_by(rollups.priced(corpus.shared(spark, folder, ["turns"])["turns"], rates), "canonical")
