@@ -60,13 +60,17 @@ _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
 def sentences(text: str) -> list[str]:
     """Sentences of a text; code in fences is none, lines end sentences."""
-    return [s for s in _SPLIT.split(_FENCE.sub("\n", unicodedata.normalize("NFKC", text))) if s.strip()]
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    if "```" in text:
+        text = _FENCE.sub("\n", text)
+    return [s for s in _SPLIT.split(text) if s.strip()]
 
 
 def terms(sentence: str, frame: set[str]) -> set[str]:
     """Words of three letters or more, and pairs of neighbouring words neither
     of which belongs to the frame of sentences."""
-    words = [w.casefold() for w in _WORD.findall(sentence)]
+    words = _WORD.findall(sentence.casefold())
     inner = [len(w) > 2 and w not in frame for w in words]
     return {w for w, ok in zip(words, inner) if ok} | {f"{a} {b}" for a, b, x, y in zip(words, words[1:], inner, inner[1:]) if x and y}
 
@@ -103,24 +107,44 @@ def numbered(documents: DataFrame, general: set[str], frame: set[str], *, id_col
     sentence of each, general terms left out."""
 
     def run(batches):
-        known: dict[str, int] = {}
+        words: dict[str, int] = {}  # -2: outside pairs too, -1: general
+        pairs: dict[tuple[str, str], int] = {}
+
+        def ids(sentence: str) -> set[int]:
+            """Numbers of ``terms(sentence, frame)`` that are not general."""
+            row, before = set(), None
+            for w in _WORD.findall(sentence.casefold()):
+                n = words.get(w)
+                if n is None:
+                    n = words[w] = -2 if len(w) <= 2 or w in frame else -1 if w in general else number_of(w)
+                if n == -2:
+                    before = None
+                    continue
+                row.add(n)
+                if before is not None:
+                    n = pairs.get((before, w))
+                    if n is None:
+                        pair = f"{before} {w}"
+                        n = pairs[before, w] = -1 if pair in general else number_of(pair)
+                    row.add(n)
+                before = w
+            row.discard(-1)
+            return row
+
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sents: list[int] = []
                 found: list[int] = []
                 for i, sentence in enumerate(sentences(text or "")):
-                    for t in terms(sentence, frame):
-                        n = known.get(t)
-                        if n is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            n = known[t] = -1 if t in general else number_of(t)
-                        if n >= 0:
-                            sents.append(i)
-                            found.append(n)
+                    row = ids(sentence)
+                    sents += [i] * len(row)
+                    found += row
                 if found:
                     out.append((doc, sents, found))
+                if len(words) + len(pairs) > 500_000:
+                    words.clear()
+                    pairs.clear()
             yield batch_of(ROWS, out)
 
     source = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), "text")
