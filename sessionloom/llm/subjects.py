@@ -208,11 +208,14 @@ def mixtures(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = np.flatnonzero(np.diff(row, prepend=-1))
     lengths = np.diff(np.append(starts, len(row)))
     w = np.full((len(starts), values.shape[1]), 1.0 / values.shape[1])
-    share = values
-    for _ in range(INNER):
-        share = np.repeat(w, lengths, axis=0) * values
-        share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
-        w = np.add.reduceat(share, starts, axis=0)
+    for i in range(INNER):
+        held = np.repeat(w, lengths, axis=0)
+        per = 1.0 / np.maximum(np.einsum("ij,ij->i", held, values), 1e-300)
+        if i == INNER - 1:  # only the last shares are asked for
+            share = held * values * per[:, None]
+            w = np.add.reduceat(share, starts, axis=0)
+        else:
+            w = w * np.add.reduceat(values * per[:, None], starts, axis=0)
         w /= np.maximum(w.sum(1, keepdims=True), 1e-300)
     return w, share
 
