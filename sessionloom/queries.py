@@ -75,7 +75,9 @@ def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    bridged = stage(shred.bridge(table(spark, folder, "transcript_lines")).drop("path", "parent_object_id", "own_id", "body"), "bridge")
+    bridged = shred.bridge(table(spark, folder, "transcript_lines")).drop("path", "parent_object_id", "own_id", "body")
+    # identities as bytes: half of what their hexadecimal text takes in the shuffles
+    bridged = stage(bridged.withColumns({c: F.unhex(c) for c in ("object_id", "block_object_id")}), "bridge")
     said = bridged.groupBy("object_id").agg(F.any_value("node_type").alias("node_type"), F.any_value("call_id").alias("call_id"))
     return shred.nodes(bridged, said)
 
