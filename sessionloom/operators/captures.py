@@ -2,7 +2,7 @@
 points, spilled results and commits.
 
 Events of one session are ordered by their sequence, which may be missing; joins
-by order are windows over (session, sequence).
+by order go through ``ordered.asof``, which splits a hot session.
 
 Defined cases: a sequence that is missing or no number is null and meets nothing,
 in requests also zero counts as missing; an attribute off the allow-list has a name
@@ -12,10 +12,10 @@ nulls; empty tables give empty reports.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.operators import tables
+from sessionloom.operators import ordered, tables
 
 #: Fixed value: what the names of logged events start with.
 EVENT_PREFIX = "claude_code."
@@ -123,20 +123,16 @@ def _hooks(signals: DataFrame) -> DataFrame:
 def asof_before(signals: DataFrame) -> DataFrame:
     """(session_id, seq, tool_use_id, before): decisions with the last PreToolUse
     completion whose sequence is lower."""
-    hooks = _hooks(signals)
     done = F.when((F.col("kind") == "complete") & (F.col("hook_event") == "PreToolUse"), F.col("seq"))
-    earlier = Window.partitionBy("session_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    marked = hooks.where("seq is not null").withColumn("before", F.max(done).over(earlier)).unionByName(hooks.where("seq is null").withColumn("before", F.lit(None).cast("bigint")))
+    marked = ordered.asof(_hooks(signals).withColumn("done", done), ["session_id"], "seq", "done", "before")
     return marked.where("kind = 'decision'").select("session_id", "seq", "tool_use_id", "before")
 
 
 def asof_after(signals: DataFrame) -> DataFrame:
     """(session_id, hook_name, seq, complete): starts with the first completion of
     the same hook whose sequence is higher."""
-    hooks = _hooks(signals)
-    later = Window.partitionBy("session_id", "hook_name").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
     done = F.when(F.col("kind") == "complete", F.col("seq"))
-    marked = hooks.where("seq is not null").withColumn("complete", F.min(done).over(later)).unionByName(hooks.where("seq is null").withColumn("complete", F.lit(None).cast("bigint")))
+    marked = ordered.asof(_hooks(signals).withColumn("done", done), ["session_id", "hook_name"], "seq", "done", "complete", later=True)
     return marked.where("kind = 'start'").select("session_id", "hook_name", "seq", "complete")
 
 

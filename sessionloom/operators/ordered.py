@@ -67,3 +67,14 @@ def ranked(df: DataFrame, order: list[str], name: str, *, block: int | None = No
     starts = sizes.select("__block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__start"))
     here = F.row_number().over(Window.partitionBy("__block").orderBy(*order))
     return held.withColumn("__here", here).join(F.broadcast(starts), "__block").select(*df.columns, (F.col("__start") + F.col("__here")).alias(name))
+
+
+def asof(df: DataFrame, group: list[str], order: str, value: str, name: str, *, later: bool = False, block: int | None = None) -> DataFrame:
+    """``df`` with the highest ``value`` of the group's rows whose ``order`` is lower,
+    or with ``later`` the lowest of those whose order is higher; rows without an
+    order meet nothing.  Equal orders do not see each other."""
+    step = F.min if later else F.max
+    at = df.withColumns({"__at": (-F.col(order) if later else F.col(order)), "__group": F.to_json(F.struct(*group), {"ignoreNullFields": "false"})})
+    points = at.where("__at is not null").groupBy("__group", "__at").agg(step(value).alias("__v"))
+    placed = before(points, ["__group"], ["__at"], block=block, **{name: ("min" if later else "max", "__v")})
+    return at.join(placed.select("__group", "__at", name), ["__group", "__at"], "left").select(*df.columns, name)

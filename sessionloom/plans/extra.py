@@ -766,3 +766,30 @@ def mt07_cost(spark, folder):
     """Cost per model of all reduced turns; turns of models without a rate are counted."""
     rates = spark.createDataFrame([(m, "1970-01-01", None, i, o, None, None) for m, i, o in _TABLE_RATES], RATES_DDL).withColumns({c: F.to_date(c) for c in ("valid_from", "valid_to")})
     return rollups.cost_by(rollups.priced(corpus.shared(spark, folder, ["turns"])["turns"], rates), "canonical")
+
+
+@query(f"with {_KEPT_DUCK}, r(m, i) as (values ('/home/dev/', 0), ('/srv/work/', 1)) select 'paths' section, i::integer \"index\", count(*) n, min(line_id) first_line from k, r where contains(j, m) group by 2")
+def san11_literal_survivors(spark, folder):
+    """What the residual scan finds in lines that were not rewritten, by rule, with
+    the first violation (the scan of rewritten lines is ``san12_residual``)."""
+    done = _rewritten(spark, folder, _PATH_RULES).where("state = 'kept'").select("file_name", "line_no")
+    raw = table(spark, folder, "transcript_lines").select(F.col("line_id").alias("line_no"), F.col("raw").alias("out"))
+    found = sanitize.residual(done.join(raw, "line_no"), sanitize.load_rules(_PATH_RULES)).where("section = 'paths'")
+    return found.groupBy("section", "index").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
+
+
+@_replaces
+def jn15_asof_back(spark, folder):
+    """Each dispatch row with the last PreToolUse exit before it in its session, by time."""
+    rows = table(spark, folder, "dispatch").select("session_id", F.floor("ts_ms").cast("bigint").alias("ts_ms"), "phase", "pid", "hook_event")
+    done = F.when((F.col("hook_event") == "PreToolUse") & (F.col("phase") == "exit"), F.col("ts_ms"))
+    placed = ordered.asof(rows.withColumn("done", done), ["session_id"], "ts_ms", "done", "before")
+    return placed.select("session_id", "ts_ms", "phase", "pid", "before")
+
+
+@_replaces
+def jn17_asof_forward(spark, folder):
+    """Each dispatch row with the first exit of the same event after it, by time."""
+    rows = table(spark, folder, "dispatch").where("session_id is not null").select("session_id", "hook_event", F.floor("ts_ms").cast("bigint").alias("ts_ms"), "phase", "pid")
+    placed = ordered.asof(rows.withColumn("done", F.when(F.col("phase") == "exit", F.col("ts_ms"))), ["session_id", "hook_event"], "ts_ms", "done", "next", later=True)
+    return placed.select("session_id", "ts_ms", "pid", "next")

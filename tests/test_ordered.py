@@ -25,3 +25,14 @@ def test_before_equals_a_plain_walk(spark, block):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "g string, o int, v int")
     assert ordered.before(df, ["g"], ["o"], total=("sum", "v")).count() == 0 and ordered.ranked(df, ["o"], "place").count() == 0
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_asof_is_strict_and_null_safe(spark, later):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", None]), rng.choice([None, *range(12)]), rng.choice([None, 3, 8])) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, g string, o int, v int").repartition(3)
+    got = {r["id"]: r["found"] for r in ordered.asof(df, ["g"], "o", "v", "found", later=later, block=7).collect()}
+    for i, g, o, _ in rows:
+        some = [v for _, h, p, v in rows if h == g and o is not None and p is not None and v is not None and (p > o if later else p < o)]
+        assert got[i] == ((min(some) if later else max(some)) if some else None)
