@@ -503,10 +503,10 @@ def _calls(spark, folder) -> DataFrame:
 @query(f"with {_CALLS_DUCK} select name tool, count(*) later, min(d) nearest, max(d) farthest, sum(case when d <= 3 then 1 else 0 end) immediate from (select name, n - max(case when is_error then n end) over (partition by session_id, name order by n rows between unbounded preceding and 1 preceding) d from (select *, row_number() over (partition by session_id order by line_id, p) n from calls)) where d is not null group by 1")
 def w04_retry_distance(spark, folder):
     """Calls of a tool that failed before in the session, by the distance in calls."""
-    by = Window.partitionBy("session_id").orderBy("line_id", "pos")
-    placed = _calls(spark, folder).withColumn("n", F.row_number().over(by))
-    before = Window.partitionBy("session_id", "name").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    apart = placed.withColumn("d", F.col("n") - F.max(F.when(F.col("is_error"), F.col("n"))).over(before)).where("d is not null")
+    calls = _calls(spark, folder).select("session_id", "name", "line_id", "pos", "is_error", F.lit(1).alias("one"))
+    placed = ordered.before(calls, ["session_id"], ["line_id", "pos"], earlier=("sum", "one")).withColumn("n", F.coalesce("earlier", F.lit(0)) + 1)
+    wrong = placed.withColumn("e", F.when(F.col("is_error"), F.col("n")))
+    apart = ordered.before(wrong, ["session_id", "name"], ["n"], failed=("max", "e")).withColumn("d", F.col("n") - F.col("failed")).where("d is not null")
     return apart.groupBy(F.col("name").alias("tool")).agg(
         F.count(F.lit(1)).alias("later"), F.min("d").alias("nearest"), F.max("d").alias("farthest"), F.sum((F.col("d") <= 3).cast("int")).alias("immediate")
     )
