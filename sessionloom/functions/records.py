@@ -117,9 +117,23 @@ def instant(value) -> int | None:
         return None
 
 
+def storable(value):
+    """Text with lone surrogates as JSON escapes, as Arrow takes no others; lists
+    of texts alike, everything else as it is."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-8", "backslashreplace").decode()
+    return type(value)(storable(v) for v in value) if isinstance(value, (list, tuple)) else value
+
+
+def column(values, kind: pa.DataType) -> pa.Array:
+    """The values as an Arrow column; texts are made storable where they have to be."""
+    try:
+        return pa.array(values, type=kind)
+    except ValueError:  # a lone surrogate in one of them
+        return pa.array([storable(v) for v in values], type=kind)
+
+
 def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     """Rows as a record batch of the schema."""
     columns = list(zip(*rows)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-    )
+    return pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.functions.records import batch_of, blocks, json_type, parse, text_of
+from sessionloom.functions.records import batch_of, blocks, column, json_type, parse, storable, text_of
 from sessionloom.plans.runtime import stage
 
 SKETCH = 128  #: values kept per k-minimum-values sketch
@@ -495,8 +495,8 @@ def unify(lines: DataFrame, baseline: DataFrame, renames: dict[str, str], *, raw
                 for c, p in zip(columns, paths):
                     c.append(text(own.get(p)))
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            arrays += [pa.array(c, pa.string()) for c in columns]
-            arrays += [pa.array(ok, pa.bool_()), pa.array(extras, pa.map_(pa.string(), pa.string()))]
+            arrays += [column(c, pa.string()) for c in columns]
+            arrays += [pa.array(ok, pa.bool_()), pa.array([storable(x) for x in extras], pa.map_(pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names, "readable", "extras"])
 
     return source.mapInArrow(run, fields)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.records import STATED, Aliases, batch_of, field, parse, text_of
+from sessionloom.functions.records import STATED, Aliases, batch_of, field, parse, storable, text_of
 
 BRIDGE = pa.schema(
     [
@@ -61,11 +61,6 @@ def _hash(text: str) -> str:
     return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def _storable(text: str | None) -> str | None:
-    """Lone surrogates as JSON escapes: Arrow takes no others."""
-    return text if text is None or text.isascii() else text.encode("utf-8", "backslashreplace").decode()
-
-
 def _occurrences(line_id, message: dict, bodies: bool, out: list, names: dict) -> None:
     """Rows of every object of a message.
 
@@ -107,8 +102,8 @@ def _occurrences(line_id, message: dict, bodies: bool, out: list, names: dict) -
             row[6] = me
         call = own if kind == "tool_use" else text_of(field(value, "tool_use_id", names)) if kind == "tool_result" else None
         row = [
-            line_id, _storable(path), node_path if role in ("block", "part") else None, role, ordinal, me, None, None,
-            _storable(kind), _storable(own), _storable(call), _storable(text) if bodies else None,
+            line_id, storable(path), node_path if role in ("block", "part") else None, role, ordinal, me, None, None,
+            storable(kind), storable(own), storable(call), storable(text) if bodies else None,
         ]
         out.append(row)
         held.append(row)
@@ -204,7 +199,7 @@ def usage_table(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFra
                 usage = message.get("usage") if isinstance(message, dict) else None
                 if isinstance(usage, dict):
                     for k, v in usage.items():
-                        out.append((line_id, _storable(text_of(message.get("id"))), _storable(k), _storable(json.dumps(v, ensure_ascii=False, separators=(",", ":")))))
+                        out.append((line_id, storable(text_of(message.get("id"))), storable(k), storable(json.dumps(v, ensure_ascii=False, separators=(",", ":")))))
             yield batch_of(schema, out)
 
     source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))

@@ -69,3 +69,26 @@ def test_empty(spark):
 def test_one_per_id_keeps_the_lowest(spark):
     df = spark.createDataFrame([("a", "p", 2, "n"), ("a", None, 1, "m"), ("b", "a", 3, "n")], "id string, parent string, o int, near string")
     assert {tuple(r) for r in H.one_per_id(df, "o").collect()} == {("a", None, "m", 1), ("b", "a", "n", 3)}
+
+
+def test_odd_lines_crash_no_query(spark, make_lines, tmp_path):
+    """Lone surrogates, a cycle, nulls, a long text and clashing columns in one table."""
+    from pyspark.sql import functions as F
+
+    from sessionloom import queries
+
+    rows = [
+        '{"type":"user","uuid":"\\ud800","sessionId":"\\ud800","message":{"id":"\\udfff","content":"\\ud800 x"},"\\ud801":"\\ud802"}',
+        {"type": "user", "uuid": "y", "parentUuid": "y", "sessionId": "s", "message": {"id": "m", "content": [None, [], {}, "t"], "usage": {"output_tokens": "1e400"}}},
+        {"type": None, "uuid": None, "message": None}, None, "", "{cut", {"type": "user", "uuid": "z", "sessionId": "s", "timestamp": "0000-99", "message": {"content": "word " * 100_000}},
+        '{"type":"user","uuid":"c","parentUuid":"\\ud800","sessionId":"\\ud800","message":{"content":"y"}}',
+    ]
+    df = make_lines(rows)
+    df = df.unionByName(df).withColumns({c: F.lit("clash") for c in ("id", "parent", "row", "near", "block", "version", "path", "body")})
+    df.write.parquet(str(tmp_path / "transcript_lines.parquet"))
+    spark.createDataFrame([("user", "uuid", "str", True)], "record_type string, field_path string, json_type string, is_required boolean").write.parquet(str(tmp_path / "schema_baseline.parquet"))
+    counts = {n: queries.QUERIES[n](spark, str(tmp_path)).count() for n in ("p1_found", "p1_unified", "p2_found", "p5_found", "p5_objects", "p5_usage", "san12_residual")}
+    assert counts["p1_unified"] == 16 and counts["p2_found"] == 4
+    found = {r["uuid"]: (r["root_uuid"], r["depth"]) for r in queries.QUERIES["p2_found"](spark, str(tmp_path)).collect()}
+    assert found == {"\\ud800": ("\\ud800", 0), "c": ("\\ud800", 1), "y": ("", -1), "z": ("z", 0)}
+    assert sorted(r[0] for r in queries.QUERIES["p6_found"](spark, str(tmp_path)).collect()) == [1, 2, 7, 8]
