@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.records import batch_of, parse
+from sessionloom.functions.records import batch_of, column, parse
 from sessionloom.llm import crf
 from sessionloom.llm.texts import replace_at, texts_of
 from sessionloom.plans.runtime import stage
@@ -396,6 +396,6 @@ def redact(lines: DataFrame, names: DataFrame | Lexicon | None = None, *, id_col
                     if any(spans):
                         raw = json.dumps(record, ensure_ascii=False, separators=(",", ":"))
                 out.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), column(out, pa.string())], schema=schema)
 
     return source.mapInArrow(run, "line_id bigint, raw string")

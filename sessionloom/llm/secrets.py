@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.records import batch_of, parse
+from sessionloom.functions.records import batch_of, column, parse
 from sessionloom.llm import trigrams
 from sessionloom.llm.texts import replace_at, texts_of
 
@@ -237,7 +237,7 @@ def redact(lines: DataFrame, *, id_col="line_id", raw_col="raw") -> DataFrame:
                     replace_at(records[i], path, redact_text(t, spans))
                     changed.add(i)
             out = [json.dumps(records[i], ensure_ascii=False, separators=(",", ":")) if i in changed else r for i, r in enumerate(raws)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), column(out, pa.string())], schema=schema)
 
     source = lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(raw_col).alias("raw"))
     return source.mapInArrow(run, "line_id bigint, raw string")

@@ -184,3 +184,11 @@ def test_required_formulas_lose_no_match():
                 assert index.candidates(formula)[0], (i, text)
     assert trigrams.required(r"[a-z]{14,}x?") == ("run", "".join(sorted({*map(chr, range(65, 91)), *map(chr, range(97, 123))})), 14)
     assert trigrams.Index(["abc" * 5, "abc." * 5], []).run("abc", 14).tolist() == [True, False]
+
+
+def test_lone_surrogates_stay_escapes(spark, make_lines):
+    raw = '{"type":"user","message":{"content":"\\ud800 mail kim@example.com and ghp_' + "a1B2" * 9 + '"}}'
+    df = make_lines([raw])
+    for done, mark in ((pii.redact(df, LEX), "[EMAIL]"), (secrets.redact(df), "<REDACTED:key_or_token>")):
+        text = done.first()["raw"]
+        assert json.loads(text)["message"]["content"].startswith("\ud800 mail") and mark in text
