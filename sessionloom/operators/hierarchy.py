@@ -29,12 +29,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.plans.runtime import partitions_for, stage
 
 BLOCK = 150_000  #: nodes that one task solves in memory
+STEPS = 1_000_000  #: steps of paths that one task of ``all_paths`` writes
+BATCH = 100_000  #: steps of paths after which ``all_paths`` hands on a batch
 
 
 def one_per_id(edges: DataFrame, order: str) -> DataFrame:
@@ -279,3 +282,45 @@ def paths(solved: DataFrame, of: DataFrame) -> DataFrame:
     spans = spans.withColumn("cell", F.explode(F.expr("sequence(shiftright(a, k), shiftright(b, k))")))
     met = points.join(spans, ["root", "k", "cell"]).where("a <= x and x <= b")
     return met.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "over"))), lambda s: s["over"]).alias("path"))
+
+
+def all_paths(solved: DataFrame, *, width: int = 256, steps: int = STEPS, batch: int = BATCH) -> DataFrame:
+    """(id, path) from the root to every node that has a range; ``solved`` is read twice.
+
+    Rows in preorder need only the stack of open nodes.  Trees are cut into
+    buckets of ``width`` positions; a node stands in its own bucket and in each
+    that begins inside its range, where it is an ancestor of the first node.
+    Each path is written once and none passes a shuffle, so shuffled rows grow
+    with the nodes and 1/``width`` of the steps.
+    """
+    work = solved.where("lft is not null").agg(F.sum(F.col("depth").cast("bigint") + 1)).first()[0] or 0
+    placed = solved.where("lft is not null").select(
+        "id", "root", "depth", "lft", F.explode(F.expr(f"sequence(lft div {width}, rgt div {width})")).alias("bucket")
+    )
+    placed = placed.repartition(partitions_for(work, steps, 1), "root", "bucket").sortWithinPartitions("root", "bucket", "lft")
+
+    def run(batches):
+        at, opened = None, []
+        ids, flat, ends = [], [], [0]
+
+        def made():
+            path = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), path], ["id", "path"])
+
+        for rows in batches:
+            for node, root, depth, own, bucket in zip(*(c.to_pylist() for c in rows.columns)):
+                if (root, bucket) != at:
+                    at, opened = (root, bucket), []
+                del opened[depth:]
+                opened.append(node)
+                if own:
+                    ids.append(node)
+                    flat.extend(opened)
+                    ends.append(len(flat))
+                    if len(flat) >= batch:
+                        yield made()
+                        ids, flat, ends = [], [], [0]
+        yield made()
+
+    own = F.expr(f"bucket = lft div {width}").alias("own")
+    return placed.select("id", "root", "depth", own, "bucket").mapInArrow(run, "id string, path array<string>")

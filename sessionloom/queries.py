@@ -54,8 +54,25 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return solved.select(F.col("id").alias("uuid"), F.coalesce("root", F.lit("")).alias("root_uuid"), "depth")
 
 
+def _all_paths(spark: SparkSession, folder: str) -> DataFrame:
+    links = hierarchy.one_per_id(link_rows(table(spark, folder, "transcript_lines")), "line_id")
+    return hierarchy.all_paths(stage(hierarchy.hierarchy(links, near=["near", "line_id"]), "solved"))
+
+
+def p2_all_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Full path, root first, of every line that has one."""
+    return _all_paths(spark, folder).select(F.col("id").alias("uuid"), F.array_join("path", "/").alias("path"), F.size("path").alias("nodes"))
+
+
+def p2_all_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """(uuid, descendant) of every line and all lines below it."""
+    above = F.explode(F.expr("slice(path, 1, size(path) - 1)"))
+    return _all_paths(spark, folder).select(above.alias("uuid"), F.col("id").alias("descendant"))
+
+
 def _solved_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The solved forest, and the nodes searched for: line ids divisible by 20."""
+    """The solved forest, and the nodes searched for: line ids divisible by 20,
+    as in the checking SQL.  ``p2_all_paths`` and ``p2_all_descendants`` answer for all."""
     links = stage(hierarchy.one_per_id(link_rows(table(spark, folder, "transcript_lines")), "line_id"), "links")
     solved = stage(hierarchy.hierarchy(links, near=["near", "line_id"]), "solved")
     return solved, links.where("line_id % 20 = 0").select("id")
@@ -138,7 +155,7 @@ def san12_residual(spark: SparkSession, folder: str) -> DataFrame:
     return sanitize.residual(kept, rules)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_paths, p2_descendants, p5_found, p5_objects, p5_bridge, p5_usage, p6_found, jn07_call_tree, san01_audit, san12_residual)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_paths, p2_descendants, p2_all_paths, p2_all_descendants, p5_found, p5_objects, p5_bridge, p5_usage, p6_found, jn07_call_tree, san01_audit, san12_residual)}
 QUERIES |= {name: (lambda spark, folder, s=statement: corpus.run(spark, folder, s)) for name, statement in statements.ALL.items()}
 QUERIES |= extra.QUERIES  # some take the place of a statement
 SQL = oracles.SQL | {"jn07_call_tree": JN07} | {name: corpus.oracle(statement) for name, statement in statements.ALL.items()} | extra.SQL

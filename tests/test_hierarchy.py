@@ -92,3 +92,36 @@ def test_odd_lines_crash_no_query(spark, make_lines, tmp_path):
     found = {r["uuid"]: (r["root_uuid"], r["depth"]) for r in queries.QUERIES["p2_found"](spark, str(tmp_path)).collect()}
     assert found == {"\\ud800": ("\\ud800", 0), "c": ("\\ud800", 1), "y": ("", -1), "z": ("z", 0)}
     assert sorted(r[0] for r in queries.QUERIES["p6_found"](spark, str(tmp_path)).collect()) == [1, 2, 7, 8]
+
+
+def test_all_paths_of_any_cut(spark):
+    random.seed(5)
+    parents = {"c0": None} | {f"c{i}": f"c{i - 1}" for i in range(1, 60)}
+    parents |= {"x": "y", "y": "x", "below": "x", "self": "self", "lost": "nowhere", "é": "lost", "": None, "of empty": ""}
+    parents |= {f"t{i}": f"c{random.randrange(60)}" if i < 5 else f"t{random.randrange(i)}" for i in range(80)}
+    solved, want = check(spark, parents, block=17)
+    for width, steps, batch in ((1, 50, 1), (8, 200, 30), (256, 10**6, 10**5)):
+        rows = H.all_paths(solved, width=width, steps=steps, batch=batch).collect()
+        assert len(rows) == len({r["id"] for r in rows})
+        assert {r["id"]: r["path"] for r in rows} == {v: path for v, (root, _, path) in want.items() if root is not None}
+    assert H.all_paths(solved.where("lft is null")).count() == 0
+
+
+def test_every_line_has_its_path_and_descendants(spark, make_lines, tmp_path):
+    """The checking SQL without its choice of one line id in 20 gives the same rows."""
+    import duckdb
+
+    from sessionloom import queries
+
+    rows = [{"uuid": f"u{i}", "parentUuid": f"u{i - 1 if i % 9 else i // 2}" if i else None} for i in range(70)]
+    rows += [{"uuid": "a", "parentUuid": "b"}, {"uuid": "b", "parentUuid": "a"}, {"uuid": "under", "parentUuid": "a"}, {"uuid": "u3", "parentUuid": "u60"}, "{cut", None]
+    make_lines(rows).write.parquet(str(tmp_path / "transcript_lines.parquet"))
+    db = duckdb.connect()
+    db.sql(f"create view transcript_lines as from '{tmp_path}/transcript_lines.parquet/*.parquet'")
+    for whole, part, choice in (("p2_all_paths", "p2_paths", " where line_id % 20 = 0"), ("p2_all_descendants", "p2_descendants", "n.line_id % 20 = 0 and ")):
+        sql = queries.SQL[part]
+        assert sql.count(choice) == 1
+        every = sorted(db.sql(sql.replace(choice, "")).fetchall())
+        got = queries.QUERIES[whole](spark, str(tmp_path))
+        assert got.columns == queries.QUERIES[part](spark, str(tmp_path)).columns
+        assert sorted(map(tuple, got.collect())) == every and len(every) > len(db.sql(sql).fetchall())
